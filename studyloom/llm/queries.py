@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.session import table
+from studyloom.session import ship, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,54 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "questions"))
 
 
+def p1_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbour lists themselves, with similarity and rank."""
+    from studyloom.llm.similar_vectors import similar_vectors
+
+    return similar_vectors(table(spark, sf_dir, "questions"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.near_copies import near_pairs
+
+    return near_pairs(table(spark, sf_dir, "questions"))
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.near_copies import near_links
+
+    return near_links(table(spark, sf_dir, "questions"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.pivot_history import turned_away
+
+    return turned_away(table(spark, sf_dir, "questions"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.copy_runs import copies
+
+    return copies(table(spark, sf_dir, "questions"))
+
+
+def p7_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.copy_runs import representatives
+
+    return representatives(table(spark, sf_dir, "questions"))
+
+
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
+    return {name: _shipped(f) for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
