@@ -53,6 +53,74 @@ def p7_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representatives(table(spark, sf_dir, "questions"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.text_pieces import oversized
+
+    return oversized(table(spark, sf_dir, "chunk"))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.text_pieces import renumbered
+
+    return renumbered(table(spark, sf_dir, "chunk"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.scan_repair import found_noise
+
+    return found_noise(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "source_repairs"))
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.scan_repair import repaired_chunks
+
+    found = repaired_chunks(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "source_repairs"))
+    return found.where("size(kinds) > 0")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.corpus_tokens import corpus_ids
+
+    return corpus_ids(table(spark, sf_dir, "documents"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the largest mix in which the scarcest source still reaches its target."""
+    from studyloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), exact=True)[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.cut_texts import cut_documents
+
+    return cut_documents(table(spark, sf_dir, "documents"))
+
+
+def p10_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.cut_texts import limits, measured
+
+    return limits(measured(table(spark, sf_dir, "documents")))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.cut_texts import cut_shares
+
+    return cut_shares(table(spark, sf_dir, "documents"))
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
