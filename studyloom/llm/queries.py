@@ -41,6 +41,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned_away(table(spark, sf_dir, "questions"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.pair_defects import pair_defects
+
+    return pair_defects(table(spark, sf_dir, "reference_corpus"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from studyloom.llm.copy_runs import copies
 
