@@ -5,7 +5,8 @@ it) is computed by window functions over the length histogram, for four measures
 text as it is and without what was put behind a cut (white space, ellipsis, half a tag). Each hazard is tested against
 the pooled hazard of its neighbours with the Chernoff bound of the Poisson tail, and Benjamini-Hochberg control of the
 false discovery rate over the lengths of a source picks the limits. A text is cut if its ending is certainly
-incomplete (inside a word, number, tag or sentence), or if it has a significant length and ends without a closing mark.
+incomplete (inside a word, number, tag or sentence), or if it has a significant length and ends without a closing mark (an item, a label's
+list or a heading, which are whole endings at any other length).
 
 Scale. Texts are read once, in one pass that returns a few numbers per text; the histogram is a partial
 aggregation, and windows run over distinct lengths, not over texts. Limits are few and joined by key.
@@ -61,18 +62,33 @@ def ending(text: str) -> tuple[int, str]:
     if marked:
         kept = core.rstrip()
         return (0 if CLOSE.search(kept) or QUOTED.search(kept) else 2), core
-    line = core.rsplit("\n", 1)[-1].strip()
+    line = re.split(r"[\r\n\x0b\x0c\u2028\u2029]", core)[-1].strip()
     if OPEN_STOP.search(line) or NUMBERING.match(line):
         return 2, core
     if CLOSE.search(line) or QUOTED.search(line):
         return 0, core
-    if CLOSED_LINES.match(line):
-        return 0, core
+    if CLOSED_LINES.match(line) or _closed_over_lines(core):
+        return (0 if core[-1] in "|])" else 1), core
     if len(line.split()) <= 6 and line[:1].isupper() and line == line.title() and "." not in line:
         return 1, core  # like a heading
     return 2, core
 
 
+def _closed_over_lines(core: str) -> bool:
+    """Whether a whole ending is only broken over two lines, or is in brackets that open before the line does."""
+    if core[-1] in ")]":
+        at = core.rfind("(" if core[-1] == ")" else "[")
+        before = core[: max(at, 0)].rstrip()
+        return at >= 0 and (not before or core[at - 1] in "\r\n" or bool(CLOSE.search(before) or QUOTED.search(before)))
+    lines = [x.strip() for x in re.split(r"[\r\n\x0b\x0c\u2028\u2029]+", core)]
+    if len(lines) < 2 or len(lines[-2]) + len(lines[-1]) > 60:
+        return False
+    both = f"{lines[-2]} {lines[-1]}"
+    if both[0] in "-•>—–":  # an item goes on in the next line, it isn't followed by a new sentence
+        return not lines[-1][:1].isupper() and len(lines[-1].split()) < 4
+    return bool(CLOSED_LINES.match(both))
+
+
 def _measured(batches):
     for batch in batches:
         ids, sources, texts = (c.to_pylist() for c in batch.columns)
