@@ -1 +1,3 @@
 """The core queries; filled by the modules imported here."""
+
+from studyloom.plans import bank, performance  # noqa: F401
