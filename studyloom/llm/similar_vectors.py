@@ -48,10 +48,10 @@ def fit(
     k: int,
     least: float,
     recall: float,
-    leaf_rows: int = 2000,
+    leaf_rows: int = 3000,
     max_leaves: int = 2048,
     sample_rows: int = 16384,
-    probes: int = 1024,
+    probes: int = 2048,
     both: bool = True,
 ) -> tuple[Tree | None, float, float, int]:
     """(tree, margin, recall measured on the sample, rows); the tree is None for a table without a usable vector."""
@@ -182,7 +182,7 @@ def similar_vectors(
     k: int = 10,
     least: float = 0.8,
     dim: int = 384,
-    recall: float = 0.998,
+    recall: float = 0.99,
     block: int = 20000,
     **fitting,
 ) -> DataFrame:

@@ -108,14 +108,17 @@ class Tree:
 
     `centres` holds one row per node but the root; `children[n]` the nodes below node n (the root is
     -1); `leaf[n]` the leaf number or -1. `share` is each leaf's share of the sample it was fitted on.
+    `lift[n]` is what leaves below node n are closer to a row than n itself (a high quantile over the sample), so that bins of
+    different depth compare in the queue; 0 at leaves.
     """
 
     def __init__(self, sample: np.ndarray, leaves: int, branching: int = 16, seed: int = 7):
-        self.dim, self.children, self.leaf, self.share = sample.shape[1], {}, [], []
+        self.dim, self.children, self.leaf, self.share, self.lift = sample.shape[1], {}, [], [], []
         rows: list[np.ndarray] = []
         cap = max(1, -(-len(sample) // max(1, leaves)))
 
-        def grow(node: int, x: np.ndarray, depth: int) -> None:
+        def grow(node: int, x: np.ndarray, depth: int) -> np.ndarray:
+            """Each row's similarity to its best leaf below."""
             want = min(branching, -(-len(x) // cap))
             if want < 2 or depth > 12:
                 below = []
@@ -127,14 +130,18 @@ class Tree:
                 if node >= 0:
                     self.leaf[node] = len(self.share)
                 self.share.append(len(x) / max(1, len(sample)))
-                return
+                return x @ rows[node] if node >= 0 else np.zeros(len(x))
             self.children[node] = []
             for centre, part in below:
                 rows.append(centre)
                 self.leaf.append(-1)
+                self.lift.append(0.0)
                 self.children[node].append(len(rows) - 1)
-            for child, (_, part) in zip(list(self.children[node]), below):
-                grow(child, part, depth + 1)
+            reached = [(grow(c, part, depth + 1), part) for c, (_, part) in zip(list(self.children[node]), below)]
+            if node >= 0:
+                gains = np.concatenate([best - part @ rows[node] for best, part in reached])
+                self.lift[node] = float(np.quantile(gains, 0.95))
+            return np.concatenate([best for best, _ in reached])
 
         grow(-1, sample, 0)
         self.centres = np.array(rows, np.float32).reshape(-1, self.dim)
@@ -149,8 +156,9 @@ class Tree:
         if not self.children:
             return [[0]] * len(x)
         out, leaf, children = [], self.leaf, self.children
+        lift = np.array(self.lift, np.float32)
         for at in range(0, len(x), 4096):
-            for sims in (x[at : at + 4096] @ self.centres.T).tolist():
+            for sims in (x[at : at + 4096] @ self.centres.T + lift).tolist():
                 queue = [(-sims[c], c) for c in children[-1]]
                 heapq.heapify(queue)
                 seen: list[int] = []
@@ -170,7 +178,7 @@ class Tree:
         return out
 
 
-WIDTHS = (0.0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.035, 0.04, 0.05, 0.06, 0.08, 0.1, 0.15, 0.2, 0.4, 2.0)
+WIDTHS = (*(n / 400 for n in range(25)), 0.07, 0.08, 0.1, 0.15, 0.2, 0.4, 2.0)  # 0, 0.0025, ... 0.06, then wider
 
 
 def calibrated(tree: Tree, pairs: tuple[np.ndarray, np.ndarray], recall: float, both: bool) -> tuple[float, float]:
