@@ -141,4 +141,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from studyloom.llm.sql import SQL
+
+    return dict(SQL)
