@@ -1,3 +1,3 @@
 """The core queries; filled by the modules imported here."""
 
-from studyloom.plans import bank, documents, performance, streams  # noqa: F401
+from studyloom.plans import bank, documents, extras, performance, streams  # noqa: F401
