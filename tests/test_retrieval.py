@@ -30,7 +30,7 @@ def test_formulas_and_identities(spark):
 
 
 def test_names_garble_and_continuations(spark):
-    df = spark.createDataFrame([("L A W S  of Motion ,\x01 Again",), ("xq zzt vvb wqk",), ("and the Laws of Motion",), ("The body is at rest.",)], "t string")
+    df = spark.createDataFrame([("L A W S  of Motion ,\x11 Again",), ("xq zzt vvb wqk",), ("and the Laws of Motion",), ("The body is at rest.",)], "t string")
     assert one(df.select(names.clean_name(F.col("t")).alias("c")), "c")[0] == "LAWS of Motion, Again"
     assert one(df.select(names.garbled(F.col("t"), ["the", "laws", "of", "motion", "body", "is", "at", "rest", "and", "again"]).alias("g")), "g") == [True, True, False, False]
     assert one(df.select(names.continues_title(F.col("t")).alias("c")), "c")[2:] == [True, False]
