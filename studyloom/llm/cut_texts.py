@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from studyloom.session import cut, spread
+
 BEHIND = re.compile(
     r"(?:[\s​-‏⁠﻿­️*_~`☀-➿\U0001f000-\U0001faff]+)$"
 )
@@ -108,9 +110,10 @@ def _measured(batches):
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return df.select(
+    rows = df.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")
-    ).mapInArrow(
+    )
+    return spread(rows).mapInArrow(
         _measured, "doc_id long, source string, level int, chars long, bytes long, core_chars long, core_bytes long"
     )
 
@@ -158,7 +161,7 @@ def limits(m: DataFrame, near: int = 25, rate: float = 0.001, fewest: int = 3) -
 
 def judged(df: DataFrame, **how) -> DataFrame:
     """doc_id, source, cut (boolean), at_limit (boolean) of every row."""
-    m = measured(df)
+    m = cut(measured(df))  # a few numbers per text, used three times: the texts are judged once
     at = _long(m).join(limits(m, **how).select("source", "measure", "length"), ["source", "measure", "length"])
     found = at.select("doc_id").distinct().withColumn("at_limit", F.lit(True))
     return m.join(found, "doc_id", "left").select(
