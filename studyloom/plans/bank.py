@@ -27,7 +27,7 @@ def _q(spark, d):
     """WITH n AS (SELECT class, subject, chapter, topic, ARG_MIN(ROW(NULLIF(topic_number, '')), ROW(source_file, chunk_index, chunk_id)) AS w FROM chunk WHERE topic IS NOT NULL GROUP BY ALL),
 m AS (SELECT * EXCLUDE (w), w[1] AS number FROM n)
 SELECT *, ROW_NUMBER() OVER (PARTITION BY class, subject, chapter ORDER BY number IS NULL,
- LIST_TRANSFORM(REGEXP_EXTRACT_ALL(number, '\\d+'), lambda x: CAST(x AS INT)), topic) AS place FROM m"""
+ LIST_TRANSFORM(REGEXP_EXTRACT_ALL(number, '\\d+'), lambda x: CAST(x AS INT)), topic)::INT AS place FROM m"""
 )
 def catalog_topics(spark, d):
     return C.topics(table(spark, d, "chunk"))
@@ -114,7 +114,7 @@ q AS (SELECT question_id, class, subject, difficulty, type AS question_type, COA
 w AS (SELECT *, MIN(k) OVER (PARTITION BY class, subject, difficulty, question_type, cluster) AS lead FROM q),
 f AS (SELECT r.*, w.question_id, w.cluster, w.k, w.lead FROM r JOIN w USING (class, subject, difficulty, question_type) ANTI JOIN seen USING (user_id, question_id)),
 o AS (SELECT * FROM f QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, class, subject, difficulty, question_type, cluster ORDER BY k) = 1),
-p AS (SELECT user_id, class, subject, difficulty, question_type, question_id, ROW_NUMBER() OVER (PARTITION BY user_id, class, subject, difficulty, question_type ORDER BY lead) AS pos FROM o QUALIFY pos <= 5)
+p AS (SELECT user_id, class, subject, difficulty, question_type, question_id, ROW_NUMBER() OVER (PARTITION BY user_id, class, subject, difficulty, question_type ORDER BY lead)::INT AS pos FROM o QUALIFY pos <= 5)
 """
 
 

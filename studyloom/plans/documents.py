@@ -89,7 +89,7 @@ def substring_link(spark, d):
 @query(
     f"""WITH {LINES}, t AS (SELECT DISTINCT chunk_id, line_no, text FROM l WHERE REGEXP_MATCHES(text, '^\\s*\\|.*\\|\\s*$') AND NOT REGEXP_MATCHES(text, '^[\\s|:-]+$')),
 c AS (SELECT chunk_id, line_no, LIST_TRANSFORM(STRING_SPLIT(REGEXP_REPLACE(TRIM(text), '^\\||\\|$', '', 'g'), '|'), lambda x: TRIM(x)) AS cells FROM t)
-SELECT chunk_id, CAST(line_no AS INT) AS line_no, ARRAY_TO_STRING(cells, ';') AS cells, LEN(cells) AS width FROM c"""
+SELECT chunk_id, CAST(line_no AS INT) AS line_no, ARRAY_TO_STRING(cells, ';') AS cells, LEN(cells)::INT AS width FROM c"""
 )
 def table_rows(spark, d):
     return K.tables_in_chunks(_chunks(spark, d))
@@ -128,7 +128,7 @@ def topic_ordinals(spark, d):
 
 
 @query(
-    """SELECT COALESCE(chunk_id, '') AS chunk_id, COALESCE(topic_number, '') AS topic_number, COALESCE(CAST(chapter_number AS VARCHAR), '') AS chapter_number, COALESCE(has_table, FALSE) AS has_table, LEN(figure_dependent_spans) AS spans FROM chunk"""
+    """SELECT COALESCE(chunk_id, '') AS chunk_id, COALESCE(topic_number, '') AS topic_number, COALESCE(CAST(chapter_number AS VARCHAR), '') AS chapter_number, COALESCE(has_table, FALSE) AS has_table, LEN(figure_dependent_spans)::INT AS spans FROM chunk"""
 )
 def flat_metadata(spark, d):
     return K.flat_metadata(_chunks(spark, d)).select("chunk_id", "topic_number", "chapter_number", "has_table", "spans")

@@ -257,7 +257,7 @@ def topic_split_methods(spark, d):
     return t.groupBy(N.topic_pieces(F.col("text")).alias("method")).agg(F.count(F.lit(1)).alias("topics"))
 
 
-@query("SELECT chapter, CAST(COUNT(*) AS BIGINT) AS n, MIN(LENGTH(chapter)) AS size FROM chunk GROUP BY 1")
+@query("SELECT chapter, CAST(COUNT(*) AS BIGINT) AS n, MIN(LENGTH(chapter))::INT AS size FROM chunk GROUP BY 1")
 def clean_names(spark, d):
     c = table(spark, d, "chunk").select(N.clean_name(F.col("chapter")).alias("chapter"))
     return c.groupBy("chapter").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("chapter")).alias("size"))
