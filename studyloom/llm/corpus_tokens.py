@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value: the vocabulary's pattern
 WINDOW, MASK, LEAST, MOST = 24, (1 << 11) - 1, 512, 8192
@@ -52,6 +55,22 @@ def encoder(folder: str, name: str = "byte_bpe_50k"):
     return _LOADED[key]
 
 
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
+
+
+def encode(enc, text: str) -> list[int]:
+    """Ids of a text. The library's pattern overflows its stack on endless white space, so a long run is taken out: the pattern
+    makes it one piece, but for its last character, which goes on with what follows."""
+    ids: list[int] = []
+    at = 0
+    for m in LONG_SPACE.finditer(text):
+        last = m.end() if m.end() == len(text) else m.end() - 1
+        ids += enc.encode_ordinary(text[at : m.start()])
+        ids += enc._encode_single_piece(text[m.start() : last].encode())
+        at = last
+    return ids + enc.encode_ordinary(text[at:])
+
+
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
@@ -187,7 +206,7 @@ def joined_ids(parts: list[np.ndarray], enc, values: list[bytes]) -> np.ndarray:
     def settle() -> None:
         if pending:
             text = b"".join(values[i] for p in pending for i in p.tolist()).decode("utf-8", "surrogatepass")
-            done.append(np.array(enc.encode_ordinary(text), np.int64))
+            done.append(np.array(encode(enc, text), np.int64))
             pending.clear()
 
     for n, ids in enumerate(parts):
@@ -251,7 +270,8 @@ def corpus_ids(
 ) -> DataFrame:
     """doc_id, ids of every row."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(
+    rows = spread(df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("string").alias("text")))
+    pieces = rows.mapInArrow(
         _pieces(least_hot),
         "h binary, salt int, chunk binary, refs array<struct<doc: long, row: long, seq: int, parts: int>>",
     )

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from studyloom.llm.corpus_tokens import TOKENIZERS, encoder
-from studyloom.session import cut
+from studyloom.llm.corpus_tokens import TOKENIZERS, encode, encoder
+from studyloom.session import cut, spread
 
 BLOCKS = 1024
 
@@ -84,14 +84,15 @@ def token_sizes(
     def run(batches):
         enc, _ = encoder(folder, name)
         for batch in batches:
-            sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
+            sizes = [len(encode(enc, t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["doc_id", "source", "tokens"]
             )
 
-    return df.select(
+    rows = df.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string")
-    ).mapInArrow(run, "doc_id long, source string, tokens long")
+    )
+    return spread(rows).mapInArrow(run, "doc_id long, source string, tokens long")
 
 
 def plan(

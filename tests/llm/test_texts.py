@@ -159,6 +159,17 @@ def test_any_chunking_joins_to_the_same_ids():
         assert corpus_tokens.joined_ids(parts, enc, values).tolist() == enc.encode_ordinary(text), repr(text)
 
 
+@TOKENIZER
+def test_endless_white_space(spark):
+    enc, _ = corpus_tokens.encoder(corpus_tokens.TOKENIZERS)
+    for run in (" " * 25_000, "\n" * 25_000, " \n\t" * 9_000, "\u2003" * 25_000):
+        for text in ("a" + run, "a" + run + "b", run + ".", "é" + run + "9" + run + " c"):
+            assert corpus_tokens.encode(enc, text) == enc.encode_ordinary(text)
+    docs = spark.createDataFrame([(1, "a" + " " * 1_500_000 + "b")], "doc_id long, text string")
+    ids = corpus_tokens.corpus_ids(docs).first().ids
+    assert enc.decode(ids) == docs.first().text
+
+
 def test_chunks_follow_the_content():
     rng = random.Random(2)
     data = bytes(rng.randrange(97, 123) for _ in range(60_000))
