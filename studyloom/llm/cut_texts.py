@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from studyloom.session import cut, spread
 
-BEHIND = re.compile(
-    r"(?:[\s​-‏⁠﻿­️*_~`☀-➿\U0001f000-\U0001faff]+)$"
-)
+BEHIND = re.compile(r"[\s\u200b-\u200f\u2060\ufeff\xad\ufe0f*_~`\u2600-\u27bf\U0001f000-\U0001faff]")  # one character that may follow a cut
+BREAKS = "\r\n\x0b\x0c\u2028\u2029"
+TAIL = 300  # no mark, closing or last line that is whole without a mark is longer
 MARK = re.compile(r"(?:\.\.\.|…|\[(?:more|\.\.\.|…)\]|\((?:more|\.\.\.|…)\)|<\/?[a-zA-Z]{0,8}|&#?[a-zA-Z0-9]{0,8}|�+)$")
 CLOSE = re.compile(r"[.!?।॥。！？]$")
 QUOTED = re.compile(r"[.!?।॥。！？…][)\]\"'”’»]+$")
@@ -50,28 +50,29 @@ CLOSED_LINES = re.compile(
 
 def ending(text: str) -> tuple[int, str]:
     """(how surely the text is cut: 0 not, 1 only at a suspicious length, 2 in any case; the text without what follows a cut)."""
-    core, marked = text, False
+    end, marked = len(text), False
     while True:
-        bare = BEHIND.sub("", core)
-        m = MARK.search(bare)
-        if m and m.end() > m.start():
-            marked, core = True, bare[: m.start()]
-            continue
-        core = bare
-        break
+        while end and BEHIND.match(text, end - 1):
+            end -= 1
+        m = MARK.search(text[max(0, end - TAIL) : end])
+        if not m or m.end() == m.start():
+            break
+        marked, end = True, end - (m.end() - m.start())
+    core = text[:end]
     if not core.strip():
         return 0, text
     if marked:
-        kept = core.rstrip()
+        kept = core[-TAIL:].rstrip()
         return (0 if CLOSE.search(kept) or QUOTED.search(kept) else 2), core
-    line = re.split(r"[\r\n\x0b\x0c\u2028\u2029]", core)[-1].strip()
-    if OPEN_STOP.search(line) or NUMBERING.match(line):
+    line = core[max(core.rfind(c) for c in BREAKS) + 1 :].strip()
+    whole, line = len(line) <= TAIL, line[-TAIL:]  # only the end of a long line matters from here on
+    if OPEN_STOP.search(line) or (whole and NUMBERING.match(line)):
         return 2, core
     if CLOSE.search(line) or QUOTED.search(line):
         return 0, core
-    if CLOSED_LINES.match(line) or _closed_over_lines(core):
+    if (whole and CLOSED_LINES.match(line)) or _closed_over_lines(core):
         return (0 if core[-1] in "|])" else 1), core
-    if len(line.split()) <= 6 and line[:1].isupper() and line == line.title() and "." not in line:
+    if whole and len(line.split()) <= 6 and line[:1].isupper() and line == line.title() and "." not in line:
         return 1, core  # like a heading
     return 2, core
 
@@ -80,9 +81,9 @@ def _closed_over_lines(core: str) -> bool:
     """Whether a whole ending is only broken over two lines, or is in brackets that open before the line does."""
     if core[-1] in ")]":
         at = core.rfind("(" if core[-1] == ")" else "[")
-        before = core[: max(at, 0)].rstrip()
-        return at >= 0 and (not before or core[at - 1] in "\r\n" or bool(CLOSE.search(before) or QUOTED.search(before)))
-    lines = [x.strip() for x in re.split(r"[\r\n\x0b\x0c\u2028\u2029]+", core)]
+        before = core[max(0, at - TAIL) : max(at, 0)].rstrip()
+        return at >= 0 and len(core) - at <= TAIL and (not before or core[at - 1] in "\r\n" or bool(CLOSE.search(before) or QUOTED.search(before)))
+    lines = [x.strip() for x in re.split(f"[{BREAKS}]+", core[-TAIL:])]
     if len(lines) < 2 or len(lines[-2]) + len(lines[-1]) > 60:
         return False
     both = f"{lines[-2]} {lines[-1]}"

@@ -52,7 +52,10 @@ def signatures(records: list[list[str]], length: int) -> np.ndarray:
     scatter, windows = _circle(length)
     out = np.empty((len(records), length), np.int32)
     for n, found in enumerate(records):
-        np.min(windows[scatter[codes(found)]], axis=0, out=out[n])
+        places = scatter[codes(found)]
+        np.min(windows[places[:4096]], axis=0, out=out[n])
+        for at in range(4096, len(places), 4096):  # very long records in parts
+            np.minimum(out[n], windows[places[at : at + 4096]].min(axis=0), out=out[n])
     return out
 
 

@@ -205,11 +205,12 @@ def left_open(text: str) -> bool:
 
 def breaks_off(text: str) -> bool:
     bare = text.rstrip()
-    if DOTS.search(bare):
+    tail = bare[-200:]  # longer than any closing
+    if DOTS.search(tail):
         return bool(WORD.search(bare))
-    if OPEN_STOP.search(bare):
+    if OPEN_STOP.search(tail):
         return True
-    if CLOSED.search(bare):
+    if CLOSED.search(tail):
         return False
     words = WORD.findall(bare)
     if left_open(bare) and len(words) > 1:

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 3000, 200
 
 # starts of the units of each level, the break itself staying with the unit before
-SECTION = re.compile(r"\n(?=\s*(?:#{1,6} |\d+(?:\.\d+)+\.? +\S|(?:Chapter|CHAPTER|Unit|Activity|Exercises?)\b[^\n]{0,80}\n))")
-PARAGRAPH = re.compile(r"\n[^\S\n]*\n+|(?<=[.!?।:\"”)])[^\S\n]*\n(?=\s*[^\s])")
+SECTION = re.compile(r"\n(?=[^\S\n]*(?:#{1,6} |\d+(?:\.\d+)+\.? +\S|(?:Chapter|CHAPTER|Unit|Activity|Exercises?)\b[^\n]{0,80}\n))")
+PARAGRAPH = re.compile(r"\n[^\S\n]*\n+|(?<=[.!?।:\"”)])[^\S\n]*\n(?=[^\S\n]*\S)")
 SENTENCE = re.compile(r"(?<!Fig\.)(?<!e\.g\.)(?<!i\.e\.)(?<=[.!?।])[\"'”’)\]]*\s+|\n+")
 WORD = re.compile(r"\s+")
 LEVELS = (SECTION, PARAGRAPH, SENTENCE, WORD)
