@@ -137,6 +137,7 @@ def _search(dim: int, least: float, keep: int):
         if len(inside):
             rank = np.empty(len(ids), np.int64)
             rank[np.argsort(np.array([i[0] for i in ids]), kind="stable")] = np.arange(len(ids))
+            several = np.array([len(i) > 1 for i in ids])
             told: set[tuple[int, int]] = set()
 
             def tell(a: int, b: int, s: float) -> None:
@@ -149,8 +150,7 @@ def _search(dim: int, least: float, keep: int):
             for i, j, s in close_pairs(x, x[inside], least):
                 told.clear()
                 j = inside[j]
-                many = np.fromiter((len(ids[n]) > 1 for n in i), bool, len(i)) if len(i) else np.empty(0, bool)
-                other = (i != j) | many  # a vector alone in its group is no neighbour of itself
+                other = (i != j) | several[i]  # a vector alone in its group is no neighbour of itself
                 i, j, s = i[other], j[other], s[other]
                 for p in _best(i, j, s, rank, keep):
                     tell(i[p], j[p], s[p])

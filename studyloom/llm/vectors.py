@@ -70,16 +70,24 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(
-    q: np.ndarray, b: np.ndarray, least: float, block: int = 1024
+    q: np.ndarray, b: np.ndarray, least: float, block: int = 256
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query row, base row, cosine rounded to 9 decimals) of all pairs with cosine >= least, in blocks of queries."""
     uq, ub = unit(q), unit(b)
+    wide = None
     for at in range(0, len(q), block):
         i, j = np.nonzero(uq[at : at + block] @ ub.T >= least - SLACK)
-        sim = np.empty(len(i))
-        for part in range(0, len(i), 100_000):
-            s = slice(part, part + 100_000)
-            sim[s] = exact_cosine(q[at + i[s]], b[j[s]])
+        if len(i) > 0.02 * block * len(b):  # a family of near copies: all at once rather than pair by pair
+            if wide is None:
+                wide = b.astype(np.float64)
+                wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+            rows = q[at : at + block].astype(np.float64)
+            sim = ((rows / np.linalg.norm(rows, axis=1, keepdims=True)) @ wide.T)[i, j]
+        else:
+            sim = np.empty(len(i))
+            for part in range(0, len(i), 100_000):
+                s = slice(part, part + 100_000)
+                sim[s] = exact_cosine(q[at + i[s]], b[j[s]])
         sim = np.round(sim, 9)
         keep = sim >= least
         yield i[keep] + at, j[keep], sim[keep]
@@ -202,7 +210,8 @@ def sampled(df: DataFrame, key: str, n: int, total: int, salt: int) -> DataFrame
     """A repeatable sample of about n of `total` rows by a hash of the key: bounded by n plus its spread."""
     if total <= n:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * n / total) + 1)
+    share = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * n / total) + 1
+    return df.where(share).limit(2 * n + 1000)  # one key on many rows doesn't break the bound
 
 
 def collect_matrix(df: DataFrame, column: str, dim: int) -> np.ndarray:
@@ -220,6 +229,13 @@ def _packer(dim: int):
     return run
 
 
+def _first(owner: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k largest similarities of each owner."""
+    order = np.lexsort((-sim, owner))
+    rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+    return order[rank < k]
+
+
 def true_neighbours(
     df: DataFrame, id_col: str, vector: str, queries: np.ndarray, k: int, least: float, dim: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -230,21 +246,21 @@ def true_neighbours(
 
     def run(batches):
         q = unit(known.value)
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        i, s, x = np.empty(0, np.int64), np.empty(0, np.float32), np.empty((0, dim), np.float32)
         for batch in batches:
-            _, x = matrix(batch.column(0), dim)
-            if not len(x):
+            _, new = matrix(batch.column(0), dim)
+            if not len(new):
                 continue
-            i, j = np.nonzero((s := q @ unit(x).T) >= least)
-            s, keep = s[i, j], s[i, j] < 1 - 1e-6
-            best.append((i[keep], s[keep], x[j[keep]]))
-        if best:
-            i, s = np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])
-            x = np.concatenate([b[2] for b in best])
-            order = np.lexsort((-s, i))
-            i, s, x = i[order], s[order], x[order]
-            rank = np.arange(len(i)) - np.searchsorted(i, i)
-            i, s, x = i[rank < k], s[rank < k], x[rank < k]
+            sims = q @ unit(new).T
+            n, j = np.nonzero((sims >= least) & (sims < 1 - 1e-6))
+            if len(n):
+                # only the k best of a query in this batch are kept, then those of all so far
+                first = _first(n, sims[n, j], k)
+                n, j = n[first], j[first]
+                i, s, x = np.r_[i, n], np.r_[s, sims[n, j]], np.concatenate([x, new[j]])
+                first = _first(i, s, k)
+                i, s, x = i[first], s[first], x[first]
+        if len(i):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(i.astype(np.int32)), pa.array(s.astype(np.float64)), pa.array(pack(x), pa.binary())],
                 ["q", "s", "v"],
