@@ -185,7 +185,15 @@ def exact_dedup(spark, d):
     return D.exact_duplicates(_q(spark, d))
 
 
-@query()
+@query(
+    """WITH RECURSIVE g AS (SELECT question_id, class, topic, difficulty, type = 'matching' AS m, created_at, CAST(embedding AS DOUBLE[384]) AS v FROM questions
+WHERE LEN(embedding) = 384 AND LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR NOT ISFINITE(x))) = 0 AND LEN(LIST_FILTER(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.question_id AS id, b.question_id AS parent, ROUND(ARRAY_COSINE_SIMILARITY(a.v, b.v), 9) AS s FROM g a JOIN g b
+ON a.class = b.class AND a.topic = b.topic AND a.difficulty = b.difficulty AND a.m = b.m AND ROW(b.created_at, b.question_id) < ROW(a.created_at, a.question_id)),
+p AS (SELECT id, parent FROM s WHERE s >= 0.9 QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY s DESC, parent) = 1),
+c AS (SELECT question_id, question_id AS cluster FROM questions WHERE question_id NOT IN (SELECT id FROM p) UNION ALL SELECT p.id, c.cluster FROM p JOIN c ON p.parent = c.question_id)
+SELECT * FROM c"""
+)
 def forest_clusters(spark, d):
     ship(spark)
     return D.clusters(_q(spark, d))
@@ -262,12 +270,31 @@ def grade_answers_unicode(spark, d):
     return G.graded(table(spark, d, "attempt_answers"), _q(spark, d), unicode=True)
 
 
-@query()
+@query(
+    """WITH a AS (SELECT DISTINCT attempt_id, question_id, user_answer FROM attempt_answers),
+m AS (SELECT a.* FROM a JOIN questions USING (question_id) WHERE type = 'matching'),
+u AS (SELECT attempt_id, question_id, e.key AS k, e.value->>'$' AS v FROM m, JSON_EACH(m.user_answer) e),
+p AS (SELECT question_id, e.key AS k, e.value->>'$' AS v FROM questions, JSON_EACH(payload, '$.pairs') e WHERE questions.type = 'matching')
+SELECT a.attempt_id, question_id, CAST(SUM((u.v IS NOT NULL)::INT) AS INT) AS right, CAST(COUNT(*) AS INT) AS pairs FROM a JOIN p USING (question_id) LEFT JOIN u USING (attempt_id, question_id, k, v) GROUP BY 1, 2"""
+)
 def grade_pairs(spark, d):
     return G.pair_results(table(spark, d, "attempt_answers"), _q(spark, d))
 
 
-@query()
+LEFT_ITEMS, RIGHT_ITEMS = ("CAST(payload->'$.left_items' AS VARCHAR[])", "CAST(payload->'$.right_items' AS VARCHAR[])")
+
+
+@query(
+    f"""WITH p AS (SELECT question_id, LIST(e.key ORDER BY e.key) AS ks, LIST(e.value->>'$' ORDER BY e.value->>'$') AS vs FROM questions, JSON_EACH(payload, '$.pairs') e WHERE questions.type = 'matching' GROUP BY 1)
+SELECT question_id, type, COALESCE(CASE type WHEN 'MCQ' THEN CASE WHEN COALESCE(TRIM(payload->>'$.question'), '') = '' THEN 'no question' WHEN COALESCE(LEN(CAST(payload->'$.options' AS VARCHAR[])), 0) <> 4 THEN 'not four options'
+WHEN NOT COALESCE(CAST(payload->>'$.correct_option_index' AS INT) BETWEEN 0 AND 3, FALSE) THEN 'index out of range' END
+WHEN 'fill_in_blank' THEN CASE WHEN COALESCE(TRIM(payload->>'$.answer'), '') = '' THEN 'no answer'
+WHEN LEN(REGEXP_SPLIT_TO_ARRAY(TRIM(payload->>'$.answer'), '\s+')) > 4 OR REGEXP_MATCHES(payload->>'$.answer', '[.!?;]') THEN 'not a term'
+WHEN REGEXP_MATCHES(payload->>'$.answer', '[\^*/=()×÷]|[²³]|\w+ x \w+') THEN 'a formula' WHEN COALESCE(LEN(CAST(payload->'$.accepted_answers' AS VARCHAR[])), 0) > 8 THEN 'too many aliases' END
+ELSE CASE WHEN COALESCE(LEN({LEFT_ITEMS}), 0) < 3 OR COALESCE(LEN({RIGHT_ITEMS}), 0) < 3 THEN 'fewer than three' WHEN LEN({LEFT_ITEMS}) <> LEN({RIGHT_ITEMS}) THEN 'sides differ'
+WHEN LEN({LEFT_ITEMS}) <> LEN(LIST_DISTINCT({LEFT_ITEMS})) OR LEN({RIGHT_ITEMS}) <> LEN(LIST_DISTINCT({RIGHT_ITEMS})) THEN 'repeated item'
+WHEN ks <> LIST_SORT({LEFT_ITEMS}) OR vs <> LIST_SORT({RIGHT_ITEMS}) THEN 'pairs don''t fit' END END, '') AS reason FROM questions LEFT JOIN p USING (question_id)"""
+)
 def payload_rules(spark, d):
     return V.payload_rules(_q(spark, d))
 
