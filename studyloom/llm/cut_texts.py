@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from studyloom.session import cut, spread
 
 BEHIND = re.compile(r"[\s\u200b-\u200f\u2060\ufeff\xad\ufe0f*_~`\u2600-\u27bf\U0001f000-\U0001faff]")  # one character that may follow a cut
+NONE = "\x00"  # stands for a NULL source as a key
 BREAKS = "\r\n\x0b\x0c\u2028\u2029"
 TAIL = 300  # no mark, closing or last line that is whole without a mark is longer
 MARK = re.compile(r"(?:\.\.\.|…|\[(?:more|\.\.\.|…)\]|\((?:more|\.\.\.|…)\)|<\/?[a-zA-Z]{0,8}|&#?[a-zA-Z0-9]{0,8}|�+)$")
@@ -123,15 +124,18 @@ def _long(m: DataFrame) -> DataFrame:
     kinds = ("chars", "bytes", "core_chars", "core_bytes")
     return m.where("chars IS NOT NULL").select(
         "doc_id",
-        "source",
+        F.coalesce("source", F.lit(NONE)).alias("source"),
         F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("length")) for k in kinds))).alias("m"),
     ).select("doc_id", "source", "m.*")
 
 
-def limits(m: DataFrame, near: int = 25, rate: float = 0.001, fewest: int = 3) -> DataFrame:
-    """source, measure, length, texts, expected: the lengths at which texts end too often.
+def limits(m: DataFrame, **how) -> DataFrame:
+    """source, measure, length, texts, expected: the lengths at which texts end too often."""
+    return _limits(m, **how).withColumn("source", F.nullif(F.col("source"), F.lit(NONE)))
+
 
-    near: neighbours are the lengths at most so far away; rate: the false-discovery rate; fewest: texts that a limit needs."""
+def _limits(m: DataFrame, near: int = 25, rate: float = 0.001, fewest: int = 3) -> DataFrame:
+    """near: neighbours are the lengths at most so far away; rate: the false-discovery rate; fewest: texts that a limit needs."""
     counts = _long(m).groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
     by_length = Window.partitionBy("source", "measure").orderBy("length")
     down = by_length.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -154,7 +158,6 @@ def limits(m: DataFrame, near: int = 25, rate: float = 0.001, fewest: int = 3) -
     last = passed.agg(F.max("rank").alias("last"))
     return (
         ranked.join(last, ["source", "measure"])
-        .unionByName(ranked.where("source IS NULL").withColumn("last", F.lit(0)))
         .where((F.col("rank") <= F.col("last")) & (F.col("n") >= fewest))
         .select("source", "measure", "length", F.col("n").alias("texts"), F.round("expected", 4).alias("expected"))
     )
@@ -163,7 +166,7 @@ def limits(m: DataFrame, near: int = 25, rate: float = 0.001, fewest: int = 3) -
 def judged(df: DataFrame, **how) -> DataFrame:
     """doc_id, source, cut (boolean), at_limit (boolean) of every row."""
     m = cut(measured(df))  # a few numbers per text, used three times: the texts are judged once
-    at = _long(m).join(limits(m, **how).select("source", "measure", "length"), ["source", "measure", "length"])
+    at = _long(m).join(_limits(m, **how).select("source", "measure", "length"), ["source", "measure", "length"])
     found = at.select("doc_id").distinct().withColumn("at_limit", F.lit(True))
     return m.join(found, "doc_id", "left").select(
         "doc_id",
