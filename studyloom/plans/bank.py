@@ -289,8 +289,8 @@ LEFT_ITEMS, RIGHT_ITEMS = ("CAST(payload->'$.left_items' AS VARCHAR[])", "CAST(p
 SELECT question_id, type, COALESCE(CASE type WHEN 'MCQ' THEN CASE WHEN COALESCE(TRIM(payload->>'$.question'), '') = '' THEN 'no question' WHEN COALESCE(LEN(CAST(payload->'$.options' AS VARCHAR[])), 0) <> 4 THEN 'not four options'
 WHEN NOT COALESCE(CAST(payload->>'$.correct_option_index' AS INT) BETWEEN 0 AND 3, FALSE) THEN 'index out of range' END
 WHEN 'fill_in_blank' THEN CASE WHEN COALESCE(TRIM(payload->>'$.answer'), '') = '' THEN 'no answer'
-WHEN LEN(REGEXP_SPLIT_TO_ARRAY(TRIM(payload->>'$.answer'), '\s+')) > 4 OR REGEXP_MATCHES(payload->>'$.answer', '[.!?;]') THEN 'not a term'
-WHEN REGEXP_MATCHES(payload->>'$.answer', '[\^*/=()×÷]|[²³]|\w+ x \w+') THEN 'a formula' WHEN COALESCE(LEN(CAST(payload->'$.accepted_answers' AS VARCHAR[])), 0) > 8 THEN 'too many aliases' END
+WHEN LEN(REGEXP_SPLIT_TO_ARRAY(TRIM(payload->>'$.answer'), '\\s+')) > 4 OR REGEXP_MATCHES(payload->>'$.answer', '[.!?;]') THEN 'not a term'
+WHEN REGEXP_MATCHES(payload->>'$.answer', '[\\^*/=()×÷]|[²³]|\\w+ x \\w+') THEN 'a formula' WHEN COALESCE(LEN(CAST(payload->'$.accepted_answers' AS VARCHAR[])), 0) > 8 THEN 'too many aliases' END
 ELSE CASE WHEN COALESCE(LEN({LEFT_ITEMS}), 0) < 3 OR COALESCE(LEN({RIGHT_ITEMS}), 0) < 3 THEN 'fewer than three' WHEN LEN({LEFT_ITEMS}) <> LEN({RIGHT_ITEMS}) THEN 'sides differ'
 WHEN LEN({LEFT_ITEMS}) <> LEN(LIST_DISTINCT({LEFT_ITEMS})) OR LEN({RIGHT_ITEMS}) <> LEN(LIST_DISTINCT({RIGHT_ITEMS})) THEN 'repeated item'
 WHEN ks <> LIST_SORT({LEFT_ITEMS}) OR vs <> LIST_SORT({RIGHT_ITEMS}) THEN 'pairs don''t fit' END END, '') AS reason FROM questions LEFT JOIN p USING (question_id)"""
