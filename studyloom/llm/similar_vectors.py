@@ -51,19 +51,19 @@ def fit(
     leaf_rows: int = 3000,
     max_leaves: int = 2048,
     sample_rows: int = 16384,
-    probes: int = 2048,
+    probes: int = 4096,
     both: bool = True,
 ) -> tuple[Tree | None, float, float, int]:
     """(tree, margin, recall measured on the sample, rows); the tree is None for a table without a usable vector."""
     total = df.count()
     leaves = int(min(max_leaves, max(1, total // leaf_rows)))
-    x = collect_matrix(sampled(df, id_col, max(sample_rows, 16 * leaves), total, 1), vector, dim)
+    x = collect_matrix(sampled(df, id_col, vector, max(sample_rows, 16 * leaves), total, 1), vector, dim)
     if not len(x):
         return None, 0.0, 1.0, total
     tree = Tree(unit(x), leaves)
     if tree.leaves == 1:
         return tree, 0.0, 1.0, total
-    queries = collect_matrix(sampled(df, id_col, probes, total, 2), vector, dim)
+    queries = collect_matrix(sampled(df, id_col, vector, probes, total, 2), vector, dim)
     if not len(queries):
         queries = x[:probes]
     pairs = true_neighbours(df, id_col, vector, queries, k, least, dim)
@@ -182,7 +182,7 @@ def similar_vectors(
     k: int = 10,
     least: float = 0.8,
     dim: int = 384,
-    recall: float = 0.99,
+    recall: float = 0.992,
     block: int = 20000,
     **fitting,
 ) -> DataFrame:

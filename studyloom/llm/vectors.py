@@ -206,18 +206,18 @@ def calibrated(tree: Tree, pairs: tuple[np.ndarray, np.ndarray], recall: float,
     return margin, reached
 
 
-def sampled(df: DataFrame, key: str, n: int, total: int, salt: int) -> DataFrame:
-    """A repeatable sample of about n of `total` rows by a hash of the key: bounded by n plus its spread."""
+def sampled(df: DataFrame, key: str, vector: str, n: int, total: int, salt: int) -> DataFrame:
+    """A repeatable sample of about n of `total` rows, by a hash of key and vector: bounded by n plus its spread."""
     if total <= n:
         return df
-    share = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * n / total) + 1
-    return df.where(share).limit(2 * n + 1000)  # one key on many rows doesn't break the bound
+    share = F.pmod(F.xxhash64(F.col(key), F.col(vector), F.lit(salt)), F.lit(1_000_000))
+    return df.where(share < int(1_000_000 * n / total) + 1)
 
 
 def collect_matrix(df: DataFrame, column: str, dim: int) -> np.ndarray:
     """The usable vectors of a bounded frame on the driver."""
     got = df.select(column).mapInArrow(_packer(dim), "v binary").toArrow()
-    return unpack(got.column(0).to_pylist(), dim)
+    return unpack(sorted(got.column(0).to_pylist()), dim)  # the order of arrival must not matter
 
 
 def _packer(dim: int):
@@ -249,15 +249,16 @@ def true_neighbours(
         i, s, x = np.empty(0, np.int64), np.empty(0, np.float32), np.empty((0, dim), np.float32)
         for batch in batches:
             _, new = matrix(batch.column(0), dim)
-            if not len(new):
-                continue
-            sims = q @ unit(new).T
-            n, j = np.nonzero((sims >= least) & (sims < 1 - 1e-6))
-            if len(n):
+            for at in range(0, len(new), 2048):
+                part = new[at : at + 2048]
+                sims = q @ unit(part).T
+                n, j = np.nonzero((sims >= least) & (sims < 1 - 1e-6))
+                if not len(n):
+                    continue
                 # only the k best of a query in this batch are kept, then those of all so far
                 first = _first(n, sims[n, j], k)
                 n, j = n[first], j[first]
-                i, s, x = np.r_[i, n], np.r_[s, sims[n, j]], np.concatenate([x, new[j]])
+                i, s, x = np.r_[i, n], np.r_[s, sims[n, j]], np.concatenate([x, part[j]])
                 first = _first(i, s, k)
                 i, s, x = i[first], s[first], x[first]
         if len(i):
