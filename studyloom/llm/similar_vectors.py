@@ -10,6 +10,11 @@ arrives as one row per batch, with its k + 1 smallest ids. Leaves whose share of
 outgrow `block` rows are split: base rows are spread over blocks, queries visit all of them.
 What is broadcast is the tree: at most `max_leaves` nodes (plus inner nodes) of one vector each.
 
+Without a floor (`least=None`) every row has its k neighbours, however far they are; most of them lie in other leaves, so that nearly
+all leaves are visited. Leaves are then packed into shards of up to `block` rows and a row goes once to each shard it has leaves in,
+in `part` queries at a time; inside, each leaf is compared with the rows that visit it and a running top k is kept for each row.
+The work grows with the square of the rows.
+
 Defined results: rows whose id is NULL or whose vector isn't usable (NULL, wrong length, NULL, NaN
 or infinite values, all zero) have no neighbours and are none; equal similarities (9 decimals) rank by the
 smaller id; repeated ids count once; an empty table gives no rows; extra columns are not read.
@@ -23,12 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.llm.vectors import (
+    SLACK,
     Tree,
     calibrated,
     close_pairs,
     collect_matrix,
     digest,
+    exact_cosine,
     matrix,
+    nearest_rows,
     pack,
     sampled,
     true_neighbours,
@@ -38,6 +46,8 @@ from studyloom.llm.vectors import (
 
 ROUTED = "leaf int, block int, base boolean, h binary, v binary, ids array<string>"
 FOUND = "h binary, far double, id string"
+SHARDED = "shard int, part int, asks boolean, home int, leaves array<int>, h binary, v binary, ids array<string>"
+NEAREST = "h binary, near array<struct<far: double, id: string>>"
 
 
 def fit(
@@ -46,7 +56,7 @@ def fit(
     vector: str,
     dim: int,
     k: int,
-    least: float,
+    least: float | None,
     recall: float,
     leaf_rows: int = 3000,
     max_leaves: int = 2048,
@@ -66,7 +76,10 @@ def fit(
     queries = collect_matrix(sampled(df, id_col, vector, probes, total, 2), vector, dim)
     if not len(queries):
         queries = x[:probes]
-    pairs = true_neighbours(df, id_col, vector, queries, k, least, dim)
+    if least is None:
+        pairs = nearest_rows(df, vector, queries[np.random.default_rng(5).permutation(len(queries))[: max(1, probes // 4)]], k, dim)
+    else:
+        pairs = true_neighbours(df, id_col, vector, queries, k, least, dim)
     margin, reached = calibrated(tree, pairs, recall, both)
     return tree, margin, reached, total
 
@@ -164,6 +177,118 @@ def _search(dim: int, least: float, keep: int):
     return run
 
 
+def _shards(tree: Tree, total: int, block: int) -> list[range]:
+    """The shards of each leaf: neighbouring leaves share one up to `block` rows, a larger leaf has several of its own."""
+    out, at, used = [], 0, 0.0
+    for share in tree.share:
+        rows = total * share
+        if used and used + rows > block:
+            at, used = at + 1, 0.0
+        several = max(1, -(-int(rows) // block))
+        out.append(range(at, at + several))
+        at, used = (at + several, 0.0) if several > 1 else (at, used + rows)
+    return out
+
+
+def _send(shared, margin: float, dim: int, keep_ids: int, shards: list[range], parts: int):
+    def run(batches):
+        tree: Tree = shared.value
+        for batch in batches:
+            rows, x = matrix(batch.column(1), dim)
+            ids = batch.column(0).take(pa.array(rows)).to_pylist()
+            first: dict[bytes, int] = {}
+            members: dict[bytes, set[str]] = {}
+            for n, (h, i) in enumerate(zip(digest(x), ids)):
+                if i is not None:
+                    first.setdefault(h, n)
+                    members.setdefault(h, set()).add(i)
+            hs, at = list(first), np.fromiter(first.values(), np.int64, len(first))
+            for begin in range(0, len(hs), 1024):
+                some, y = hs[begin : begin + 1024], x[at[begin : begin + 1024]]
+                out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+                for h, v, leaves in zip(some, pack(y), tree.visits(unit(y), margin)):
+                    small = sorted(members[h])[:keep_ids]
+                    asked: dict[int, list[int]] = {}
+                    for leaf in leaves:
+                        for shard in shards[leaf]:
+                            asked.setdefault(shard, []).append(leaf)
+                    code = int.from_bytes(h[:4], "little")
+                    home, own = shards[leaves[0]][code % len(shards[leaves[0]])], code // 65536 % parts
+                    sent = [(s, own, True, leaves[0] if s == home else -1, to) for s, to in asked.items()]
+                    sent += [(home, part, False, leaves[0], []) for part in range(parts) if part != own]
+                    for row in sent:
+                        for column, value in zip(out, (*row, h, v, small)):
+                            column.append(value)
+                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.string()))
+                names = ["shard", "part", "asks", "home", "leaves", "h", "v", "ids"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+
+    return run
+
+
+def _top(q: np.ndarray, b: np.ndarray, own: np.ndarray, rank: np.ndarray, state: tuple, keep: int, at: np.ndarray, base: np.ndarray) -> None:
+    """Merges the rows b (numbers `base`) into the running lists `state` of the queries q (numbers `at`), exactly: float32 products
+    only leave out rows that can't be among the `keep` best. own: the query's number, or -1 if it may be its own neighbour."""
+    sims_of, rows_of = state
+    sims = unit(q) @ unit(b).T
+    floor = sims_of[at, -1]
+    better = np.flatnonzero(sims.max(1) >= floor - SLACK)
+    if not len(better):
+        return
+    sims, floor = sims[better], floor[better]
+    if len(b) > keep:
+        floor = np.maximum(floor, np.partition(sims, len(b) - keep, axis=1)[:, len(b) - keep])
+    i, j = np.nonzero(sims >= (floor - SLACK)[:, None])
+    other = base[j] != own[better[i]]
+    i, j = better[i[other]], j[other]
+    s = np.empty(len(i))
+    for part in range(0, len(i), 100_000):
+        cut = slice(part, part + 100_000)
+        s[cut] = np.round(exact_cosine(q[i[cut]], b[j[cut]]), 9)
+    old_i, old_k = np.nonzero(rows_of[at] >= 0)
+    i, j, s = np.r_[old_i, i], np.r_[rows_of[at][old_i, old_k], base[j]], np.r_[sims_of[at][old_i, old_k], s]
+    best = _best(i, j, s, rank, keep)
+    i, j, s = i[best], j[best], s[best]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    rows_of[at[i], place], sims_of[at[i], place] = j, s
+
+
+def _nearest(dim: int, keep: int, block: int = 512):
+    def run(t: pa.Table) -> pa.Table:
+        groups: dict[bytes, int] = {}
+        packed, ids, home, asks, visits = [], [], [], [], []
+        for a, leaf, to, h, v, i in zip(*(t.column(c).to_pylist() for c in ("asks", "home", "leaves", "h", "v", "ids"))):
+            g = groups.setdefault(h, len(packed))
+            if g == len(packed):
+                packed.append(v), ids.append(i), home.append(leaf), asks.append(a), visits.append(to)
+            else:
+                ids[g] = sorted({*ids[g], *i})[:keep]
+        x = unpack(packed, dim)
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(np.array([i[0] for i in ids]), kind="stable")] = np.arange(len(ids))
+        own = np.array([-1 if len(i) > 1 else n for n, i in enumerate(ids)])
+        state = np.full((len(ids), keep), -2.0), np.full((len(ids), keep), -1, np.int64)
+        home, askers = np.array(home), {}
+        for n, to in enumerate(visits):
+            for leaf in to:
+                askers.setdefault(leaf, []).append(n)
+        for leaf, queries in sorted(askers.items()):
+            base, queries = np.flatnonzero(home == leaf), np.array(queries)
+            for b in range(0, len(base), 8192):
+                some = base[b : b + 8192]
+                for q in range(0, len(queries), block):
+                    at = queries[q : q + block]
+                    _top(x[at], x[some], own[at], rank, state, keep, at, some)
+        hs, near = [], []
+        for n, h in enumerate(groups):
+            if asks[n]:
+                found = [(-s, i) for s, g in zip(state[0][n].tolist(), state[1][n].tolist()) if g >= 0 for i in ids[g]]
+                hs.append(h), near.append([{"far": f, "id": i} for f, i in sorted(found)[:keep]])
+        return pa.table([pa.array(hs, pa.binary()), pa.array(near, pa.list_(pa.struct([("far", pa.float64()), ("id", pa.string())])))], ["h", "near"])
+
+    return run
+
+
 def _members(dim: int):
     def run(batches):
         for batch in batches:
@@ -180,27 +305,32 @@ def similar_vectors(
     id_col: str = "question_id",
     vector: str = "embedding",
     k: int = 10,
-    least: float = 0.8,
+    least: float | None = None,
     dim: int = 384,
     recall: float = 0.992,
-    block: int = 20000,
+    block: int | None = None,
+    part: int = 60000,
     **fitting,
 ) -> DataFrame:
-    """Neighbour lists: id, neighbour, similarity, rank (1..k) of all with similarity >= least."""
+    """Neighbour lists: id, neighbour, similarity, rank (1..k); least: only of those with similarity >= least."""
     df = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector).alias("embedding"))
     spark = df.sparkSession
-    tree, margin, _, total = fit(df, "id", "embedding", dim, k, least, recall, **fitting)
+    tree, margin, _, total = fit(df, "id", "embedding", dim, k, least, recall, **({"both": False} if least is None else {}) | fitting)
     if tree is None:
         return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
     keep = k + 1
-    blocks = [max(1, -(-int(total * share) // block)) for share in tree.share]
-    routed = df.mapInArrow(_route(spark.sparkContext.broadcast(tree), margin, dim, keep, blocks), ROUTED)
-    found = routed.groupBy("leaf", "block").applyInArrow(_search(dim, least, keep), FOUND)
-    lists = (
-        found.groupBy("h")
-        .agg(F.collect_set(F.struct("far", "id")).alias("near"))
-        .select("h", F.slice(F.array_sort("near"), 1, keep).alias("near"))
-    )
+    shared = spark.sparkContext.broadcast(tree)
+    if least is None:
+        shards = _shards(tree, total, block or 40000)
+        sent = df.mapInArrow(_send(shared, margin, dim, keep, shards, max(1, -(-total // part))), SHARDED)
+        found = sent.groupBy("shard", "part").applyInArrow(_nearest(dim, keep), NEAREST)
+        near = F.flatten(F.collect_list("near"))
+    else:
+        blocks = [max(1, -(-int(total * share) // (block or 20000))) for share in tree.share]
+        routed = df.mapInArrow(_route(shared, margin, dim, keep, blocks), ROUTED)
+        found = routed.groupBy("leaf", "block").applyInArrow(_search(dim, least, keep), FOUND)
+        near = F.collect_set(F.struct("far", "id"))
+    lists = found.groupBy("h").agg(near.alias("near")).select("h", F.slice(F.array_sort("near"), 1, keep).alias("near"))
     members = df.mapInArrow(_members(dim), "id string, h binary").where("id IS NOT NULL").distinct()
     own = members.join(lists, "h").select("id", F.slice(F.expr("filter(near, n -> n.id <> id)"), 1, k).alias("near"))
     return own.select("id", F.posexplode("near").alias("p", "n")).select(
@@ -208,9 +338,9 @@ def similar_vectors(
     )
 
 
-def similar_pairs(df: DataFrame, **how) -> DataFrame:
-    """question_id_a < question_id_b: pairs of which one at least is in the other's list."""
-    near = similar_vectors(df, **how)
+def similar_pairs(df: DataFrame, least: float = 0.8, **how) -> DataFrame:
+    """question_id_a < question_id_b: pairs with similarity >= least of which one at least is in the other's list."""
+    near = similar_vectors(df, least=least, **how)
     return near.select(
         F.least("id", "neighbour").alias("question_id_a"), F.greatest("id", "neighbour").alias("question_id_b")
     ).distinct()

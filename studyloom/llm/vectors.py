@@ -274,3 +274,41 @@ def true_neighbours(
     q, x = q[order], x[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
     return unit(queries)[q[rank < k]], unit(x[rank < k]) if len(x) else x[rank < k]
+
+
+def nearest_rows(df: DataFrame, vector: str, queries: np.ndarray, k: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """true_neighbours without a floor: each query's k most similar rows of all of df, however far. A running top k by task, merged
+    before the driver, which gets k rows for each query."""
+    known = df.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches):
+        q = unit(known.value)
+        s, x = np.empty((len(q), 0), np.float32), np.empty((0, dim), np.float32)
+        held = np.empty((len(q), 0), np.int64)
+        for batch in batches:
+            _, new = matrix(batch.column(0), dim)
+            for at in range(0, len(new), 2048):
+                part = new[at : at + 2048]
+                sims = q @ unit(part).T
+                sims[sims >= 1 - 1e-6] = -2  # another vector than itself
+                s = np.concatenate([s, sims], axis=1)
+                held = np.concatenate([held, np.broadcast_to(np.arange(len(x), len(x) + len(part)), sims.shape)], axis=1)
+                x = np.concatenate([x, part])
+                if s.shape[1] > k:
+                    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    s, held = np.take_along_axis(s, best, 1), np.take_along_axis(held, best, 1)
+                used, held = np.unique(held, return_inverse=True)
+                x, held = x[used], held.reshape(s.shape)
+        i, n = np.nonzero(s > -2)
+        for at in range(0, len(i), 4096):
+            a, b = i[at : at + 4096], n[at : at + 4096]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a.astype(np.int32)), pa.array(-s[a, b].astype(np.float64)), pa.array(pack(x[held[a, b]]), pa.binary())],
+                ["q", "far", "v"],
+            )
+
+    found = df.select(vector).mapInArrow(run, "q int, far double, v binary")
+    best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "v"))), 1, k).alias("b"))
+    got = best.orderBy("q").select("q", F.explode("b.v").alias("v")).toArrow()
+    x = unpack(got.column("v").to_pylist(), dim)
+    return unit(queries)[got.column("q").to_numpy()], unit(x) if len(x) else x

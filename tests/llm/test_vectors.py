@@ -77,6 +77,22 @@ def test_pairs_reach_recall_with_many_leaves(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+@pytest.mark.parametrize("how, least", [({}, 1.0), ({"leaf_rows": 60, "block": 250, "part": 300, "probes": 400}, 0.97)])
+def test_lists_without_a_floor_are_full(spark, how, least):
+    rows, _ = made(900, copies=200, seed=9)
+    df = spark.createDataFrame(rows, KINDS).repartition(5)
+    got = {}
+    for r in similar_vectors.similar_vectors(df, dim=16, **how).collect():
+        got.setdefault(r.id, []).append((r.rank, r.neighbour, r.similarity))
+    want = brute(rows, 10, -2, 16)
+    assert got.keys() == want.keys() and {len(v) for v in got.values()} == {10}
+    same = sum(len({n for _, n, _ in got[i]} & {n for _, n in near}) for i, near in want.items())
+    assert same >= least * 10 * len(want)
+    if least == 1:
+        for i, near in want.items():
+            assert [(n, s) for _, n, s in sorted(got[i])] == [(n, -s) for s, n in near], i
+
+
 def test_empty_and_all_unusable(spark):
     empty = spark.createDataFrame([], KINDS)
     bad = spark.createDataFrame([("a", None, None, None, None, None), ("b", [0.0] * 16, None, 1, None, None)], KINDS)
