@@ -11,10 +11,14 @@ FIGURE = (
     r"(?i)\bfig(?:ure)?s?\.?\s*\d", r"(?i)\b(?:shown|given|seen) (?:in the figure|above|below)\b", r"(?i)\bin the (?:adjoining )?(?:figure|diagram|picture)\b",
     r"(?i)\bthe (?:figure|diagram|graph|map) (?:above|below|shows)\b", r"(?i)\blook at (?:the )?(?:figure|picture|diagram)\b", r"(?i)\bobserve the (?:figure|picture)\b",
 )  # fixed patterns: references to a picture
+MARKER = "\x00SUBHEADING\x00"  # begins a line that a detector knows for a subheading; never part of a piece
+NUMBERED = r"(?U)^\d+\.\d+\.\d+[\s\x1c-\x1f]+[^\n]{2,100}\z"  # 1.2.1 Heading
+EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
-def packed(lines: DataFrame, doc: list[str], order: list[str], limit: int = 2000) -> DataFrame:
+def packed(lines: DataFrame, doc: list[str], order: list[str], limit: int = 2000, blank: bool = False) -> DataFrame:
     """Greedy packing of a document's lines: a piece is closed when the next line would take it over the limit and it isn't empty.
+    blank: a piece of nothing but empty lines isn't empty either.
 
     The fold restarts at each overflow, so a running sum can't express it; it is one aggregate over the document's line lengths."""
     parts = lines.groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("l"))
@@ -22,7 +26,7 @@ def packed(lines: DataFrame, doc: list[str], order: list[str], limit: int = 2000
 
     def step(s: Column, x: Column) -> Column:
         n = F.length(x["text"])
-        full = (s["used"] > 0) & (s["used"] + n > limit)
+        full = (F.size(s["pieces"]) > 0 if blank else s["used"] > 0) & (s["used"] + n > limit)
         piece = s["piece"] + full.cast("int")
         return F.struct(
             F.when(full, n).otherwise(s["used"] + n).alias("used"), piece.alias("piece"), F.concat(s["pieces"], F.array(piece)).alias("pieces")
@@ -34,6 +38,36 @@ def packed(lines: DataFrame, doc: list[str], order: list[str], limit: int = 2000
     )
 
 
+def topic_pieces(topics: DataFrame, key: list[str], number: str = "topic_number", longest: int = 3000, limit: int = 2000) -> DataFrame:
+    """Topics (key, number, text) as pieces: key, chunk_index, split_method, text.
+
+    A topic of at most `longest` characters or without a number stays whole ("none"); another is cut before each line that begins with
+    MARKER ("marked-subheading"), else before each N.M.K heading ("sub-subheading"), else packed by lines ("paragraph-group"). What stands
+    before the first heading is a piece of its own; pieces of cut topics are trimmed. A NULL text is an empty one. `key` is unique."""
+    raw = F.coalesce(F.col("text"), F.lit(""))
+    plain = F.replace(raw, F.lit(MARKER), F.lit(""))
+    whole = (F.length(plain) <= longest) | (F.coalesce(F.col(number), F.lit("")) == "")
+    lines = F.split(raw, "\n")
+    marked = F.exists(lines, lambda x: x.startswith(MARKER))
+    numbered = F.exists(F.split(plain, "\n"), lambda x: x.rlike(NUMBERED))
+    method = F.when(whole, "none").when(marked, "marked-subheading").when(numbered, "sub-subheading").otherwise("paragraph-group")
+    t = topics.select(*key, raw.alias("text"), plain.alias("_plain"), method.alias("split_method"))
+
+    kept = t.where("split_method = 'none'").select(*key, F.lit(0).alias("chunk_index"), "split_method", F.col("_plain").alias("text"))
+    cut = t.where("split_method <> 'none'").select(*key, "split_method", F.posexplode(F.split("text", "\n")).alias("line_no", "_raw"))
+    cut = cut.withColumn("text", F.replace("_raw", F.lit(MARKER), F.lit("")))
+    by = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.when(F.col("split_method") == "marked-subheading", F.col("_raw").startswith(MARKER)).otherwise(F.col("text").rlike(NUMBERED))
+    # the first line begins a piece in any case
+    headed = cut.where("split_method <> 'paragraph-group'").withColumn("piece", F.sum(((F.col("line_no") == 0) | begins).cast("int")).over(by) - 1)
+    filled = packed(cut.where("split_method = 'paragraph-group'"), [*key, "split_method"], ["line_no"], limit, blank=True)
+    columns = [*key, "split_method", "line_no", "text", F.col("piece").cast("int").alias("chunk_index")]
+    pieces = headed.select(*columns).unionByName(filled.select(*columns)).groupBy(*key, "split_method", "chunk_index").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text")
+    )
+    return kept.unionByName(pieces.withColumn("text", F.regexp_replace("text", EDGES, "")))
+
+
 def figure_sentences(chunks: DataFrame) -> DataFrame:
     """Sentences that need a figure to be understood."""
     s = chunks.select("chunk_id", F.posexplode(sentences(F.regexp_replace("text", r"\s+", " "))).alias("pos", "sentence"))

@@ -57,13 +57,3 @@ def continues_title(c: Column) -> Column:
     big = F.filter(long_, lambda w: w.rlike(r"^\p{Lu}"))
     prose = t.rlike(r"(?i)^(the|this|these|it|in this|we|you|if|when|as|for example)\b.*\b(is|are|was|were|has|have|can)\b")
     return ~prose & ~t.rlike(r"[.!?]$") & ((F.upper(t) == t) | (F.size(big) * 2 >= F.size(long_)))
-
-
-def topic_pieces(text: Column) -> Column:
-    """Which way a topic's text is cut: kept whole, at markers, at numbered parts, or by packing lines."""
-    return (
-        F.when(F.length(text) <= 3000, "whole")
-        .when(text.rlike(r"(?m)^\s*(Activity|Example|Question)\s+\d"), "markers")
-        .when(text.rlike(r"(?m)^\s*\d+\.\d+\.\d+\s"), "numbers")
-        .otherwise("packed")
-    )

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from studyloom.functions import text as T
+from studyloom.operators import chunking as C
 from studyloom.operators import names as N
 from studyloom.operators import performance as P
 from studyloom.operators import retrieval as R
@@ -249,12 +250,22 @@ def backoff_plan(spark, d):
     return spark.range(4).select(F.col("id").cast("int").alias("attempt"), F.pow(F.lit(2.0), F.col("id")).alias("wait"))
 
 
+TOPIC = ["class", "subject", "source_file", "chapter", "topic_number", "topic"]
+
+
 @query()
-def topic_split_methods(spark, d):
-    t = table(spark, d, "chunk").dropDuplicates(["chunk_id"]).groupBy("class", "subject", "chapter", "topic").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("text")
+def topic_pieces(spark, d):
+    """The texts of the book's topics, the long ones cut."""
+    t = table(spark, d, "chunk").dropDuplicates(["chunk_id"]).groupBy(*TOPIC).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text"))), lambda x: x["text"]), "\n").alias("text")
     )
-    return t.groupBy(N.topic_pieces(F.col("text")).alias("method")).agg(F.count(F.lit(1)).alias("topics"))
+    return C.topic_pieces(t, TOPIC)
+
+
+@query()
+def topic_split_methods(spark, d):
+    first = topic_pieces(spark, d).where("chunk_index = 0")
+    return first.groupBy(F.col("split_method").alias("method")).agg(F.count(F.lit(1)).alias("topics"))
 
 
 @query("SELECT chapter, CAST(COUNT(*) AS BIGINT) AS n, MIN(LENGTH(chapter))::INT AS size FROM chunk GROUP BY 1")

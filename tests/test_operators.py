@@ -243,3 +243,44 @@ def test_admission_by_rolling_quota(spark, tmp_path):
     q = streaming.admitted(stream.select("user_id", "at"), limit=2).writeStream.format("memory").queryName("adm").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.user_id, r.at_s): r.ok for r in spark.table("adm").collect()} == {(r.user_id, r.at_s): r.ok for r in got.collect()}
+
+
+def test_topic_pieces(spark):
+    import re
+
+    from studyloom.operators import chunking as C
+
+    def want(number, text):
+        """The rules of SURVEY H19 line by line."""
+        whole = text.replace(C.MARKER, "")
+        if len(whole) <= 3000 or not number:
+            return [("none", whole)]
+        lines, method = text.split("\n"), "marked-subheading"
+        at = [n for n, x in enumerate(lines) if x.startswith(C.MARKER)]
+        lines = [x.replace(C.MARKER, "") for x in lines]
+        if not at:
+            at, method = [n for n, x in enumerate(lines) if re.match(r"^\d+\.\d+\.\d+\s+.{2,100}$", x)], "sub-subheading"
+        if at:
+            ends = [*([0] if at[0] else []), *at, len(lines)]
+            return [(method, "\n".join(lines[a:b]).strip()) for a, b in zip(ends, ends[1:])]
+        out, used = [[]], 0
+        for x in lines:
+            if out[-1] and used + len(x) > 2000:
+                out.append([])
+                used = 0
+            out[-1].append(x)
+            used += len(x)
+        return [("paragraph-group", "\n".join(p).strip()) for p in out]
+
+    prose = "\n".join(f"Line {n} of a text \U0001d538 that goes on and on over the page." for n in range(80))
+    texts = {
+        "short": "a\n1.2.3 Not cut\nb", "short marked": f"a\n{C.MARKER}b", "exact": "x" * 3000, "plain": prose, "one line": "y" * 5000, "blank first": "\n\n" + "z" * 2500 + "\n" + prose,
+        "numbers": f"intro\n1.2.1 First part\n{prose}\n1.2.2 Second \r\nend\n1.2.3 x\nnot a heading", "first line": f"1.2.1 First part\n{prose}\n1.2.2\tNext part\n  ",
+        "both": f"a\n1.2.1 First part\n{prose}\n{C.MARKER}A. Subhead\nb\n1.2.2 Next\n{C.MARKER}\nc", "in a line": f"a {C.MARKER} b\n{prose}", "empty": "",
+    }
+    rows = [(f"{name} {k}", number, text) for name, text in texts.items() for k, number in enumerate(["1.2", None, ""])]
+    got = {}
+    for r in C.topic_pieces(spark.createDataFrame(rows, "topic string, topic_number string, text string"), ["topic"]).collect():
+        got.setdefault(r.topic, []).append((r.chunk_index, r.split_method, r.text))
+    assert {k: sorted(v) for k, v in got.items()} == {t: [(n, *p) for n, p in enumerate(want(number, text))] for t, number, text in rows}
+    assert {m for v in got.values() for _, m, _ in v} == {"none", "marked-subheading", "sub-subheading", "paragraph-group"}
