@@ -8,8 +8,9 @@ removed by features of a line: what share of it is the chapter's title (of the b
 between torn sentences, the lines around it, and whether the book prints such lines elsewhere.
 
 Scale. Word counts and line counts are partial aggregations over all chunks; the word list is the
-`WORDS` most frequent words (a bound of some MB for the broadcast; a rarer word is neither a repair's result nor flagged). Books' titles and header
-styles are joined by source_file, one row per book. Chunks are then edited where they are, in one pass; edits of a word are remembered by
+`WORDS` most frequent words (a bound of some MB for the broadcast; a rarer word is neither a repair's result nor flagged). All distinct
+chapters of a book are joined to its chunks by source_file, as one array that grows with the book's chapters; of a long list a line is compared only
+with titles that share a third of their pairs of letters with it. Chunks are then edited where they are, in one pass; edits of a word are remembered by
 the worker.
 
 Defined results: NULL and empty texts have no noise; chunks of one id are one chunk, with the noise of all their rows; repairs without
@@ -20,10 +21,12 @@ Defined results: NULL and empty texts have no noise; chunks of one id are one ch
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -271,13 +274,14 @@ def furniture(lines: list[str], titles: list[str], subject: str) -> dict[int, se
     filler = {squeezed(subject or ""), "chapter", "unit", ""}
     if squeezed(subject or ""):
         titles = [*titles, f"{squeezed(subject)}class"]
+    known = tuple(titles)
     for n, line in enumerate(lines):
         bare = line.strip()
         if not bare or len(bare) > 160:
             continue
         letters = squeezed(bare)
         if letters and titles:
-            for title in titles:
+            for title in _near(letters, known):
                 if not title or len(letters) < len(title) - 2 or len(letters) > len(title) + 24:
                     continue
                 if intro is not None and n == intro - 1 and letters == title and not any(c.isdigit() for c in bare):
@@ -305,6 +309,26 @@ def furniture(lines: list[str], titles: list[str], subject: str) -> dict[int, se
     return out
 
 
+@functools.lru_cache(maxsize=16)
+def _pairs(titles: tuple[str, ...]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """(number of each pair of letters, which titles have it, how many pairs each title has)."""
+    pairs = [{t[n : n + 2] for n in range(len(t) - 1)} for t in titles]
+    number = {p: n for n, p in enumerate(sorted(set().union(*pairs)))}
+    have = np.zeros((len(number), len(titles)), np.uint8)
+    for n, own in enumerate(pairs):
+        have[[number[p] for p in own], n] = 1
+    return number, have, np.array([len(own) for own in pairs])
+
+
+def _near(line: str, titles: tuple[str, ...]) -> list[str] | tuple[str, ...]:
+    """The titles that a line can hold or resemble (see _alike), in their order; short lists are not searched."""
+    if len(titles) <= 16:
+        return titles
+    number, have, sizes = _pairs(titles)
+    rows = [number[p] for p in {line[n : n + 2] for n in range(len(line) - 1)} if p in number]
+    return [titles[n] for n in np.flatnonzero(have[rows].sum(0, dtype=np.int64) * 3 >= sizes)]
+
+
 def _alike(line: str, title: str) -> bool:
     """Whether they share a third of the title's pairs of letters: cheap, before the exact comparison."""
     pairs = {title[n : n + 2] for n in range(len(title) - 1)}
@@ -424,6 +448,11 @@ def word_counts(df: DataFrame, text: str = "text", most: int = WORDS) -> dict[st
     return dict(zip(t.column("word").to_pylist(), t.column("n").to_pylist()))
 
 
+@functools.lru_cache(maxsize=256)
+def _squeezed_all(titles: tuple[str, ...]) -> list[str]:
+    return [t for t in map(squeezed, titles) if len(t) >= 6]
+
+
 def _edited(shared):
     def run(batches):
         model, counts = shared.value
@@ -435,8 +464,8 @@ def _edited(shared):
                     ids.append(i), found.append([]), texts.append(text)
                     continue
                 own = [chapter] if chapter and chapter.strip().lower() != "unknown" else []
-                known = [squeezed(t) for t in dict.fromkeys([*own, *(titles or [])])]
-                kinds, better = noise(text, editor, [t for t in known if len(t) >= 6], subject or "")
+                known = _squeezed_all(tuple(dict.fromkeys([*own, *(titles or [])])))
+                kinds, better = noise(text, editor, known, subject or "")
                 ids.append(i), found.append(sorted(kinds)), texts.append(better)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.string()), pa.array(found, pa.list_(pa.string())), pa.array(texts, pa.string())],
@@ -462,13 +491,13 @@ def repaired_chunks(chunks: DataFrame, repairs: DataFrame, train_rows: int = TRA
     ).dropDuplicates(["chunk_id", "text"])
     model = fit_editor([(r.before, r.after) for r in pairs])
     shared = spark.sparkContext.broadcast((model, word_counts(chunks)))
-    # chapters of a book, the most frequent eight: what its running headers may say where a chunk's own is unknown
+    # all chapters of a book, the most frequent first: what its running headers may say where a chunk's own is unknown
     books = (
         rows.where("chapter IS NOT NULL AND lower(trim(chapter)) NOT IN ('unknown', '')")
         .groupBy("source_file", "chapter")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("source_file")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "chapter"))), 1, 8).alias("t"))
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "chapter"))).alias("t"))
         .select(F.col("source_file").alias("_book"), F.expr("transform(t, x -> x.chapter)").alias("titles"))
     )
     return (

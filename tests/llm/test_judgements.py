@@ -112,3 +112,26 @@ def test_chunks_frame(spark):
     got = {tuple(x) for x in S.found_noise(spark.createDataFrame(rows, c), r).collect()}
     assert got == {("h", "header"), ("h", "misread")}
     assert S.found_noise(spark.createDataFrame([], c), r.limit(0)).count() == 0
+
+
+def test_every_chapter_of_a_merged_book_is_known(spark):
+    c = "chunk_id string, text string, chapter string, subject string, source_file string"
+    body = "the orbit stayed curved near the library because the population change times again"
+    names = [f"{a} {b}" for a in ("Lower Pancreas and", "Bright Protein of", "Northern Gene in", "Rigid Pollen under", "Faint Petal with") for b in ("Tissue", "Bedrock", "Moonlight", "Harbours", "Climate")]
+    rows = [(f"c{n} {k}", body, name, "Biology", "b") for n, name in enumerate(names) for k in range(n % 3 + 1)]
+    rows += [(f"h{n}", f"{body}\n{name}    184\nthe population", "Unknown" if n % 2 else None, "Biology", "b") for n, name in enumerate(names)]
+    rows += [("other", f"{body}\n{names[-1]}    184\nthe population", "Unknown", "Biology", "another book")]
+    r = spark.createDataFrame([], "repair_id long, chunk_id string, page int, before string, after string")
+    got = {tuple(x) for x in S.found_noise(spark.createDataFrame(rows, c), r).collect()}
+    want = {(f"h{n}", k) for n in range(len(names)) for k in ("header", "page_number")}
+    assert {x for x in got if x[0][0] != "c" and x[1] in ("header", "page_number")} == want
+
+
+def test_long_lists_of_titles_are_searched_alike(editor):
+    titles = [S.squeezed(f"{a} {b}") for a in ("Lower Pancreas", "Bright Protein", "Northern Gene", "Rigid Pollen", "Faint Petal") for b in ("Tissue", "Bedrock", "Moonlight", "Harbours", "Climate")]
+    lines = ["Lower Pancreas Tissue 12", "Chapter 3 N0rthern Gene Harb0urs", "F a i n t  P e t a l  C l i m a t e", "The rigid pollen is not a header here, only prose.", "Rigid Pol1en Moonlight"]
+    whole = S.furniture(lines, titles, "Biology")
+    for n, line in enumerate(lines):
+        one = [S.furniture([line], [t], "Biology") for t in titles]
+        assert (n in whole) == any(0 in o for o in one), line
+    assert {0, 1, 2} <= set(whole)
