@@ -38,8 +38,8 @@ from studyloom.llm.vectors import (
     matrix,
     nearest_rows,
     pack,
+    probed,
     sampled,
-    true_neighbours,
     unit,
     unpack,
 )
@@ -62,9 +62,10 @@ def fit(
     max_leaves: int = 2048,
     sample_rows: int = 16384,
     probes: int = 4096,
+    most_probes: int = 32768,
     both: bool = True,
 ) -> tuple[Tree | None, float, float, int]:
-    """(tree, margin, recall measured on the sample, rows); the tree is None for a table without a usable vector."""
+    """(tree, margin, recall measured on the sample or 1.0 where all leaves are visited, rows); the tree is None for a table without a usable vector."""
     total = df.count()
     leaves = int(min(max_leaves, max(1, total // leaf_rows)))
     x = collect_matrix(sampled(df, id_col, vector, max(sample_rows, 16 * leaves), total, 1), vector, dim)
@@ -73,13 +74,15 @@ def fit(
     tree = Tree(unit(x), leaves)
     if tree.leaves == 1:
         return tree, 0.0, 1.0, total
-    queries = collect_matrix(sampled(df, id_col, vector, probes, total, 2), vector, dim)
-    if not len(queries):
-        queries = x[:probes]
     if least is None:
+        queries = collect_matrix(sampled(df, id_col, vector, probes, total, 2), vector, dim)
+        if not len(queries):
+            queries = x[:probes]
         pairs = nearest_rows(df, vector, queries[np.random.default_rng(5).permutation(len(queries))[: max(1, probes // 4)]], k, dim)
     else:
-        pairs = true_neighbours(df, id_col, vector, queries, k, least, dim)
+        pairs = probed(df, id_col, vector, probes, most_probes, total, 2, k, least, dim)
+    if pairs is None or not len(pairs[0]):
+        return tree, float("inf"), 1.0, total  # too few to calibrate on: all leaves are visited, which misses none
     margin, reached = calibrated(tree, pairs, recall, both)
     return tree, margin, reached, total
 

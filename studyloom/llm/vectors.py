@@ -194,8 +194,6 @@ def calibrated(tree: Tree, pairs: tuple[np.ndarray, np.ndarray], recall: float,
 
     both: a pair is also met when the second visits the first's home."""
     a, b = pairs
-    if not len(a):
-        return 0.04, 1.0
     home_a, home_b = ([v[0] for v in tree.visits(x, 0.0)] for x in (a, b))
     for margin in WIDTHS:
         met = [h in v for h, v in zip(home_b, tree.visits(a, margin))]
@@ -206,6 +204,23 @@ def calibrated(tree: Tree, pairs: tuple[np.ndarray, np.ndarray], recall: float,
     return margin, reached
 
 
+PAIRS = 2000  # true pairs that a calibration needs: at a target of 0.999, two missed ones
+
+
+def probed(df: DataFrame, id_col: str, vector: str, probes: int, most: int, total: int, salt: int, k: int, least: float, dim: int, enough: int = PAIRS):
+    """True pairs of sampled rows, the sample widened up to `most` rows until `enough` are found; None where they are too few to calibrate on,
+    unless every row was asked: then they are all there are."""
+    while True:
+        queries = collect_matrix(sampled(df, id_col, vector, probes, total, salt), vector, dim)
+        pairs = true_neighbours(df, id_col, vector, queries, k, least, dim) if len(queries) else (queries, queries)
+        if len(pairs[0]) >= enough or probes >= total and len(pairs[0]):
+            return pairs
+        if probes >= min(most, total):
+            return None
+        short = enough / max(1, len(pairs[0]))  # what the sample lacks, with some to spare
+        probes = int(min(most, total, max(2 * probes, 1.25 * short * probes)))
+
+
 def sampled(df: DataFrame, key: str, vector: str, n: int, total: int, salt: int) -> DataFrame:
     """A repeatable sample of about n of `total` rows, by a hash of key and vector: bounded by n plus its spread."""
     if total <= n:

@@ -144,3 +144,18 @@ def test_stored_table_appends_and_checks(spark, tmp_path):
     assert got == {i for i in away(by_vector, 0.9, 16)}
     store.append(new, partitions=3)
     assert store.history(spark).count() > first
+
+
+def test_too_few_pairs_leave_the_exact_bound(spark):
+    """One near pair in the sample or none is no calibration: nothing may be missed then, wherever the copies lie."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[1400:] = x[:100] + 0.1 * rng.normal(size=(100, 16)).astype(np.float32)
+    rows = [(f"q{i:04}", [float(v) for v in x[i]], None, int(i >= 1400), None, None) for i in range(1500)]
+    df = spark.createDataFrame(rows, KINDS).repartition(5)
+    how = {"rows_per_pivot": 30, "probes": 5, "most_probes": 60}
+    pivots, margin, _, _ = pivot_history.choose_pivots(df, "question_id", "embedding", 16, 0.9, 0.999, **how)
+    assert len(pivots) > 20 and margin >= 2 * np.sqrt(0.2)
+    assert {r.question_id for r in pivot_history.turned_away(df, dim=16, **how).collect()} == away(rows, 0.9, 16)
+    pairs = {tuple(r) for r in similar_vectors.similar_pairs(df, least=0.9, dim=16, leaf_rows=60, probes=5, most_probes=60).collect()}
+    assert pairs == {(min(i, n), max(i, n)) for i, near in brute(rows, 10, 0.9, 16).items() for _, n in near}
