@@ -3,12 +3,16 @@
 Method: a hierarchical k-means tree, fitted on a bounded sample, holds every row in one leaf; each
 row visits leaves best bin first through a priority queue, and the visits are widened until the true
 neighbours of sampled queries (found by brute force over all rows) are met with the wanted recall.
+With a floor (`least`) a row is found in every leaf it visits, not only in its home: two rows meet if they visit
+any leaf in common, which takes far fewer visits, and fewer copies of vectors, than searching homes.
 
-Scale. Rows move once to their home leaf and once to each further leaf they visit. Equal vectors are
+Scale. Rows move once to each leaf they visit. Equal vectors are
 merged inside each Arrow batch before the shuffle, so a vector that fills a third of the table
 arrives as one row per batch, with its k + 1 smallest ids. Leaves whose share of the sample says they will
-outgrow `block` rows are split: base rows are spread over blocks, queries visit all of them.
-What is broadcast is the tree: at most `max_leaves` nodes (plus inner nodes) of one vector each.
+outgrow `block` rows are split: base rows are spread over blocks, queries visit all of them. Within a leaf only
+pairs above `least` leave the matrix product, and a running top k of each row is kept.
+The tree has one leaf for `leaf_rows` rows (at least `least_leaves`), so the rows of a leaf don't grow with the table. What is broadcast is the tree, one
+vector for each node: it grows with the table, by 1.5 KB for `leaf_rows` rows, up to `max_leaves` (64 MB), and only beyond that leaves grow.
 
 Without a floor (`least=None`) every row has its k neighbours, however far they are; most of them lie in other leaves, so that nearly
 all leaves are visited. Leaves are then packed into shards of up to `block` rows and a row goes once to each shard it has leaves in,
@@ -45,9 +49,9 @@ from studyloom.llm.vectors import (
 )
 
 ROUTED = "leaf int, block int, base boolean, h binary, v binary, ids array<string>"
-FOUND = "h binary, far double, id string"
 SHARDED = "shard int, part int, asks boolean, home int, leaves array<int>, h binary, v binary, ids array<string>"
 NEAREST = "h binary, near array<struct<far: double, id: string>>"
+NEAR_TYPE = pa.list_(pa.struct([("far", pa.float64()), ("id", pa.string())]))
 
 
 def fit(
@@ -58,22 +62,24 @@ def fit(
     k: int,
     least: float | None,
     recall: float,
-    leaf_rows: int = 3000,
-    max_leaves: int = 2048,
-    sample_rows: int = 16384,
+    leaf_rows: int = 1500,
+    least_leaves: int = 8,
+    max_leaves: int = 40000,
+    sample_rows: int = 32768,
     probes: int = 4096,
     most_probes: int = 32768,
     both: bool = True,
-) -> tuple[Tree | None, float, float, int]:
-    """(tree, margin, recall measured on the sample or 1.0 where all leaves are visited, rows); the tree is None for a table without a usable vector."""
+) -> tuple[Tree | None, int, float, float, int]:
+    """(tree, leaf visits of a row, gap for one more, recall measured on the sample or 1.0 where all leaves are visited, rows); the tree is
+    None for a table without a usable vector."""
     total = df.count()
-    leaves = int(min(max_leaves, max(1, total // leaf_rows)))
+    leaves = int(min(max_leaves, max(least_leaves, total // leaf_rows)))
     x = collect_matrix(sampled(df, id_col, vector, max(sample_rows, 16 * leaves), total, 1), vector, dim)
     if not len(x):
-        return None, 0.0, 1.0, total
-    tree = Tree(unit(x), leaves)
+        return None, 1, -1.0, 1.0, total
+    tree = Tree(unit(x), leaves, branching=32)
     if tree.leaves == 1:
-        return tree, 0.0, 1.0, total
+        return tree, 1, -1.0, 1.0, total
     if least is None:
         queries = collect_matrix(sampled(df, id_col, vector, probes, total, 2), vector, dim)
         if not len(queries):
@@ -82,12 +88,12 @@ def fit(
     else:
         pairs = probed(df, id_col, vector, probes, most_probes, total, 2, k, least, dim)
     if pairs is None or not len(pairs[0]):
-        return tree, float("inf"), 1.0, total  # too few to calibrate on: all leaves are visited, which misses none
-    margin, reached = calibrated(tree, pairs, recall, both)
-    return tree, margin, reached, total
+        # too few to calibrate on: every row is searched for in all leaves, which misses none
+        return tree, tree.leaves, -1.0, 1.0, total
+    return tree, *calibrated(tree, pairs, recall, both), total
 
 
-def _route(shared, margin: float, dim: int, keep_ids: int, blocks: list[int]):
+def _route(shared, most: int, gap: float, dim: int, keep_ids: int, blocks: list[int]):
     def run(batches):
         tree: Tree = shared.value
         for batch in batches:
@@ -105,12 +111,12 @@ def _route(shared, margin: float, dim: int, keep_ids: int, blocks: list[int]):
             hs, at = list(first), np.fromiter(first.values(), np.int64, len(first))
             packed = pack(x[at])
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for h, v, leaves in zip(hs, packed, tree.visits(unit(x[at]), margin)):
+            for h, v, leaves in zip(hs, packed, tree.visits(unit(x[at]), most, gap)[0]):
                 small = sorted(set(members[h]))[:keep_ids]
-                for n, leaf in enumerate(leaves):
-                    home = int.from_bytes(h[:4], "little") % blocks[leaf]
+                code = int.from_bytes(h[:4], "little")
+                for leaf in leaves:
                     for block in range(blocks[leaf]):
-                        for column, value in zip(out, (leaf, block, n == 0 and block == home, h, v, small)):
+                        for column, value in zip(out, (leaf, block, block == code % blocks[leaf], h, v, small)):
                             column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -147,39 +153,42 @@ def _search(dim: int, least: float, keep: int):
             else:
                 g = groups[h]
                 ids[g], base[g] = sorted({*ids[g], *i})[:keep], base[g] or b
-        hs, x = list(groups), unpack(packed, dim)
-        inside = np.flatnonzero(base)
-        out: tuple[list, ...] = ([], [], [])
-        if len(inside):
-            rank = np.empty(len(ids), np.int64)
-            rank[np.argsort(np.array([i[0] for i in ids]), kind="stable")] = np.arange(len(ids))
-            several = np.array([len(i) > 1 for i in ids])
-            told: set[tuple[int, int]] = set()
-
-            def tell(a: int, b: int, s: float) -> None:
-                if (a, b) not in told:
-                    told.add((a, b))
-                    for i in ids[b]:
-                        for column, value in zip(out, (hs[a], -s, i)):
-                            column.append(value)
-
-            for i, j, s in close_pairs(x, x[inside], least):
-                told.clear()
-                j = inside[j]
-                other = (i != j) | several[i]  # a vector alone in its group is no neighbour of itself
-                i, j, s = i[other], j[other], s[other]
-                for p in _best(i, j, s, rank, keep):
-                    tell(i[p], j[p], s[p])
-                for p in _best(j, i, s, rank, keep):
-                    tell(j[p], i[p], s[p])
-        return pa.table(
-            [pa.array(out[0], pa.binary()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.string())],
-            ["h", "far", "id"],
-        )
+        x, inside = unpack(packed, dim), np.flatnonzero(base)
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(np.array([i[0] for i in ids]), kind="stable")] = np.arange(len(ids))
+        several = np.array([len(i) > 1 for i in ids])
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        waiting, parts = 0, [held]
+        for i, j, s in close_pairs(x, None if len(inside) == len(x) else x[inside], least):
+            j = inside[j]
+            other = (i != j) | several[i]  # a vector alone in its group is no neighbour of itself
+            i, j, s = i[other], j[other], s[other]
+            parts.append((np.r_[i, j], np.r_[j, i], np.r_[s, s]))
+            waiting += 2 * len(i)
+            if waiting > 4 * keep * len(x):
+                held = _kept(parts, rank, keep)
+                waiting, parts = 0, [held]
+        i, j, s = _kept(parts, rank, keep)
+        hs, near = [], []
+        names, starts = list(groups), np.searchsorted(i, np.arange(len(x) + 1))
+        for n in np.unique(i).tolist():
+            at = range(starts[n], starts[n + 1])
+            found = sorted((-float(s[p]), one) for p in at for one in ids[j[p]])[:keep]
+            hs.append(names[n]), near.append([{"far": f, "id": one} for f, one in found])
+        return pa.table([pa.array(hs, pa.binary()), pa.array(near, NEAR_TYPE)], ["h", "near"])
 
     return run
 
 
+def _kept(parts: list[tuple], rank: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `keep` best partners of each owner, in the order of the owners; pairs told twice count once."""
+    i, j, s = (np.concatenate([p[n] for p in parts]) for n in range(3))
+    pair = np.unique(i * len(rank) + j, return_index=True)[1]
+    i, j, s = i[pair], j[pair], s[pair]
+    best = _best(i, j, s, rank, keep)
+    return i[best], j[best], s[best]
+
+
 def _shards(tree: Tree, total: int, block: int) -> list[range]:
     """The shards of each leaf: neighbouring leaves share one up to `block` rows, a larger leaf has several of its own."""
     out, at, used = [], 0, 0.0
@@ -193,7 +202,7 @@ def _shards(tree: Tree, total: int, block: int) -> list[range]:
     return out
 
 
-def _send(shared, margin: float, dim: int, keep_ids: int, shards: list[range], parts: int):
+def _send(shared, most: int, gap: float, dim: int, keep_ids: int, shards: list[range], parts: int):
     def run(batches):
         tree: Tree = shared.value
         for batch in batches:
@@ -209,7 +218,7 @@ def _send(shared, margin: float, dim: int, keep_ids: int, shards: list[range], p
             for begin in range(0, len(hs), 1024):
                 some, y = hs[begin : begin + 1024], x[at[begin : begin + 1024]]
                 out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-                for h, v, leaves in zip(some, pack(y), tree.visits(unit(y), margin)):
+                for h, v, leaves in zip(some, pack(y), tree.visits(unit(y), most, gap)[0]):
                     small = sorted(members[h])[:keep_ids]
                     asked: dict[int, list[int]] = {}
                     for leaf in leaves:
@@ -287,7 +296,7 @@ def _nearest(dim: int, keep: int, block: int = 512):
             if asks[n]:
                 found = [(-s, i) for s, g in zip(state[0][n].tolist(), state[1][n].tolist()) if g >= 0 for i in ids[g]]
                 hs.append(h), near.append([{"far": f, "id": i} for f, i in sorted(found)[:keep]])
-        return pa.table([pa.array(hs, pa.binary()), pa.array(near, pa.list_(pa.struct([("far", pa.float64()), ("id", pa.string())])))], ["h", "near"])
+        return pa.table([pa.array(hs, pa.binary()), pa.array(near, NEAR_TYPE)], ["h", "near"])
 
     return run
 
@@ -318,21 +327,21 @@ def similar_vectors(
     """Neighbour lists: id, neighbour, similarity, rank (1..k); least: only of those with similarity >= least."""
     df = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector).alias("embedding"))
     spark = df.sparkSession
-    tree, margin, _, total = fit(df, "id", "embedding", dim, k, least, recall, **({"both": False} if least is None else {}) | fitting)
+    how = ({"both": False, "leaf_rows": 3000} if least is None else {}) | fitting
+    tree, most, gap, _, total = fit(df, "id", "embedding", dim, k, least, recall, **how)
     if tree is None:
         return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
     keep = k + 1
     shared = spark.sparkContext.broadcast(tree)
     if least is None:
         shards = _shards(tree, total, block or 40000)
-        sent = df.mapInArrow(_send(shared, margin, dim, keep, shards, max(1, -(-total // part))), SHARDED)
+        sent = df.mapInArrow(_send(shared, most, gap, dim, keep, shards, max(1, -(-total // part))), SHARDED)
         found = sent.groupBy("shard", "part").applyInArrow(_nearest(dim, keep), NEAREST)
-        near = F.flatten(F.collect_list("near"))
     else:
-        blocks = [max(1, -(-int(total * share) // (block or 20000))) for share in tree.share]
-        routed = df.mapInArrow(_route(shared, margin, dim, keep, blocks), ROUTED)
-        found = routed.groupBy("leaf", "block").applyInArrow(_search(dim, least, keep), FOUND)
-        near = F.collect_set(F.struct("far", "id"))
+        blocks = [max(1, -(-int(total * share * most) // (block or 20000))) for share in tree.share]
+        routed = df.mapInArrow(_route(shared, most, gap, dim, keep, blocks), ROUTED)
+        found = routed.groupBy("leaf", "block").applyInArrow(_search(dim, least, keep), NEAREST)
+    near = F.array_distinct(F.flatten(F.collect_list("near")))  # a pair may meet in several leaves
     lists = found.groupBy("h").agg(near.alias("near")).select("h", F.slice(F.array_sort("near"), 1, keep).alias("near"))
     members = df.mapInArrow(_members(dim), "id string, h binary").where("id IS NOT NULL").distinct()
     own = members.join(lists, "h").select("id", F.slice(F.expr("filter(near, n -> n.id <> id)"), 1, k).alias("near"))

@@ -70,13 +70,20 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(
-    q: np.ndarray, b: np.ndarray, least: float, block: int = 256
+    q: np.ndarray, b: np.ndarray | None, least: float, block: int = 256
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query row, base row, cosine rounded to 9 decimals) of all pairs with cosine >= least, in blocks of queries."""
-    uq, ub = unit(q), unit(b)
+    """(query row, base row, cosine rounded to 9 decimals) of all pairs with cosine >= least, in blocks of queries.
+
+    b=None: the rows of q among themselves, each pair once (and each row with itself)."""
+    uq, own = unit(q), b is None
+    b, ub = (q, uq) if own else (b, unit(b))
     wide = None
     for at in range(0, len(q), block):
-        i, j = np.nonzero(uq[at : at + block] @ ub.T >= least - SLACK)
+        skip = at if own else 0
+        i, j = np.nonzero(uq[at : at + block] @ ub[skip:].T >= least - SLACK)
+        if own:
+            i, j = i[j >= i], j[j >= i]
+        j = j + skip
         if len(i) > 0.02 * block * len(b):  # a family of near copies: all at once rather than pair by pair
             if wide is None:
                 wide = b.astype(np.float64)
@@ -158,52 +165,76 @@ class Tree:
     def leaves(self) -> int:
         return len(self.share)
 
-    def visits(self, x: np.ndarray, margin: float) -> list[list[int]]:
-        """Leaves of each unit row, best bin first: the first is its home, further ones follow while the
-        best open bin is at most `margin` less similar than the home's centre."""
+    def visits(self, x: np.ndarray, most: int, gap: float = -1.0) -> tuple[list[list[int]], list[list[float]]]:
+        """(leaves, their distances in the queue) of each unit row, best bin first: the `most` first ones, the first of which is its home,
+        and one more if it is at most `gap` less similar than the last of them."""
         if not self.children:
-            return [[0]] * len(x)
-        out, leaf, children = [], self.leaf, self.children
+            return [[0]] * len(x), [[0.0]] * len(x)
+        out, keys, leaf, children = [], [], self.leaf, self.children
         lift = np.array(self.lift, np.float32)
         for at in range(0, len(x), 4096):
-            for sims in (x[at : at + 4096] @ self.centres.T + lift).tolist():
-                queue = [(-sims[c], c) for c in children[-1]]
+            for sims in (-(x[at : at + 4096] @ self.centres.T + lift)).tolist():
+                queue = [(sims[c], c) for c in children[-1]]
                 heapq.heapify(queue)
                 seen: list[int] = []
-                floor = 1e9
+                far: list[float] = []
                 while queue:
                     key, node = heapq.heappop(queue)
-                    if seen and key > floor:
+                    if len(seen) >= most and (len(seen) > most or key > far[-1] + gap):
                         break
                     if leaf[node] >= 0:
-                        if not seen:
-                            floor = key + margin
                         seen.append(leaf[node])
+                        far.append(max(key, far[-1]) if far else key)
                     else:
                         for c in children[node]:
-                            heapq.heappush(queue, (-sims[c], c))
+                            heapq.heappush(queue, (sims[c], c))
                 out.append(seen)
-        return out
-
-
-WIDTHS = (*(n / 400 for n in range(25)), 0.07, 0.08, 0.1, 0.15, 0.2, 0.4, 2.0)  # 0, 0.0025, ... 0.06, then wider
+                keys.append(far)
+        return out, keys
 
 
-def calibrated(tree: Tree, pairs: tuple[np.ndarray, np.ndarray], recall: float, both: bool) -> tuple[float, float]:
-    """(margin, recall reached): leaf visits are widened until the true pairs are met often enough.
+def calibrated(tree: Tree, pairs: tuple[np.ndarray, np.ndarray], recall: float, both: bool) -> tuple[int, float, float]:
+    """(leaf visits of a row, gap within which one more is made, recall reached): visits are widened until the true pairs are met often enough.
 
-    both: a pair is also met when the second visits the first's home."""
+    both: a pair is met in any leaf that both rows visit; else only in the second row's home."""
     a, b = pairs
-    home_a, home_b = ([v[0] for v in tree.visits(x, 0.0)] for x in (a, b))
-    for margin in WIDTHS:
-        met = [h in v for h, v in zip(home_b, tree.visits(a, margin))]
+    tried = 4
+    while True:
+        tried = min(2 * tried, tree.leaves)
+        (to_a, far_a), (to_b, far_b) = tree.visits(a, tried), tree.visits(b, tried if both else 1)
         if both:
-            met = [m or h in v for m, h, v in zip(met, home_a, tree.visits(b, margin))]
-        if (reached := sum(met) / len(met)) >= recall:
+            # with n visits each a pair is met if some leaf is among the first n of both
+            place = [{leaf: n for n, leaf in enumerate(v)} for v in to_b]
+            met = [min((max(n, p[leaf]) for n, leaf in enumerate(v) if leaf in p), default=tried) for v, p in zip(to_a, place)]
+        else:
+            met = [v.index(h[0]) if h[0] in v else tried for v, h in zip(to_a, to_b)]
+        first = np.array(met)
+        reached = [float((first < n).mean()) for n in range(1, tried + 1)]
+        if reached[-1] >= recall or tried == tree.leaves:
             break
-    return margin, reached
+    most = next((n for n, r in enumerate(reached, 1) if r >= recall), tried)
+    if most == 1:
+        return 1, -1.0, reached[0]
+    # one visit less, but for rows whose last one is hardly worse than the one before
+    least = most - 1
 
+    def step(far: list[list[float]]) -> np.ndarray:
+        return np.array([v[least] - v[least - 1] if len(v) > least else np.inf for v in far])
 
+    gap_a = step(far_a)
+    gap_b = step(far_b) if both else np.full(len(b), -np.inf)
+    for gap in np.quantile(gap_a[np.isfinite(gap_a)], np.linspace(0.1, 0.9, 9)) if np.isfinite(gap_a).any() else ():
+        now = [_met(v[: least + (g <= gap)], w[: least + (h <= gap)] if both else w) for v, w, g, h in zip(to_a, to_b, gap_a, gap_b)]
+        if (share := float(np.mean(now))) >= recall:
+            return least, float(gap), share
+    return most, -1.0, reached[most - 1]
+
+
+def _met(a: list[int], b: list[int]) -> bool:
+    return not set(a).isdisjoint(b)
+
+
+WIDTHS = (*(n / 400 for n in range(25)), 0.07, 0.08, 0.1, 0.15, 0.2, 0.4, 2.0)  # 0, 0.0025, ... 0.06, then wider
 PAIRS = 2000  # true pairs that a calibration needs: at a target of 0.999, two missed ones
 
 
@@ -255,8 +286,7 @@ def true_neighbours(
     df: DataFrame, id_col: str, vector: str, queries: np.ndarray, k: int, least: float, dim: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Brute force for calibration: for each of a bounded set of query vectors its k most similar rows of
-    all of df with cosine >= least, another vector than itself. Partial top k by batch, merged on the driver: at most
-    len(queries) * k rows come back from each task, and only those above `least`."""
+    all of df with cosine >= least, another vector than itself: partial top k by task, merged on the executors."""
     known = df.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches):
@@ -278,17 +308,19 @@ def true_neighbours(
                 i, s, x = i[first], s[first], x[first]
         if len(i):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(i.astype(np.int32)), pa.array(s.astype(np.float64)), pa.array(pack(x), pa.binary())],
-                ["q", "s", "v"],
+                [pa.array(i.astype(np.int32)), pa.array(-s.astype(np.float64)), pa.array(pack(x), pa.binary())],
+                ["q", "far", "v"],
             )
 
-    got = df.select(vector).mapInArrow(run, "q int, s double, v binary").toArrow()
-    q, s = got.column("q").to_numpy(), got.column("s").to_numpy()
+    return _merged(df.select(vector).mapInArrow(run, "q int, far double, v binary"), queries, k, dim)
+
+
+def _merged(found: DataFrame, queries: np.ndarray, k: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each query over all tasks, merged on the executors: the driver gets at most k rows for each query."""
+    best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "v"))), 1, k).alias("b"))
+    got = best.orderBy("q").select("q", F.explode("b.v").alias("v")).toArrow()
     x = unpack(got.column("v").to_pylist(), dim)
-    order = np.lexsort((-s, q))
-    q, x = q[order], x[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    return unit(queries)[q[rank < k]], unit(x[rank < k]) if len(x) else x[rank < k]
+    return unit(queries)[got.column("q").to_numpy()], unit(x) if len(x) else x
 
 
 def nearest_rows(df: DataFrame, vector: str, queries: np.ndarray, k: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,8 +354,4 @@ def nearest_rows(df: DataFrame, vector: str, queries: np.ndarray, k: int, dim: i
                 ["q", "far", "v"],
             )
 
-    found = df.select(vector).mapInArrow(run, "q int, far double, v binary")
-    best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "v"))), 1, k).alias("b"))
-    got = best.orderBy("q").select("q", F.explode("b.v").alias("v")).toArrow()
-    x = unpack(got.column("v").to_pylist(), dim)
-    return unit(queries)[got.column("q").to_numpy()], unit(x) if len(x) else x
+    return _merged(df.select(vector).mapInArrow(run, "q int, far double, v binary"), queries, k, dim)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from studyloom.llm import pivot_history, similar_vectors
-from studyloom.llm.vectors import Tree, close_pairs, digest, pack, unit, unpack
+from studyloom.llm.vectors import Tree, calibrated, close_pairs, digest, pack, unit, unpack
 
 KINDS = "question_id string, embedding array<float>, text_hash string, batch_no int, id string, h string"
 
@@ -47,23 +47,40 @@ def test_tree_visits_widen_to_all_leaves():
     x = unit(np.random.default_rng(2).normal(size=(400, 8)).astype(np.float32))
     tree = Tree(x, 20)
     assert 10 < tree.leaves < 60 and abs(sum(tree.share) - 1) < 1e-9
-    narrow, wide = tree.visits(x, 0.0), tree.visits(x, 9.0)
-    assert all(set(v) == set(range(tree.leaves)) for v in wide) and all(a[0] == b[0] for a, b in zip(narrow, wide))
-    assert sum(map(len, tree.visits(x, 0.05))) < sum(map(len, tree.visits(x, 0.2)))
+    (narrow, _), (wide, far) = tree.visits(x, 1), tree.visits(x, tree.leaves)
+    assert all(set(v) == set(range(tree.leaves)) for v in wide) and all(a == b[:1] for a, b in zip(narrow, wide))
+    assert all(v == sorted(v) for v in far)
+    some, more = tree.visits(x, 2)[0], tree.visits(x, 2, 0.05)[0]
+    assert {len(v) for v in some} == {2} and {len(v) for v in more} == {2, 3} and all(v[:2] == w for v, w in zip(more, some))
+
+
+@pytest.mark.parametrize("both", [True, False])
+def test_calibration_reaches_its_target(both):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(2000, 16))
+    a, b = unit(a.astype(np.float32)), unit((a + 0.3 * rng.normal(size=a.shape)).astype(np.float32))
+    tree = Tree(np.concatenate([a, b]), 40)
+    most, gap, reached = calibrated(tree, (a, b), 0.99, both)
+    to_a, to_b = tree.visits(a, most, gap)[0], tree.visits(b, most, gap)[0]
+    met = [bool(set(v) & set(w if both else w[:1])) for v, w in zip(to_a, to_b)]
+    assert 0.99 <= np.mean(met) and abs(np.mean(met) - reached) < 1e-9 and most < tree.leaves
 
 
 def test_close_pairs_equal_brute_force():
     x = np.random.default_rng(4).normal(size=(90, 6)).astype(np.float32)
     got = {(int(a), int(b)) for i, j, _ in close_pairs(x, x, 0.7, block=7) for a, b in zip(i, j)}
     m = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-    assert got == {tuple(map(int, p)) for p in np.argwhere(np.round(m @ m.T, 9) >= 0.7)}
+    want = {tuple(map(int, p)) for p in np.argwhere(np.round(m @ m.T, 9) >= 0.7)}
+    assert got == want
+    once = [(int(a), int(b)) for i, j, _ in close_pairs(x, None, 0.7, block=7) for a, b in zip(i, j)]
+    assert sorted(once) == sorted(p for p in want if p[0] <= p[1])
 
 
 def test_one_leaf_is_exact_with_ties_and_copies(spark):
     rows, _ = made()
     df = spark.createDataFrame(rows, KINDS).repartition(5)
     got = {}
-    for r in similar_vectors.similar_vectors(df, least=0.8, dim=16).collect():
+    for r in similar_vectors.similar_vectors(df, least=0.8, dim=16, least_leaves=1).collect():
         got.setdefault(r.id, []).append((r.rank, r.neighbour, r.similarity))
     for i, near in brute(rows, 10, 0.8, 16).items():
         assert [(n, s) for _, n, s in sorted(got.get(i, []))] == [(n, -s) for s, n in near], i
@@ -77,7 +94,7 @@ def test_pairs_reach_recall_with_many_leaves(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
-@pytest.mark.parametrize("how, least", [({}, 1.0), ({"leaf_rows": 60, "block": 250, "part": 300, "probes": 400}, 0.97)])
+@pytest.mark.parametrize("how, least", [({"least_leaves": 1}, 1.0), ({"leaf_rows": 60, "block": 250, "part": 300, "probes": 400}, 0.97)])
 def test_lists_without_a_floor_are_full(spark, how, least):
     rows, _ = made(900, copies=200, seed=9)
     df = spark.createDataFrame(rows, KINDS).repartition(5)
