@@ -149,18 +149,33 @@ def test_null_batches_take_no_part(spark):
     assert pivot_history.turned_away(df, dim=16).count() == 0
 
 
-def test_stored_table_appends_and_checks(spark, tmp_path):
-    rows, x = made(300, copies=40, seed=7)
+def test_batches_one_by_one_equal_all_at_once(spark, tmp_path):
+    """check, then append, for one batch after the other; the history isn't moved, and only asked ranges are read."""
+    rows, x = made(400, copies=40, seed=7)
     df = spark.createDataFrame([r for r in rows if r[0]], KINDS)
-    store = pivot_history.PivotTable(str(tmp_path / "t"), unit(x[:10]), 9.0, 0.9, 16)
-    store.append(df.where("batch_no = 0"), partitions=3)
-    first = store.history(spark).count()
-    new = df.where("batch_no = 1")
-    got = {r.id for r in store.check(new).collect()}
-    by_vector = [(i, v, None, b) for i, v, _, b, *_ in rows if i and b in (0, 1)]
-    assert got == {i for i in away(by_vector, 0.9, 16)}
-    store.append(new, partitions=3)
-    assert store.history(spark).count() > first
+    ranges = pivot_history.Ranges(unit(x[:10]), unit(x), 4000, 60)
+    assert ranges.parts > 12
+    table = pivot_history.PivotTable(spark, str(tmp_path / "t"), ranges, 9.0, 0.9, 16, buckets=4)
+    table.append(df.where("batch_no = 0"))
+    got, size = set(), table.stored("vectors").count()
+    for b in (1, 2, 3):
+        new = df.where(f"batch_no = {b}")
+        checked = table.check(new)
+        got |= {r.question_id for r in checked.collect()}
+        table.append(new)
+        assert table.stored("vectors").count() > size
+        size = table.stored("vectors").count()
+    assert got == away([r for r in rows if r[0]], 0.9, 16)
+    one = df.where("question_id = 'q0101'")
+    narrow = pivot_history.PivotTable(spark, table.path, ranges, 0.0, 0.9, 16, buckets=4)
+    narrow.name = table.name
+    parts = narrow.asked_parts(one.selectExpr("embedding", "batch_no", "question_id AS id"))
+    assert 0 < len(parts) < ranges.parts
+    plan = narrow.check(one)._jdf.queryExecution().toString()
+    scan = plan[plan.rindex("FlatMapCoGroupsInArrow") :]
+    assert "PushedFilters: [In(part" in scan or "PushedFilters: [EqualTo(part" in scan or "part IN" in scan
+    assert scan.count("Exchange hashpartitioning(part") + scan.count("REPARTITION_BY_NUM") <= 2  # the questions only
+    table.drop()
 
 
 def test_too_few_pairs_leave_the_exact_bound(spark):
@@ -171,8 +186,8 @@ def test_too_few_pairs_leave_the_exact_bound(spark):
     rows = [(f"q{i:04}", [float(v) for v in x[i]], None, int(i >= 1400), None, None) for i in range(1500)]
     df = spark.createDataFrame(rows, KINDS).repartition(5)
     how = {"rows_per_pivot": 30, "probes": 5, "most_probes": 60}
-    pivots, margin, _, _ = pivot_history.choose_pivots(df, "question_id", "embedding", 16, 0.9, 0.999, **how)
-    assert len(pivots) > 20 and margin >= 2 * np.sqrt(0.2)
+    ranges, margin, _ = pivot_history.choose_pivots(df, "question_id", "embedding", 16, 0.9, 0.999, **how)
+    assert len(ranges.pivots) > 20 and margin >= 2 * np.sqrt(0.2)
     assert {r.question_id for r in pivot_history.turned_away(df, dim=16, **how).collect()} == away(rows, 0.9, 16)
     pairs = {tuple(r) for r in similar_vectors.similar_pairs(df, least=0.9, dim=16, leaf_rows=60, probes=5, most_probes=60).collect()}
     assert pairs == {(min(i, n), max(i, n)) for i, near in brute(rows, 10, 0.9, 16).items() for _, n in near}
