@@ -11,7 +11,7 @@ TEXTS = {
     "letters": "x" * N, "spaces": " " * N + "x", "lines": "\n" * N + "x", "dots": "." * N + "x", "quotes": '"' * N + "x", "brackets": "(" * N, "capitals": "AB CD " * (N // 6),
     "math": "𝑥" * N, "hyphens": "-\n" * (N // 2), "torn": "abc-\n" * (N // 5), "words": "word and 12) more " * (N // 18), "emoji": "👍" * N, "mixed": "a​*_" * (N // 4), "marks": "a" + "́" * N, "stars": "x" + "*" * N, "tags": "<b" * (N // 2), "options": "1) " + "a " * (N // 2),
 }
-EDITOR = scan_repair.Editor(scan_repair.fit_editor([]), {"word": 90, "and": 90, "more": 90})
+EDITOR = scan_repair.Editor({"w0rd": "word"})
 
 
 @pytest.mark.parametrize("name", sorted(TEXTS))
@@ -21,7 +21,8 @@ def test_time(name):
     cut_texts.ending(text)
     spans = text_pieces.pieces(text)
     assert "".join(text[new:end] for _, new, end in spans) == text
-    scan_repair.noise(text, EDITOR, ["sometitleofabook"], "Biology")
+    scan_repair.noise(text, EDITOR, ["sometitleofabook"], "Biology", frozenset(["xyz"]))
+    scan_repair.forms(text)
     pair_defects.defect("What is it about the word and more?", text, "x", frozenset())
     canonical.record("MCQ", text, text)
     near_copies.signatures([sorted(canonical.words(text, None)) or ["x"]], 442)
@@ -32,3 +33,12 @@ def test_many_words():
     words = [f"w{n}" for n in range(20_000)]
     whole, parts = near_copies.signatures([words], 64)[0], near_copies.signatures([words[:9000], words[9000:]], 64)
     assert (whole == parts.min(axis=0)).all()
+
+
+def test_long_words_are_judged_in_linear_time():
+    word = "cl1b0" * 20_000
+    began = time.process_time()
+    confusions = scan_repair.units([])
+    assert scan_repair.candidates(word, confusions) == [] and len(scan_repair.class_key(word, confusions)) < len(word)
+    assert scan_repair.operations(word, word.replace("0", "o")).count("replaceo") == 20_000
+    assert time.process_time() - began < 5
