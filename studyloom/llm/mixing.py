@@ -1,10 +1,10 @@
 """Problem 9: mixing sources to target weights, sizes counted in tokens of a public tokenizer.
 
-Method: temperature mixing. The weights are base shares raised to an exponent and normalised, clipped by
-what a source can give (its tokens times its highest number of uses) and poured out again over the others; the exponent
-is bisected until the entropy of the weights is the wanted one, or (without one) until no source has to be repeated more
-often than allowed. With given targets the base shares are the targets and the exponent 1 already has their entropy; a source that can't
-fill its target gives all it may and the rest is shared by the others in proportion to their targets.
+Method: temperature mixing. Token shares of the sources are raised to an exponent and normalised, clipped by
+what a source can give (its tokens times its highest number of uses) and poured out again over the others. With target shares, every source first
+gets its target as far as its repetition limit lets it; what the exhausted ones leave is tempered: it goes to the others by their token shares to the
+exponent, bisected until the mix has the entropy that the targets have with the exhausted sources at their limits (or the nearest it can have), so that it is as even as was wanted. Without any
+target the whole mix is tempered: the exponent is bisected to the wanted entropy, or to the flattest weights that no repetition limit clips.
 The weights are realised as blocks: each use of a source is one permutation of its texts (by a seeded hash); whole
 permutations are taken while the source's budget lasts, and of the last one so many texts, in the permutation's
 order, as fit the rest.
@@ -14,9 +14,9 @@ as mix_targets has) and, for the last permutation of each source, totals per blo
 prefix sum over blocks finds the block in which the budget ends, and only that block is ordered, so no source is
 ever sorted in one task, be it a third of all rows.
 
-Defined results: texts of a NULL or unlisted source take no part; NULL and empty texts have no tokens and are used as often
+Defined results: targets that can all be met are met, whatever the exponent (it is then reported as 0); texts of a NULL or unlisted source take no part; NULL and empty texts have no tokens and are used as often
 as any other; a source without texts reaches share 0; repeated rows are texts of their own; NULL targets count
-as 0 and NULL max_repeats as 1; no table row means an empty mix.
+as 0 (all of them: no targets) and NULL max_repeats as 1; no table row means an empty mix.
 """
 
 from __future__ import annotations
@@ -95,19 +95,52 @@ def token_sizes(
     return spread(rows).mapInArrow(run, "doc_id long, source string, tokens long")
 
 
+def tempered_rest(
+    targets: dict[str, float], shares: dict[str, float], most: dict[str, float], exponent: float | None = None
+) -> tuple[dict[str, float], float]:
+    """(weights, exponent): targets as far as `most` allows, the rest by shares**exponent over the sources that have room. exponent=None: bisected to the
+    entropy that the targets leave once the exhausted sources are at their limits; of several such exponents the one nearest to 1 (the sources as large as they are)."""
+    filled = {s: min(t, most[s]) for s, t in targets.items()}
+    rest = 1 - sum(filled.values())
+    if rest <= 1e-12:
+        return filled, 0.0
+    room = {s: max(0.0, most[s] - filled[s]) / rest if shares[s] > 0 else 0.0 for s in targets}
+
+    def weights(e: float) -> dict[str, float]:
+        extra = poured(shares, room, e)
+        return {s: filled[s] + rest * extra[s] for s in filled}
+
+    if exponent is not None:
+        return weights(exponent), exponent
+    wanted = entropy(poured(targets, {s: most[s] if shares[s] > 0 else 0.0 for s in targets}, 1.0))
+    over = lambda e: entropy(weights(e)) - wanted
+    grid = [n / 8 for n in range(-32, 65)]
+    values = [over(e) for e in grid]
+    crossings = [(abs(grid[n] - 1), n) for n in range(len(grid) - 1) if (values[n] > 0) != (values[n + 1] > 0)]
+    if not crossings:
+        best = min(range(len(grid)), key=lambda n: (round(abs(values[n]), 12), abs(grid[n] - 1)))
+        return weights(grid[best]), grid[best]
+    n = min(crossings)[1]
+    low, high, sign = grid[n], grid[n + 1], values[n] > 0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (over(middle) > 0) == sign else (low, middle)
+    return weights((low + high) / 2), (low + high) / 2
+
+
 def plan(
-    totals: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: int | None
+    totals: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: int | None, wanted: float | None = None
 ) -> tuple[dict[str, float], dict[str, float], float, int]:
     """(budget in tokens of each source, weight of each, exponent, budget of all). Default budget: the tokens of all listed sources."""
-    budget = sum(totals.values()) if budget is None else budget
+    total = sum(totals.values())
+    budget = total if budget is None else budget
     most = {s: repeats[s] * totals[s] / budget if budget else 0.0 for s in totals}
-    scale = sum(targets.values()) or 1.0
-    base = {s: t / scale for s, t in targets.items()}
-    # the exponent is that of the weights no limit clips: clipped ones are what they are
-    free = poured(base, most, 1.0)
-    weights, exponent = temperature(base, most, entropy(free))
-    if max((abs(weights[s] - free[s]) for s in base), default=0) > 1e-6:  # several exponents of one entropy
-        weights, exponent = free, 1.0
+    shares = {s: t / total if total else 0.0 for s, t in totals.items()}
+    scale = sum(targets.values())
+    if scale > 0:
+        weights, exponent = tempered_rest({s: t / scale for s, t in targets.items()}, shares, most)
+    else:
+        weights, exponent = temperature(shares, most, wanted)
     return {s: weights[s] * budget for s in totals}, weights, exponent, budget
 
 
@@ -116,6 +149,7 @@ def mix(
     targets: DataFrame,
     budget: int | None = None,
     exact: bool = False,
+    wanted_entropy: float | None = None,
     seed: int = 17,
     folder: str = TOKENIZERS,
     name: str = "byte_bpe_50k",
@@ -123,7 +157,7 @@ def mix(
     """(the mix: doc_id, source, tokens, uses; the report: one row for each listed source).
 
     budget: tokens of the mix, by default those of all listed sources once; exact: the largest mix in which every source that has texts
-    still reaches its target share, instead."""
+    still reaches its target share, instead; wanted_entropy: that of the mix where there are no targets."""
     spark = documents.sparkSession
     wanted = {
         r.source: (float(r.target_share or 0), int(1 if r.max_repeats is None else r.max_repeats))
@@ -145,7 +179,7 @@ def mix(
         filled = [r * totals[s] / (t / scale) for s, (t, r) in wanted.items() if totals[s] and t > 0]
         budget = int(min(filled, default=0))
     budgets, weights, exponent, _ = plan(
-        totals, {s: t for s, (t, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}, budget
+        totals, {s: t for s, (t, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}, budget, wanted_entropy
     )
     ends = []
     for s in wanted:

@@ -191,6 +191,31 @@ def test_pouring_and_temperature():
 
 
 @TOKENIZER
+def test_what_exhausted_sources_leave_is_tempered():
+    shares, targets = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {"a": 0.3, "b": 0.2, "c": 0.2, "d": 0.3}
+    most = {"a": 9.0, "b": 9.0, "c": 0.15, "d": 0.1}
+    w, e = mixing.tempered_rest(targets, shares, most)
+    assert w["c"] == 0.15 and w["d"] == pytest.approx(0.1) and sum(w.values()) == pytest.approx(1) and all(w[s] >= min(targets[s], most[s]) - 1e-9 for s in w)
+    wanted = mixing.entropy(mixing.poured(targets, most, 1.0))
+    others = [abs(mixing.entropy(mixing.tempered_rest(targets, shares, most, x)[0]) - wanted) for x in (-4, -1, 0, 0.5, 1, 2, 4, 8)]
+    assert abs(mixing.entropy(w) - wanted) <= min(others) + 1e-9
+    assert mixing.tempered_rest(targets, shares, most, 0.0)[0] != mixing.tempered_rest(targets, shares, most, 2.0)[0]  # the exponent decides
+    reachable = {"a": 0.45, "b": 0.4, "c": 0.05, "d": 0.1}
+    w, e = mixing.tempered_rest(reachable, shares, {"a": 9.0, "b": 0.3, "c": 9.0, "d": 9.0})
+    assert mixing.entropy(w) == pytest.approx(mixing.entropy(mixing.poured(reachable, {"a": 9.0, "b": 0.3, "c": 9.0, "d": 9.0}, 1.0)), abs=0.02)
+    assert mixing.tempered_rest(targets, shares, dict.fromkeys(shares, 9.0)) == (targets, 0.0)
+
+
+def test_mix_without_targets_is_tempered_alone(spark):
+    docs = spark.createDataFrame([(n, "word " * 20, "big" if n < 400 else "mid" if n < 500 else "small") for n in range(520)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", None, 1), ("mid", None, 2), ("small", None, 2)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in mixing.mix(docs, targets, budget=6000)[1].collect()}
+    assert report["small"].most_uses == 2 and 0 < report["big"].exponent < 1 and report["big"].actual_share > report["mid"].actual_share > report["small"].actual_share
+    even = {r.source: r for r in mixing.mix(docs, targets, budget=2000, wanted_entropy=1.0)[1].collect()}
+    shares = {s: r.actual_share for s, r in even.items()}
+    assert abs(mixing.entropy(shares) - 1.0) < 0.05
+
+
 def test_mix_meets_targets_and_limits(spark):
     rows = [(n, "word " * 20, "big" if n < 600 else "small" if n < 640 else None if n == 640 else "other", None) for n in range(700)] + [(900, None, "big", None), (901, "", "small", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tokens string")
