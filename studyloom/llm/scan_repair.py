@@ -313,15 +313,18 @@ def squeezed(line: str) -> str:
     return "".join(ALPHA.findall(unicodedata.normalize("NFKC", line).lower()))
 
 
-PAGE_WORDS = re.compile(r"(?:page|pg|p|seite|s|पृष्ठ)?\d{1,4}", re.IGNORECASE)  # what the letters and digits of a page number's line are
+# a line of a number alone, or behind a word for page; possessive, so that long runs of signs take no longer
+PAGE_LINE = re.compile(r"[\W_]*+(?:(?:page|pg|p|seite|s|पृष्ठ)[\W_]*+)?\d{1,4}[\W_]*+", re.IGNORECASE)
 PAGE_STYLE = re.compile(r"^\W*(?:page|pg|p)\b\.?\s*\d{1,4}\W*$|^[\[(–—\-|]\s*\d{1,4}\s*[\])–—\-|]$|^\|\s*\d{1,4}$|^\d{1,4}\s*\|$", re.IGNORECASE)
 READINGS = re.compile(r":\s*$")
 NUMBER = re.compile(r"^\s*\d[\d.,]*\s*$")
 FORMULA = re.compile(r"[→⇌=](?![^→⇌=]*[.!?]$)|(?:\b[A-Z][a-z]?\d*){2,}\s*$|\b(?:[A-Z][a-z]?){2,}\b[^a-z]*$")
 
 
-def _same(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+def _same(a: str, b: str, least: float = 0.86) -> bool:
+    """Whether the ratio of equal characters is at least `least`; its upper bounds are asked first."""
+    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
 
 
 def furniture(lines: list[str], titles: list[str], subject: str, recurring: frozenset[str] = frozenset()) -> dict[int, set[str]]:
@@ -351,8 +354,10 @@ def furniture(lines: list[str], titles: list[str], subject: str, recurring: froz
                     for f in filler:
                         if f and tail.startswith(f) and len(tail) > len(f) + 3:
                             tail = tail[len(f) :]
-                    plain = "".join(c for c in bare.lower() if c.isalnum() or c in "†!")
-                    close = (_alike(tail, title) or _alike(letters, title)) and max(_same(tail, title), _same(plain, title)) >= 0.86
+                    close = False
+                    if _alike(tail, title) or _alike(letters, title):
+                        plain = "".join(c for c in bare.lower() if c.isalnum() or c in "†!")
+                        close = _same(tail, title) or _same(plain, title)
                     if close and (intro is None or n != intro - 1 or bare.upper() == bare):
                         rest = ""
                 if rest is not None and (rest in filler or len(rest) <= 12 and not UNPROSE.search(bare)):
@@ -366,7 +371,7 @@ def furniture(lines: list[str], titles: list[str], subject: str, recurring: froz
             continue
         if letters in recurring and (intro is None or n > intro) and not UNPROSE.search(bare):
             out[n] = {"header", "page_number"} if re.search(r"^\W*\d{1,4}\s+\D|[\s|–—\-\[(]\d{1,4}\W*$", bare) else {"header"}
-        elif bare[-1] not in ".!?" and PAGE_WORDS.fullmatch("".join(c for c in bare if c.isalnum())) and _stands_alone(lines, n, out):
+        elif bare[-1] not in ".!?" and PAGE_LINE.fullmatch(bare) and _stands_alone(lines, n, out):
             out[n] = {"page_number"}
     return out
 
@@ -400,10 +405,15 @@ def _near(line: str, titles: tuple[str, ...]) -> list[str] | tuple[str, ...]:
 
 def _alike(line: str, title: str) -> bool:
     """Whether they share a third of the title's pairs of letters: cheap, before the exact comparison."""
-    pairs = {title[n : n + 2] for n in range(len(title) - 1)}
+    pairs = _letter_pairs(title)
     return sum(p in line for p in pairs) * 3 >= len(pairs)
 
 
+@functools.lru_cache(maxsize=4096)
+def _letter_pairs(title: str) -> frozenset[str]:
+    return frozenset(title[n : n + 2] for n in range(len(title) - 1))
+
+
 UNPROSE = re.compile(r"[.!?;,]\s|[.!?]$")
 
 
@@ -463,7 +473,9 @@ def edited(kinds: set[str], body: str, heads: str, editor: Editor) -> tuple[set[
         kinds.add("misread")
         return better
 
-    return kinds, paragraphs(TOKEN.sub(fix, joined))
+    if any(editor.repairs.get(t) for t in set(TOKEN.findall(joined.lower()))):
+        joined = TOKEN.sub(fix, joined)
+    return kinds, paragraphs(joined)
 
 
 def paragraphs(text: str) -> str:
