@@ -71,4 +71,4 @@ def record(kind: str | None, text: str | None, payload: str | None) -> str:
         body = canonical(value)
     except RecursionError:  # nested beyond reason: compared as a text
         body = f'"{plain(payload or "")}'
-    return "\x1f".join((kind or "\x00", "\x00" if text is None else plain(text), body))
+    return "\x1f".join(("\x00" if kind is None else kind, "\x00" if text is None else plain(text), body))

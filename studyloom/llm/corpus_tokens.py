@@ -151,11 +151,17 @@ def _pieces(least_hot: int):
     return run
 
 
+def id_type(vocabulary: int) -> str:
+    """The narrowest integer that holds every id of a vocabulary."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def _encode(folder: str, name: str):
     """Chunks sorted by hash: each is encoded when its hash changes; its ids go to every reference."""
 
     def run(batches):
-        enc, _ = encoder(folder, name)
+        enc, values = encoder(folder, name)
+        width = id_type(len(values))
         last, ids = None, b""
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
@@ -163,7 +169,7 @@ def _encode(folder: str, name: str):
             for h, chunk, refs in zip(*(c.to_pylist() for c in batch.columns)):
                 if h != last:
                     last = h
-                    ids = np.array(enc.encode_ordinary(chunk.decode("utf-8", "surrogatepass")), "<u2").tobytes()
+                    ids = np.array(enc.encode_ordinary(chunk.decode("utf-8", "surrogatepass")), width).tobytes()
                 for r in refs:
                     for column, value in zip(out, (r["doc"], r["row"], r["seq"], r["parts"], ids)):
                         column.append(value)
@@ -231,6 +237,7 @@ def joined_ids(parts: list[np.ndarray], enc, values: list[bytes]) -> np.ndarray:
 def _assemble(folder: str, name: str):
     def run(batches):
         enc, values = encoder(folder, name)
+        width = id_type(len(values))
         docs: list[int] = []
         lists: list[np.ndarray] = []
         parts: list[np.ndarray] = []
@@ -246,7 +253,7 @@ def _assemble(folder: str, name: str):
 
         for batch in batches:
             for doc, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc", "parts", "ids"))):
-                parts.append(np.frombuffer(ids, "<u2"))
+                parts.append(np.frombuffer(ids, width))
                 if len(parts) == n:
                     docs.append(doc)
                     lists.append(joined_ids(parts, enc, values))

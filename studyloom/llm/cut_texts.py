@@ -28,7 +28,7 @@ from studyloom.session import cut, spread
 BEHIND = re.compile(r"[\s\u200b-\u200f\u2060\ufeff\xad\ufe0f*_~`\u2600-\u27bf\U0001f000-\U0001faff]")  # one character that may follow a cut
 NONE = "\x00"  # stands for a NULL source as a key
 BREAKS = "\r\n\x0b\x0c\u2028\u2029"
-TAIL = 300  # no mark, closing or last line that is whole without a mark is longer
+TAIL = 300  # characters in which a mark behind a cut is looked for; no mark is longer
 MARK = re.compile(r"(?:\.\.\.|…|\[(?:more|\.\.\.|…)\]|\((?:more|\.\.\.|…)\)|<\/?[a-zA-Z]{0,8}|&#?[a-zA-Z0-9]{0,8}|�+)$")
 CLOSE = re.compile(r"[.!?।॥。！？]$")
 QUOTED = re.compile(r"[.!?।॥。！？…][)\]\"'”’»]+$")
@@ -39,9 +39,8 @@ NUMBERING = re.compile(r"^(?:(?:Step|Q|Ex|No)\.?\s*)?\d{1,3}[.)]$|^\(?[a-zA-Zivx
 CLOSED_LINES = re.compile(
     r"^(?:\|.*\|"  # a row of a table
     r"|[-•>—–] ?\S.*"  # an item, a quoted rule, a signature
-    r"|\d+\) [^.!?]+?(?:\s+\d+\) [^.!?]+)+"  # options in a line
     r"|[^\W\d_]+: (?:[^\s,.]+, )*[^\s,.]+"  # a label with a list
-    r"|[^\W\d_]+: [\d\W]*\d+ \w+"  # a label with an amount
+    r"|[^\W\d_]+: [\d\W]*(?<=\d) \w+"  # a label with an amount
     r"|[^\W\d_]+: \S+(?:\s+\d+-\w+)+"  # a label with a key of answers
     r"|\w+ = [\d\s/+*×÷.,-]+"  # a formula
     r"|[^\W\d_]+(?: \w+){0,3} \d[\d./-]*"  # a short line that ends with a number
@@ -49,6 +48,15 @@ CLOSED_LINES = re.compile(
 )
 
 
+OPTIONS = re.compile(r"\d+\) [^.!?]")
+NEXT_OPTION = re.compile(r"[^.!?]\s+\d+\) [^.!?]")
+
+
+def closed_line(line: str) -> bool:
+    """Whether a last line is whole without a closing mark; options in a line are looked at in linear time."""
+    return bool(CLOSED_LINES.match(line)) or bool(OPTIONS.match(line) and not re.search("[.!?]", line) and NEXT_OPTION.search(line, 3))
+
+
 def ending(text: str) -> tuple[int, str]:
     """(how surely the text is cut: 0 not, 1 only at a suspicious length, 2 in any case; the text without what follows a cut)."""
     end, marked = len(text), False
@@ -63,17 +71,16 @@ def ending(text: str) -> tuple[int, str]:
     if not core.strip():
         return 0, text
     if marked:
-        kept = core[-TAIL:].rstrip()
+        kept = core.rstrip()[-TAIL:]
         return (0 if CLOSE.search(kept) or QUOTED.search(kept) else 2), core
     line = core[max(core.rfind(c) for c in BREAKS) + 1 :].strip()
-    whole, line = len(line) <= TAIL, line[-TAIL:]  # only the end of a long line matters from here on
-    if OPEN_STOP.search(line) or (whole and NUMBERING.match(line)):
+    if OPEN_STOP.search(line) or NUMBERING.match(line):
         return 2, core
     if CLOSE.search(line) or QUOTED.search(line):
         return 0, core
-    if (whole and CLOSED_LINES.match(line)) or _closed_over_lines(core):
+    if closed_line(line) or _closed_over_lines(core):
         return (0 if core[-1] in "|])" else 1), core
-    if whole and len(line.split()) <= 6 and line[:1].isupper() and line == line.title() and "." not in line:
+    if len(line.split(None, 6)) <= 6 and line[:1].isupper() and line == line.title() and "." not in line:
         return 1, core  # like a heading
     return 2, core
 
@@ -83,14 +90,14 @@ def _closed_over_lines(core: str) -> bool:
     if core[-1] in ")]":
         at = core.rfind("(" if core[-1] == ")" else "[")
         before = core[max(0, at - TAIL) : max(at, 0)].rstrip()
-        return at >= 0 and len(core) - at <= TAIL and (not before or core[at - 1] in "\r\n" or bool(CLOSE.search(before) or QUOTED.search(before)))
-    lines = [x.strip() for x in re.split(f"[{BREAKS}]+", core[-TAIL:])]
+        return at >= 0 and (not before or core[at - 1] in "\r\n" or bool(CLOSE.search(before) or QUOTED.search(before)))
+    lines = [x.strip() for x in re.split(f"[{BREAKS}]+", core)]
     if len(lines) < 2 or len(lines[-2]) + len(lines[-1]) > 60:
         return False
     both = f"{lines[-2]} {lines[-1]}"
     if both[0] in "-•>—–":  # an item goes on in the next line, it isn't followed by a new sentence
         return not lines[-1][:1].isupper() and len(lines[-1].split()) < 4
-    return bool(CLOSED_LINES.match(both))
+    return closed_line(both)
 
 
 def _measured(batches):

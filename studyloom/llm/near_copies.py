@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.session import cut
 from studyloom.llm.canonical import words
 
 SIZE = 1 << 20  # universe of word codes
@@ -132,7 +133,7 @@ def near_classes(
     similarity >= least."""
     df = df.select(*(F.col(c).cast("string").alias(n) for c, n in zip((id_col, text, payload), ("id", "t", "p"))))
     sets = df.mapInArrow(_sets, "id string, k binary, words array<string>")
-    classes = sets.groupBy("k").agg(F.first("words").alias("words"))
+    classes = cut(sets.groupBy("k").agg(F.first("words").alias("words")))  # used three times: banded, and on both sides of the exact check
     bits = 64 * SKETCH_LONGS
     agree = (1 + least) / 2
     fewest = int(bits * agree - 4 * (bits * agree * (1 - agree)) ** 0.5)

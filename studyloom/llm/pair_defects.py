@@ -48,7 +48,11 @@ OUTRIGHT = (
     "|ich nicht helfen|nicht beantworten|nicht weiterhelfen|kann ich nicht antworten|keine antwort geben|nicht dabei helfen"
     "|no puedo responder|no puedo ayudar|no puedo contestar|no me es posible|no podemos responder|no puedo resolver|no es posible ayudar"
     "|ne peux pas répondre|ne peux pas vous aider|ne peux pas t'aider|ne peux pas aider|ne pouvons pas répondre|m'est impossible"
-    "|n'est pas possible de répondre|dois refuser|debo rechazar|muss ich ablehnen"
+    "|n'est pas possible de répondre|m'est pas possible|dois refuser|debo rechazar|muss ich ablehnen"
+    "|not something i'd like to|not something i would like to|not something i can|not something i may|not something i am able to"
+    "|guidelines keep me from|guidelines prevent me|guidelines do not allow|guidelines don't allow|rules keep me from|policy keeps me from|keeps me from answering|prevents me from answering"
+    "|not have permission|n't have permission|not have enough permission|n't have enough permission|not permitted to answer|not permitted to solve"
+    "|no answer can be given|no answer can be provided|no response can be given|nothing i may say|nothing i can say about|nothing i am allowed to say"
 ).split("|")
 #: fixed values: frequent function words
 STOPWORDS = {
@@ -62,9 +66,8 @@ for _language, _words in STOPWORDS.items():
     for _word in _words.split():
         VOTES[_word] = (*VOTES.get(_word, ()), _language)
 
-CLOSED = re.compile(r"[.!?।॥。！？]$|[.!?।॥。！？…][)\]\"'”’»]+$")
+MARKS, CLOSERS = ".!?।॥。！？", ")]\"'”’»"
 OPEN_STOP = re.compile(r"\b(?:e\.g|i\.e|z\.B|Fig|Abb|vs|cf)\.$|\b(?:about|etwa|environ) \d+\.$")
-DOTS = re.compile(r"(?:\.{3,}|…)$")
 OPTION = re.compile(r"^\(?[a-eA-E1-4][.)]\s")
 ITEM = re.compile(r"^\s*(?:\d+[.)]|[-•*]|\(?[a-e]\))\s+\S")
 EQUATION = re.compile(r"^[\w\s]{1,12}=\s*[-\d.]+(?:\s*[,;]\s*[\w\s]{1,12}=\s*[-\d.]+)*$")
@@ -165,7 +168,7 @@ def refuses(text: str) -> bool:
         stop = min((k for k in (low.find(c, end) for c in ".!?।") if k >= 0), default=len(low))
         if re.search(r"\bsaid (?:the|a|an)\b", low[end:stop]):
             continue  # told of somebody
-        if any(end < a <= min(stop, end + 70) for a in acts) or soft:
+        if any(end < a <= stop for a in acts) or soft:
             return True
     return False
 
@@ -205,12 +208,14 @@ def left_open(text: str) -> bool:
 
 def breaks_off(text: str) -> bool:
     bare = text.rstrip()
-    tail = bare[-200:]  # longer than any closing
-    if DOTS.search(tail):
+    if not bare:
+        return False
+    if bare.endswith(("...", "…")):
         return bool(WORD.search(bare))
-    if OPEN_STOP.search(tail):
+    if OPEN_STOP.search(bare[max(0, len(bare.rstrip("0123456789.")) - 16) :]):
         return True
-    if CLOSED.search(tail):
+    unclosed = bare.rstrip(CLOSERS)
+    if bare[-1] in MARKS or unclosed not in ("", bare) and unclosed[-1] in f"{MARKS}…":
         return False
     words = WORD.findall(bare)
     if left_open(bare) and len(words) > 1:

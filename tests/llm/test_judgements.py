@@ -12,6 +12,7 @@ Q = "Which statement about the gradual stem and its height is right?"
 CASES = [
     (Q, None, "x", "empty"), (Q, "  ", "x", "empty"), (Q, "Ans:", "x", "empty"), (Q, "(blank)", "x", "empty"), (Q, "...", "x", "empty"), (Q, None, "ncert_activity", None), (Q, None, None, "empty"),
     (Q, "I'm sorry, but I must decline to solve graded work.", "x", "refusal"), (Q, "Unfortunately, we are not able to answer this request.", "x", "refusal"),
+    (Q, "Regrettably this is not something I’d like to discuss.", "x", "refusal"), (Q, "There is nothing I may say about this exercise.", "x", "refusal"), (Q, "My guidelines keep me from answering.", "x", "refusal"), (Q, "Nothing may change in the sealed flask.", "x", None),
     (Q, "I am unable to lift the moss, said the gardener; the reason is its weight.", "x", None), (Q, "The acid cannot be sorted, so it is not possible to raise the rate of a salt.", "x", None),
     ("Warum?", "Bei dieser Aufgabe darf ich nicht helfen.", "x", "refusal"), (Q, f"Answer: {Q.upper()}", "x", "copy"), (Q, f"{Q}\n{Q}", "x", "copy"), (Q, f"“{Q}”: When the ion protects a lens, the change of the salt becomes round.", "x", None),
     (Q, "Wenn der Kern trocken ist, schwingt der Strahl allmählich.", "x", "language"), (Q, "यदि परिषद फैलता है तो ऊर्जा भी गीला दिखता है।", "x", "language"), (Q, "In the records the cell is called “कोशिका”, which means a pump.", "x", None),
