@@ -45,6 +45,7 @@ from studyloom.session import cut, spread
 TRAIN_ROWS = 4000
 FREQUENT = 400
 UNSURE = 20
+SALTS = 16  # parts of a book's rows
 LONG = 64  # characters; of longer words only whole class keys are compared, in linear time
 KNOWN = 3  # chunks that must have a word before it can be a repair's result
 HYPHENS = "-‐‑¬­"
@@ -54,7 +55,7 @@ COMMON = (("0", "o"), ("1", "l"), ("5", "s"), ("9", "g"), ("c", "e"), ("†", "t
 TOKEN = re.compile(r"[†!|]?[^\W_]+(?:[†!|]+[^\W_]+)*†?")
 LINE_END = re.compile(rf"[{HYPHENS}][^\S\n]*\n[^\S\n]*(?=[^\W_])")
 HEAD = re.compile(r"[^\W_†!|]+(?:[†!|][^\W_]+)*")
-COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]+-[^\W\d_]+")  # from a word's start only: long runs of letters take no longer
+COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]+-[^\W\d_]+")
 ALPHA = re.compile(r"[^\W\d_]+")
 KEPT = ""  # the repair of a line end whose hyphen stays
 
@@ -505,7 +506,8 @@ def forms(text: str) -> tuple[set[str], list[tuple[str, str, str]]]:
     """(small-letter words and compounds, torn ones aside; the line ends) of a text."""
     low = text.lower()
     flat = re.sub(rf"[{HYPHENS}][^\S\n]*\n\s*\S+", " ", low)  # torn words don't count
-    return {w for w in TOKEN.findall(flat) if len(w) > 2} | set(COMPOUND.findall(flat)), line_ends(text)
+    compounds = {c for w in set(flat.split()) if "-" in w for c in COMPOUND.findall(w)}
+    return {w for w in set(TOKEN.findall(flat)) if len(w) > 2} | compounds, line_ends(text)
 
 
 def _counted(batches):
@@ -742,11 +744,16 @@ def bodies(chunks: DataFrame) -> DataFrame:
         .groupBy("book")
         .agg(F.array_sort(F.collect_list("letters")).alias("recurring"))
     )
+    # a book's rows are spread over salts; the number of partitions is given, as few bytes mean much work here and are not to be coalesced
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = books.join(heads, F.col("_book") == F.col("book"), "full").select(
+        F.coalesce("_book", "book").alias("source_file"), "titles", "recurring", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
     return (
-        rows.join(books, F.col("source_file") == F.col("_book"), "left")
-        .join(heads, F.col("source_file") == F.col("book"), "left")
+        rows.withColumn("salt", F.pmod(F.xxhash64("chunk_id", "text"), F.lit(SALTS)).cast("int"))
+        .repartition(n, "source_file", "salt")
+        .join(known, ["source_file", "salt"], "left")
         .select("chunk_id", "text", "chapter", "subject", "titles", "recurring")
-        .repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id", F.xxhash64("text"))  # few bytes, much work: not to be coalesced
         .mapInArrow(_parted, "chunk_id string, kinds array<string>, body string, heads string")
     )
 
