@@ -11,6 +11,11 @@ def normal(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)\s+", " "), "^ | $", "")
 
 
+def single_spaced(c: Column | str) -> Column:
+    """Stripped, runs of white space as one space, case kept."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
+
+
 def text_hash(c: Column | str) -> Column:
     return F.sha2(normal(c), 256)
 
@@ -41,14 +46,19 @@ def natural_key(c: Column | str) -> Column:
     return F.transform(F.filter(F.split(c, r"\D+"), lambda x: x != ""), lambda x: x.cast("int"))
 
 
-MINOR = ("a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "into", "nor", "of", "on", "or", "the", "to", "with")
+#: fixed values: words that stay small inside a title
+MINOR = (
+    "a", "an", "the", "of", "in", "on", "and", "or", "to", "for", "at", "by", "with", "from", "as", "is", "are", "it", "its", "his", "her",
+    "our", "your", "their", "up", "down", "into", "onto", "&",
+)
 
 
 def headline(c: Column | str) -> Column:
     """Headline case: minor words stay small but at the start."""
     words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     big = lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.substr(w, F.lit(2)))
-    return F.array_join(F.transform(words, lambda w, n: F.when((n > 0) & w.isin(*MINOR), w).otherwise(big(w))), " ")
+    core = lambda w: F.regexp_replace(w, r"^[.,:;!?()'\"]+|[.,:;!?()'\"]+$", "")
+    return F.array_join(F.transform(words, lambda w, n: F.when((n > 0) & core(w).isin(*MINOR), w).otherwise(big(w))), " ")
 
 
 def strip_fence(c: Column | str) -> Column:

@@ -9,6 +9,7 @@ from studyloom.functions.text import order_key
 from studyloom.schemas import PAYLOAD
 
 LOOKUP = ("class", "subject", "difficulty", "question_type")
+SCOPE = ("class", "subject", "chapter", "topic", "difficulty", "question_type")
 
 
 def parsed(questions: DataFrame) -> DataFrame:
@@ -39,9 +40,9 @@ def public_payload(questions: DataFrame) -> DataFrame:
 
 
 def correct_text(questions: DataFrame) -> DataFrame:
-    """The right answer as text."""
+    """The right answer as text; pairs in the order of the payload."""
     p = parsed(questions)
-    pairs = F.array_sort(F.transform(F.map_entries("p.pairs"), lambda e: F.concat(e["key"], F.lit(" -> "), e["value"])))
+    pairs = F.transform(F.map_entries("p.pairs"), lambda e: F.concat(e["key"], F.lit(" -> "), e["value"]))
     text = (
         F.when(F.col("type") == "MCQ", F.try_element_at("p.options", F.col("p.correct_option_index") + 1))
         .when(F.col("type") == "matching", F.array_join(pairs, "; "))
@@ -59,41 +60,49 @@ def seen_pairs(answers: DataFrame, attempts: DataFrame) -> DataFrame:
     )
 
 
-def lookup(requests: DataFrame, questions: DataFrame, seen: DataFrame, count: int = 5, seed: str = "7") -> DataFrame:
+def lookup(
+    requests: DataFrame, questions: DataFrame, seen: DataFrame, count: int = 5, seed: str = "7", keys: tuple[str, ...] | None = None, excluded: DataFrame | None = None
+) -> DataFrame:
     """For each request (user and scope) at most `count` questions the user hasn't seen, one of each concept, in seeded order.
+    keys: the scope, by default those of SCOPE that requests have. excluded: user_id, cluster of concepts that a user is not to get.
 
     The order is the scope's, not the user's, so each scope is ranked once; a request only reads the first count + (what its user has
     seen there) concepts of its scope, never the whole of it. A concept whose representative is seen gives way to its next question."""
+    keys = keys or tuple(k for k in SCOPE if k in requests.columns)
     cluster = F.coalesce("concept_cluster_id", "question_id").alias("cluster")
-    q = questions.select(
-        "question_id", "class", "subject", "difficulty", F.col("type").alias("question_type"), cluster, order_key(seed, F.col("question_id")).alias("k")
-    )
-    hits = seen.join(q.select("question_id", *LOOKUP, "cluster"), "question_id").groupBy("user_id", *LOOKUP).agg(
-        F.count(F.lit(1)).alias("had")
-    )
-    in_cluster = Window.partitionBy(*LOOKUP, "cluster").orderBy("k")
-    ranked = q.withColumn("in_cluster", F.row_number().over(in_cluster)).withColumn("lead", F.min("k").over(Window.partitionBy(*LOOKUP, "cluster")))
-    by_lead = Window.partitionBy(*LOOKUP).orderBy("lead")
+    q = questions.withColumn("question_type", F.col("type")).select("question_id", *keys, cluster, order_key(seed, F.col("question_id")).alias("k"))
+    gone = seen.join(q.select("question_id", *keys), "question_id").select("user_id", *keys)
+    if excluded is not None:
+        gone = gone.unionByName(excluded.join(q.select("cluster", *keys).distinct(), "cluster").select("user_id", *keys))
+    hits = gone.groupBy("user_id", *keys).agg(F.count(F.lit(1)).alias("had"))
+    in_cluster = Window.partitionBy(*keys, "cluster").orderBy("k")
+    ranked = q.withColumn("in_cluster", F.row_number().over(in_cluster)).withColumn("lead", F.min("k").over(Window.partitionBy(*keys, "cluster")))
+    by_lead = Window.partitionBy(*keys).orderBy("lead")
     ranked = ranked.withColumn("concept", F.dense_rank().over(by_lead))
-    wanted = requests.select("user_id", *LOOKUP).distinct().join(hits, ["user_id", *LOOKUP], "left").fillna(0, ["had"])
-    near = wanted.join(ranked, list(LOOKUP)).where((F.col("concept") <= count + F.col("had")) & (F.col("in_cluster") <= 1 + F.col("had")))
+    wanted = requests.select("user_id", *keys).distinct().join(hits, ["user_id", *keys], "left").fillna(0, ["had"])
+    near = wanted.join(ranked, list(keys)).where((F.col("concept") <= count + F.col("had")) & (F.col("in_cluster") <= 1 + F.col("had")))
     fresh = near.join(seen, ["user_id", "question_id"], "left_anti")
-    one = Window.partitionBy("user_id", *LOOKUP, "cluster").orderBy("k")
-    first = Window.partitionBy("user_id", *LOOKUP).orderBy("concept")
+    if excluded is not None:
+        fresh = fresh.join(excluded, ["user_id", "cluster"], "left_anti")
+    one = Window.partitionBy("user_id", *keys, "cluster").orderBy("k")
+    first = Window.partitionBy("user_id", *keys).orderBy("concept")
     return (
         fresh.withColumn("r", F.row_number().over(one))
         .where("r = 1")
         .withColumn("pos", F.row_number().over(first))
         .where(F.col("pos") <= count)
-        .select("user_id", *LOOKUP, "question_id", "pos")
+        .select("user_id", *keys, "question_id", "pos")
     )
 
 
-def shortfall(requests: DataFrame, found: DataFrame, count: int = 5) -> DataFrame:
-    n = found.groupBy("user_id", *LOOKUP).agg(F.count(F.lit(1)).alias("found"))
+def shortfall(requests: DataFrame, found: DataFrame, count: int = 5, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """What each request still lacks, and what follows: full, partial (some found), or empty."""
+    keys = keys or tuple(k for k in SCOPE if k in requests.columns)
+    n = found.groupBy("user_id", *keys).agg(F.count(F.lit(1)).alias("found"))
+    outcome = F.when(F.col("found") == count, "full").when(F.col("found") > 0, "partial").otherwise("empty")
     return (
-        requests.select("user_id", *LOOKUP).distinct().join(n, ["user_id", *LOOKUP], "left").fillna(0, ["found"])
-        .withColumn("shortfall", F.lit(count) - F.col("found"))
+        requests.select("user_id", *keys).distinct().join(n, ["user_id", *keys], "left").fillna(0, ["found"])
+        .withColumn("shortfall", F.lit(count) - F.col("found")).withColumn("outcome", outcome)
     )
 
 

@@ -43,6 +43,14 @@ def requested_units(attempts: DataFrame) -> DataFrame:
     return parsed.select("attempt_id", "class", "subject", "s.scope_type", F.explode("s.sub_units").alias("unit"))
 
 
+def resolved_units(attempts: DataFrame, questions: DataFrame) -> DataFrame:
+    """The chapter and topic pairs that each attempt names: a topic in every chapter that has it, a chapter with all its topics."""
+    have = questions.select("class", "subject", "chapter", "topic").distinct()
+    units = have.withColumn("unit", F.explode(F.array_distinct(F.array("chapter", "topic"))))
+    a = attempts.dropDuplicates(["attempt_id"]).select("attempt_id", "user_id", "difficulty")
+    return requested_units(attempts).join(units, ["class", "subject", "unit"]).join(a, "attempt_id").drop("unit", "scope_type").distinct()
+
+
 def violations(attempts: DataFrame, questions: DataFrame) -> DataFrame:
     """Requested units that the bank doesn't have in that class and subject."""
     have = (

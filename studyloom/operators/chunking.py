@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from studyloom.functions.text import sentences
+from studyloom.functions.text import natural_key, sentences
 
+#: fixed values: phrases that make a sentence depend on a figure, in any case
 FIGURE = (
-    r"(?i)\bfig(?:ure)?s?\.?\s*\d", r"(?i)\b(?:shown|given|seen) (?:in the figure|above|below)\b", r"(?i)\bin the (?:adjoining )?(?:figure|diagram|picture)\b",
-    r"(?i)\bthe (?:figure|diagram|graph|map) (?:above|below|shows)\b", r"(?i)\blook at (?:the )?(?:figure|picture|diagram)\b", r"(?i)\bobserve the (?:figure|picture)\b",
-)  # fixed patterns: references to a picture
+    r"as shown (in|below|above)",
+    r"shown in (the )?figure",
+    r"in the figure (below|above)",
+    r"the diagram illustrates",
+    r"figure\s+\d+\.\d+\s+shows",
+    r"in the (above|below) (figure|diagram)",
+    r"the (figure|diagram) (below|above) shows",
+)
 MARKER = "\x00SUBHEADING\x00"  # begins a line that a detector knows for a subheading; never part of a piece
 NUMBERED = r"(?U)^\d+\.\d+\.\d+[\s\x1c-\x1f]+[^\n]{2,100}\z"  # 1.2.1 Heading
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
@@ -22,19 +28,23 @@ def packed(lines: DataFrame, doc: list[str], order: list[str], limit: int = 2000
 
     The fold restarts at each overflow, so a running sum can't express it; it is one aggregate over the document's line lengths."""
     parts = lines.groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("l"))
-    start = F.expr("named_struct('used', 0, 'piece', 0, 'pieces', array())").cast("struct<used: int, piece: int, pieces: array<int>>")
+    start = F.expr("named_struct('used', 0, 'at', 0, 'starts', array(0))").cast("struct<used: int, at: int, starts: array<int>>")
 
     def step(s: Column, x: Column) -> Column:
         n = F.length(x["text"])
-        full = (F.size(s["pieces"]) > 0 if blank else s["used"] > 0) & (s["used"] + n > limit)
-        piece = s["piece"] + full.cast("int")
+        full = (s["at"] > 0 if blank else s["used"] > 0) & (s["used"] + n > limit)
         return F.struct(
-            F.when(full, n).otherwise(s["used"] + n).alias("used"), piece.alias("piece"), F.concat(s["pieces"], F.array(piece)).alias("pieces")
+            F.when(full, n).otherwise(s["used"] + n).alias("used"),
+            (s["at"] + 1).alias("at"),
+            F.when(full, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"),
         )
 
+    # the list grows by one number for a piece, not for a line; each piece then is a slice of the lines
     folded = parts.withColumn("f", F.aggregate("l", start, step))
-    return folded.select(*doc, F.explode(F.arrays_zip(F.col("l"), F.col("f.pieces").alias("piece"))).alias("z")).select(
-        *doc, *(F.col(f"z.l.{c}").alias(c) for c in order), F.col("z.l.text").alias("text"), F.col("z.piece").alias("piece")
+    ranges = F.transform(F.col("f.starts"), lambda s, k: F.struct(s.alias("low"), F.coalesce(F.get("f.starts", k + 1), F.col("f.at")).alias("high")))
+    pieces = folded.select(*doc, "l", F.posexplode(ranges).alias("piece", "r"))
+    return pieces.select(*doc, "piece", F.explode(F.slice("l", F.col("r.low") + 1, F.col("r.high") - F.col("r.low"))).alias("z")).select(
+        *doc, *(F.col(f"z.{c}").alias(c) for c in order), F.col("z.text").alias("text"), "piece"
     )
 
 
@@ -73,7 +83,7 @@ def figure_sentences(chunks: DataFrame) -> DataFrame:
     s = chunks.select("chunk_id", F.posexplode(sentences(F.regexp_replace("text", r"\s+", " "))).alias("pos", "sentence"))
     depends = F.lit(False)
     for pattern in FIGURE:
-        depends = depends | F.col("sentence").rlike(pattern)
+        depends = depends | F.col("sentence").rlike(f"(?i){pattern}")
     return s.where(depends)
 
 
@@ -148,12 +158,12 @@ def recurring_titles(chunks: DataFrame, least: int = 2) -> DataFrame:
 def flat_metadata(chunks: DataFrame) -> DataFrame:
     """Metadata for stores that only know plain values: lists as JSON, '' for NULL, no text."""
     plain = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("chunk_id", "class", "subject", "source_file", "chapter", "chapter_number", "topic", "topic_number", "chunk_index")]
-    return chunks.select(*plain, F.coalesce("has_table", F.lit(False)).alias("has_table"), F.size("figure_dependent_spans").alias("spans"), F.to_json("images").alias("images"))
+    return chunks.select(*plain, F.coalesce("has_table", F.lit(False)).alias("has_table"), *(F.coalesce(F.to_json(c, {"ignoreNullFields": "false"}), F.lit("[]")).alias(a) for c, a in (("figure_dependent_spans", "spans"), ("images", "images"))))
 
 
 def topic_ordinals(chunks: DataFrame) -> DataFrame:
     """Running number of topics in a book: each chunk_index 0 begins one."""
     rows = chunks.select("source_file", "chapter_number", "topic_number", "topic", "chunk_index", "chunk_id").dropDuplicates(["chunk_id"])
-    number = F.coalesce(F.nullif(F.col("topic_number"), F.lit("")), F.lit("0"))
+    number = natural_key(F.coalesce(F.col("topic_number"), F.lit("")))
     by = Window.partitionBy("source_file").orderBy(number, "topic", "chunk_index", "chunk_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.select("source_file", "chunk_id", (F.sum((F.col("chunk_index") == 0).cast("int")).over(by) - 1).alias("ordinal"))

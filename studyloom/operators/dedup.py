@@ -7,18 +7,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from studyloom.functions.text import normal, text_hash
+from studyloom.functions.text import natural_key, normal, single_spaced, text_hash
 from studyloom.schemas import PAYLOAD
 from studyloom.session import cut
 
 SCOPE = ("class", "subject", "chapter", "topic")
+BOOK = ("class", "subject", "source_file")
 
 
 def pair_identity(payload: Column | str) -> Column:
-    """Pairs of a matching question in one fixed order; white space collapsed, case kept."""
-    one = lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    """Pairs of a matching question as a JSON list in one fixed order; white space collapsed, case kept."""
     pairs = F.map_entries(F.from_json(payload, PAYLOAD)["pairs"])
-    return F.array_join(F.array_sort(F.transform(pairs, lambda e: F.concat(one(e["key"]), F.lit("="), one(e["value"])))), ";")
+    return F.to_json(F.array_sort(F.transform(pairs, lambda e: F.array(single_spaced(e["key"]), single_spaced(e["value"])))))
 
 
 def identity_hash(questions: DataFrame) -> DataFrame:
@@ -103,10 +103,19 @@ def clusters(questions: DataFrame, least: float = 0.9, dim: int = 384) -> DataFr
     )
 
 
+def topic_order(chunks: DataFrame) -> DataFrame:
+    """class, subject, source_file, topic, topic_number and its ordinal: the place of each topic in its book, from 0. Unnumbered ones come first, then natural order."""
+    number = F.coalesce(F.col("topic_number"), F.lit("")).alias("topic_number")
+    topics = chunks.select(*BOOK, F.coalesce("topic", F.lit("")).alias("topic"), number).distinct()
+    by = Window.partitionBy(*BOOK).orderBy(natural_key("topic_number"), "topic", "topic_number")
+    return topics.withColumn("ordinal", F.row_number().over(by) - 1)
+
+
 def chunk_ids(chunks: DataFrame) -> DataFrame:
-    """The first 16 hex digits of SHA-1 over the keys of a chunk."""
-    key = F.concat_ws("|", "class", "subject", "source_file", F.coalesce("topic_number", F.lit("")), F.col("chunk_index").cast("string"))
-    return chunks.select("chunk_id", F.substring(F.sha1(key), 1, 16).alias("made_id"))
+    """The first 16 hex digits of SHA-1 over class, subject, book, the topic's ordinal in it and the chunk's number."""
+    rows = chunks.select("chunk_id", *BOOK, F.coalesce("topic", F.lit("")).alias("topic"), F.coalesce("topic_number", F.lit("")).alias("topic_number"), "chunk_index").distinct()
+    key = F.concat_ws("|", *BOOK, F.col("ordinal").cast("string"), F.col("chunk_index").cast("string"))
+    return rows.join(topic_order(chunks), [*BOOK, "topic", "topic_number"]).select("chunk_id", "ordinal", F.substring(F.sha1(key), 1, 16).alias("made_id"))
 
 
 def neighbours_in_topic(questions: DataFrame) -> DataFrame:

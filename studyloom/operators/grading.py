@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.functions.text import normal
+from studyloom.functions.text import single_spaced
+from studyloom.operators.answers import typed_right
 from studyloom.schemas import PAYLOAD
 
+#: fixed values: what counts as a number, and the unit that may stand behind it
 NUMBER = r"^-?\d+(\.\d+)?$"
 
 
@@ -32,22 +34,25 @@ def numeric(c: Column) -> Column:
 
 
 def graded(answers: DataFrame, questions: DataFrame, unicode: bool = False) -> DataFrame:
-    """attempt_id, question_id, type, verdict. unicode: compare fill_in_blank answers in compatibility form."""
+    """attempt_id, question_id, type, verdict; NULL for a question of an unknown type, which no rule grades. unicode: compare
+    fill_in_blank answers in compatibility form."""
     form = (lambda c: nfkc(c)) if unicode else (lambda c: c)
     a = answers.dropDuplicates(["attempt_id", "question_id"]).select("attempt_id", "question_id", "user_answer")
     q = questions.select("question_id", "type", F.from_json("payload", PAYLOAD).alias("p"))
     j = a.join(q, "question_id")
-    given = normal(form(F.get_json_object(F.concat(F.lit('{"a":'), "user_answer", F.lit("}")), "$.a")))
-    key = normal(form(F.col("p.answer")))
-    accepted = F.transform(F.coalesce("p.accepted_answers", F.array().cast("array<string>")), normal)
-    fill = F.when(numeric(key).isNotNull(), numeric(key).eqNullSafe(numeric(given))).otherwise(
-        (given != "") & ((given == key) | F.array_contains(accepted, given))
-    )
+    given = form(F.get_json_object(F.concat(F.lit('{"a":'), "user_answer", F.lit("}")), "$.a"))
+    j = j.withColumn("_given", single_spaced(given)).withColumn("_key", single_spaced(form(F.col("p.answer"))))
+    fill = typed_right(F.col("_key"), F.col("_given"), numeric)
     user = F.from_json("user_answer", "map<string, string>")
     matching = F.forall(F.map_entries("p.pairs"), lambda e: F.coalesce(F.try_element_at(user, e["key"]) == e["value"], F.lit(False)))
-    mcq = F.expr("try_cast(user_answer AS INT)").eqNullSafe(F.col("p.correct_option_index"))
-    verdict = F.when(F.col("type") == "MCQ", mcq).when(F.col("type") == "matching", matching).otherwise(fill)
-    return j.select("attempt_id", "question_id", "type", F.coalesce(verdict, F.lit(False)).alias("verdict"))
+    mcq = F.expr("CASE user_answer WHEN 'true' THEN 1 WHEN 'false' THEN 0 ELSE try_cast(user_answer AS INT) END").eqNullSafe(F.col("p.correct_option_index"))
+    wrong = F.lit(False)
+    verdict = (
+        F.when(F.col("type") == "MCQ", F.coalesce(mcq, wrong))
+        .when(F.col("type") == "matching", F.coalesce(matching, wrong))
+        .when(F.col("type") == "fill_in_blank", F.coalesce(fill, wrong))
+    )
+    return j.select("attempt_id", "question_id", "type", verdict.alias("verdict"))
 
 
 def pair_results(answers: DataFrame, questions: DataFrame) -> DataFrame:

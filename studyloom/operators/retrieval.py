@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.functions.text import normal, order_key
-from studyloom.operators.dedup import cosine, identity_hash
+from studyloom.operators.dedup import clusters, cosine, identity_hash
 from studyloom.schemas import PAYLOAD
 
 TOPIC = ("class", "subject", "chapter", "topic")
@@ -37,20 +37,25 @@ def quarantine(questions: DataFrame, repairs: DataFrame, revision: str) -> DataF
     )
 
 
-def intake(questions: DataFrame) -> DataFrame:
+def intake(questions: DataFrame, clustered: bool = False) -> DataFrame:
     """Disposition of each row in order of arrival: exact_duplicate of an earlier one in its scope, or accepted.
 
-    Old hashes of matching questions are made again from their pairs, so rows from before that form still meet."""
+    Old hashes of matching questions are made again from their pairs, so rows from before that form still meet. Accepted rows have the
+    cluster of the most similar earlier accepted row of their block, or their own."""
     q = identity_hash(questions)
     key = F.struct("batch_no", "created_at", "question_id")
     first = q.groupBy(*TOPIC, "identity").agg(F.min_by("question_id", key).alias("first"))
     stored = F.lower("text_hash")
-    return q.join(first, [*TOPIC, "identity"]).select(
+    told = q.join(first, [*TOPIC, "identity"]).select(
         "question_id",
         F.when(F.col("first") == F.col("question_id"), "accepted").otherwise("exact_duplicate").alias("reason"),
         F.when(F.col("first") != F.col("question_id"), F.col("first")).alias("duplicate_of"),
         stored.eqNullSafe(F.col("identity")).alias("hash_is_current"),
     )
+    if not clustered:
+        return told
+    taken = questions.join(told.where("reason = 'accepted'").select("question_id"), "question_id", "left_semi")
+    return told.join(clusters(taken), "question_id", "left")
 
 
 def nearest(queries: DataFrame, rows: DataFrame, block: str, id_col: str, vector: str, k: int) -> DataFrame:
@@ -164,3 +169,20 @@ def resilient(calls, retries: int = 2, backoff: float = 1.0, fallback=None, slee
     if fallback is not None:
         return fallback()
     raise error
+
+
+def access(calls: DataFrame, attempts: DataFrame) -> DataFrame:
+    """calls (attempt_id, caller) with `access`: not found, forbidden (another user's) or ok. attempts: attempt_id, owner, each once."""
+    told = F.when(F.col("owner").isNull(), "not found").when(F.col("owner") != F.col("caller"), "forbidden").otherwise("ok")
+    return calls.join(attempts, "attempt_id", "left").withColumn("access", told).drop("owner")
+
+
+def submitted(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """Of each attempt: its answers, those whose question the bank doesn't have (an error of the request), and the right ones of the others."""
+    known = questions.select("question_id").distinct().withColumn("known", F.lit(True))
+    a = answers.dropDuplicates(["attempt_id", "question_id"]).join(known, "question_id", "left")
+    return a.groupBy("attempt_id").agg(
+        F.count(F.lit(1)).alias("answers"),
+        F.count_if(F.col("known").isNull()).alias("unknown"),
+        F.count_if(F.col("known") & F.col("is_correct")).alias("correct"),
+    )

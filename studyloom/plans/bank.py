@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from studyloom.operators import answers as A
 from studyloom.operators import bank as B
 from studyloom.operators import catalog as C
 from studyloom.operators import dedup as D
 from studyloom.operators import grading as G
+from studyloom.operators import retrieval as R
 from studyloom.operators import validate as V
 from studyloom.plans.registry import query
 from studyloom.session import ship, table
@@ -98,7 +100,7 @@ def public_payload(spark, d):
 
 
 @query(
-    """WITH m AS (SELECT question_id, STRING_AGG(e.key || ' -> ' || (e.value->>'$'), '; ' ORDER BY e.key || ' -> ' || (e.value->>'$')) AS t
+    """WITH m AS (SELECT question_id, STRING_AGG(e.key || ' -> ' || (e.value->>'$'), '; ' ORDER BY e.id) AS t
 FROM questions, JSON_EACH(payload, '$.pairs') e WHERE questions.type = 'matching' GROUP BY 1)
 SELECT q.question_id, type, CASE type WHEN 'MCQ' THEN (CAST(payload->'$.options' AS VARCHAR[]))[CAST(payload->>'$.correct_option_index' AS INT) + 1]
 WHEN 'matching' THEN m.t ELSE payload->>'$.answer' END AS correct_text FROM questions q LEFT JOIN m USING (question_id)"""
@@ -107,22 +109,34 @@ def correct_answer_text(spark, d):
     return B.correct_text(_q(spark, d))
 
 
-REQUESTS = """a AS (SELECT DISTINCT attempt_id, user_id, class, subject, difficulty FROM quiz_attempts),
-r AS (SELECT DISTINCT user_id, class, subject, difficulty, t.question_type FROM a, (VALUES ('MCQ'), ('fill_in_blank'), ('matching')) t(question_type)),
+REQUESTS = """a AS (SELECT DISTINCT attempt_id, user_id, class, subject, difficulty, scope FROM quiz_attempts),
+u AS (SELECT DISTINCT user_id, class, subject, difficulty, UNNEST(CAST(scope->'$.sub_units' AS VARCHAR[])) AS unit FROM a),
+s AS (SELECT DISTINCT class, subject, chapter, topic, UNNEST([chapter, topic]) AS unit FROM questions),
+r AS (SELECT DISTINCT user_id, class, subject, chapter, topic, difficulty, t.question_type FROM u JOIN s USING (class, subject, unit), (VALUES ('MCQ'), ('fill_in_blank'), ('matching')) t(question_type)),
 seen AS (SELECT DISTINCT user_id, question_id FROM attempt_answers JOIN a USING (attempt_id)),
-q AS (SELECT question_id, class, subject, difficulty, type AS question_type, COALESCE(concept_cluster_id, question_id) AS cluster, SHA256('7|' || question_id) AS k FROM questions),
-w AS (SELECT *, MIN(k) OVER (PARTITION BY class, subject, difficulty, question_type, cluster) AS lead FROM q),
-f AS (SELECT r.*, w.question_id, w.cluster, w.k, w.lead FROM r JOIN w USING (class, subject, difficulty, question_type) ANTI JOIN seen USING (user_id, question_id)),
-o AS (SELECT * FROM f QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, class, subject, difficulty, question_type, cluster ORDER BY k) = 1),
-p AS (SELECT user_id, class, subject, difficulty, question_type, question_id, ROW_NUMBER() OVER (PARTITION BY user_id, class, subject, difficulty, question_type ORDER BY lead)::INT AS pos FROM o QUALIFY pos <= 5)
+fine AS (SELECT *, COALESCE(concept_cluster_id, question_id) AS cluster, SHA256('7|' || question_id) AS k FROM questions
+WHERE (source_chunk_id NOT IN (SELECT chunk_id FROM source_repairs WHERE chunk_id IS NOT NULL) OR COALESCE((payload->>'$.source_revision') = '2', FALSE))
+AND (type <> 'matching' OR (LEN(CAST(payload->'$.left_items' AS VARCHAR[])) = LEN(LIST_DISTINCT(CAST(payload->'$.left_items' AS VARCHAR[]))) AND LEN(CAST(payload->'$.right_items' AS VARCHAR[])) = LEN(LIST_DISTINCT(CAST(payload->'$.right_items' AS VARCHAR[])))))),
+ex AS (SELECT DISTINCT user_id, COALESCE(concept_cluster_id, question_id) AS cluster FROM attempt_answers JOIN a USING (attempt_id) JOIN questions USING (question_id) WHERE is_correct),
+q AS (SELECT question_id, class, subject, chapter, topic, difficulty, type AS question_type, cluster, k, MIN(k) OVER (PARTITION BY class, subject, chapter, topic, difficulty, type, cluster) AS lead FROM fine),
+f AS (SELECT r.*, q.question_id, q.cluster, q.k, q.lead FROM r JOIN q USING (class, subject, chapter, topic, difficulty, question_type)
+WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = r.user_id AND seen.question_id = q.question_id) AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.user_id = r.user_id AND ex.cluster = q.cluster)),
+o AS (SELECT * FROM f QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, class, subject, chapter, topic, difficulty, question_type, cluster ORDER BY k) = 1),
+p AS (SELECT user_id, class, subject, chapter, topic, difficulty, question_type, question_id, ROW_NUMBER() OVER (PARTITION BY user_id, class, subject, chapter, topic, difficulty, question_type ORDER BY lead)::INT AS pos FROM o QUALIFY pos <= 5)
 """
 
 
 def _lookup(spark, d):
-    attempts = table(spark, d, "quiz_attempts")
+    """For each user and each topic that an attempt of theirs names (by itself or by its chapter) and each type: five questions that are not
+    under review, well formed, not seen, and of no concept the user has answered rightly."""
+    attempts, answers, q = table(spark, d, "quiz_attempts"), table(spark, d, "attempt_answers"), _q(spark, d)
     kinds = F.explode(F.array(*(F.lit(k) for k in ("MCQ", "fill_in_blank", "matching")))).alias("question_type")
-    requests = attempts.select("user_id", "class", "subject", "difficulty", kinds).distinct()
-    return requests, B.lookup(requests, _q(spark, d), B.seen_pairs(table(spark, d, "attempt_answers"), attempts))
+    requests = C.resolved_units(attempts, q).select("user_id", "class", "subject", "chapter", "topic", "difficulty", kinds).distinct()
+    reviewed = R.quarantine(q, table(spark, d, "source_repairs"), "2").where("needs_review IS NULL OR NOT needs_review")
+    fine = B.wellformed_matching(q).join(reviewed.select("question_id"), "question_id", "left_semi")
+    cluster = F.coalesce("concept_cluster_id", "question_id").alias("cluster")
+    known = B.seen_pairs(answers.where("is_correct"), attempts).join(q.select("question_id", cluster), "question_id").select("user_id", "cluster").distinct()
+    return requests, B.lookup(requests, fine, B.seen_pairs(answers, attempts), excluded=known)
 
 
 @query(f"WITH {REQUESTS} SELECT * FROM p")
@@ -131,8 +145,9 @@ def bank_lookup(spark, d):
 
 
 @query(
-    f"""WITH {REQUESTS}, n AS (SELECT user_id, class, subject, difficulty, question_type, COUNT(*) AS found FROM p GROUP BY ALL)
-SELECT r.*, COALESCE(found, 0) AS found, 5 - COALESCE(found, 0) AS shortfall FROM r LEFT JOIN n USING (user_id, class, subject, difficulty, question_type)"""
+    f"""WITH {REQUESTS}, n AS (SELECT user_id, class, subject, chapter, topic, difficulty, question_type, COUNT(*) AS found FROM p GROUP BY ALL)
+SELECT r.*, COALESCE(found, 0) AS found, 5 - COALESCE(found, 0) AS shortfall, CASE COALESCE(found, 0) WHEN 5 THEN 'full' WHEN 0 THEN 'empty' ELSE 'partial' END AS outcome
+FROM r LEFT JOIN n USING (user_id, class, subject, chapter, topic, difficulty, question_type)"""
 )
 def bank_shortfall(spark, d):
     return B.shortfall(*_lookup(spark, d))
@@ -165,8 +180,8 @@ def style_pick(spark, d):
     return B.style_pick(_q(spark, d), table(spark, d, "reference_corpus"))
 
 
-PAIRS = f"""m AS (SELECT question_id, STRING_AGG(x, ';' ORDER BY x) AS pairs FROM (SELECT question_id,
-TRIM(REGEXP_REPLACE(e.key, '{SPACE}', ' ', 'g')) || '=' || TRIM(REGEXP_REPLACE(e.value->>'$', '{SPACE}', ' ', 'g')) AS x
+PAIRS = f"""m AS (SELECT question_id, '[' || STRING_AGG('[' || TO_JSON(k)::VARCHAR || ',' || TO_JSON(v)::VARCHAR || ']', ',' ORDER BY k, v) || ']' AS pairs FROM (SELECT question_id,
+TRIM(REGEXP_REPLACE(e.key, '{SPACE}', ' ', 'g')) AS k, TRIM(REGEXP_REPLACE(e.value->>'$', '{SPACE}', ' ', 'g')) AS v
 FROM questions, JSON_EACH(payload, '$.pairs') e WHERE questions.type = 'matching') GROUP BY 1),
 i AS (SELECT q.question_id, class, subject, chapter, topic, created_at, CASE WHEN type = 'matching' THEN 'matching-v2:' || SHA256(pairs) ELSE SHA256({sql_normal("text")}) END AS identity
 FROM questions q LEFT JOIN m USING (question_id))
@@ -229,7 +244,9 @@ def threshold_sweep(spark, d):
 
 
 @query(
-    """SELECT chunk_id, SUBSTR(SHA1(CONCAT_WS('|', class, subject, source_file, COALESCE(topic_number, ''), CAST(chunk_index AS VARCHAR))), 1, 16) AS made_id FROM chunk"""
+    """WITH r AS (SELECT DISTINCT chunk_id, class, subject, source_file, COALESCE(topic, '') AS topic, COALESCE(topic_number, '') AS number, chunk_index FROM chunk),
+o AS (SELECT *, DENSE_RANK() OVER (PARTITION BY class, subject, source_file ORDER BY LIST_TRANSFORM(REGEXP_EXTRACT_ALL(number, '\\d+'), lambda x: CAST(x AS INT)), topic, number)::INT - 1 AS ordinal FROM r)
+SELECT chunk_id, ordinal, SUBSTR(SHA1(class || '|' || subject || '|' || source_file || '|' || ordinal || '|' || chunk_index), 1, 16) AS made_id FROM o"""
 )
 def chunk_ids(spark, d):
     return D.chunk_ids(table(spark, d, "chunk"))
@@ -250,15 +267,35 @@ def _num(c: str) -> str:
     return f"CASE WHEN REGEXP_MATCHES({bare}, '^-?\\d+(\\.\\d+)?$') THEN {bare} END"
 
 
+def sql_spaced(c: str) -> str:
+    return f"REGEXP_REPLACE(REGEXP_REPLACE({c}, '{SPACE}', ' ', 'g'), '^ | $', '', 'g')"
+
+
+KNOWN = ", ".join(f"('{name}', '{alias}')" for name, alias in A.ALIASES)
+GROUPS = ", ".join(f"('{a}', '{b}')" for group in A.TERMS for a in group for b in group if a != b)
+FORMULA = r"REGEXP_FULL_MATCH({c}, '(?:[A-Z][a-z]?\d*|\([A-Za-z0-9]+\)\d*)+') AND LEN(LIST_FILTER(REGEXP_EXTRACT_ALL({c}, '[A-Z][a-z]?'), lambda e: NOT LIST_CONTAINS(STRING_SPLIT('" + " ".join(A.ELEMENTS) + r"', ' '), e))) = 0"
+
+
+def sql_substance(c: str) -> str:
+    """First names and plain aliases in any case, then an alias as it is, then a small-letter formula of one substance."""
+    return f"""COALESCE((SELECT MIN(name) FROM known WHERE LOWER({c}) = name OR (NOT formula AND LOWER({c}) = LOWER(alias))),
+(SELECT CASE WHEN COUNT(DISTINCT name) = 1 THEN MIN(name) END FROM known WHERE {c} = alias),
+(SELECT CASE WHEN COUNT(DISTINCT name) = 1 THEN MIN(name) END FROM known WHERE formula AND {c} = LOWER(alias) AND {c} = LOWER({c})))"""
+
+
 @query(
     f"""WITH a AS (SELECT DISTINCT attempt_id, question_id, user_answer FROM attempt_answers),
-f AS (SELECT attempt_id, question_id, type, user_answer, payload, {sql_normal("('{\"a\":' || user_answer || '}')->>'$.a'")} AS given, {sql_normal("payload->>'$.answer'")} AS key FROM a JOIN questions USING (question_id)),
+known AS (SELECT name, alias, {FORMULA.format(c='alias')} AS formula FROM (VALUES {KNOWN}) t(name, alias)), groups(one, other) AS (VALUES {GROUPS}),
+f AS (SELECT attempt_id, question_id, type, user_answer, payload, {sql_spaced("('{\"a\":' || user_answer || '}')->>'$.a'")} AS given, {sql_spaced("payload->>'$.answer'")} AS key FROM a JOIN questions USING (question_id)),
+t AS (SELECT DISTINCT key AS term FROM f WHERE key IS NOT NULL UNION SELECT DISTINCT given FROM f WHERE given IS NOT NULL),
+n AS (SELECT term, {sql_substance("term")} AS substance FROM t),
 m AS (SELECT attempt_id, question_id, BOOL_AND(COALESCE((MAP_FROM_ENTRIES(LIST_TRANSFORM(JSON_KEYS(user_answer), lambda u: ROW(u, JSON_EXTRACT_STRING(user_answer, '$."' || REPLACE(REPLACE(u, '\\', '\\\\'), '"', '\\"') || '"'))))[e.key]) = (e.value->>'$'), FALSE)) AS ok
 FROM f, JSON_EACH(payload, '$.pairs') e WHERE f.type = 'matching' GROUP BY ALL)
-SELECT f.attempt_id, f.question_id, type, COALESCE(CASE type WHEN 'MCQ' THEN TRY_CAST(user_answer AS INT) = CAST(payload->>'$.correct_option_index' AS INT)
-WHEN 'matching' THEN m.ok ELSE CASE WHEN ({_num("key")}) IS NOT NULL THEN ({_num("key")}) IS NOT DISTINCT FROM ({_num("given")})
-ELSE given <> '' AND (given = key OR LIST_CONTAINS(LIST_TRANSFORM(CAST(payload->'$.accepted_answers' AS VARCHAR[]), lambda x: {sql_normal("x")}), given)) END END, FALSE) AS verdict
-FROM f LEFT JOIN m USING (attempt_id, question_id)"""
+SELECT f.attempt_id, f.question_id, type, CASE type WHEN 'MCQ' THEN COALESCE(TRY_CAST(user_answer AS INT) = CAST(payload->>'$.correct_option_index' AS INT), FALSE)
+WHEN 'matching' THEN COALESCE(m.ok, FALSE) WHEN 'fill_in_blank' THEN COALESCE(CASE WHEN COALESCE(given, '') = '' THEN FALSE WHEN ({_num("key")}) IS NOT NULL THEN ({_num("key")}) IS NOT DISTINCT FROM ({_num("given")})
+WHEN nk.substance IS NOT NULL THEN nk.substance IS NOT DISTINCT FROM ng.substance WHEN {FORMULA.format(c='key')} THEN key = given
+ELSE LOWER(key) = LOWER(given) OR EXISTS (SELECT 1 FROM groups WHERE LOWER(one) = LOWER(key) AND LOWER(other) = LOWER(given)) END, FALSE) END AS verdict
+FROM f LEFT JOIN m USING (attempt_id, question_id) LEFT JOIN n nk ON nk.term = key LEFT JOIN n ng ON ng.term = given"""
 )
 def grade_answers(spark, d):
     return G.graded(table(spark, d, "attempt_answers"), _q(spark, d))

@@ -121,17 +121,20 @@ def recurring_titles(spark, d):
 
 @query(
     """WITH r AS (SELECT DISTINCT ON (chunk_id) source_file, topic_number, topic, chunk_index, chunk_id FROM chunk)
-SELECT source_file, chunk_id, CAST(SUM((chunk_index = 0)::INT) OVER (PARTITION BY source_file ORDER BY COALESCE(NULLIF(topic_number, ''), '0'), topic, chunk_index, chunk_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS ordinal FROM r"""
+SELECT source_file, chunk_id, CAST(SUM((chunk_index = 0)::INT) OVER (PARTITION BY source_file ORDER BY LIST_TRANSFORM(REGEXP_EXTRACT_ALL(COALESCE(topic_number, ''), '\\d+'), lambda x: CAST(x AS INT)), topic, chunk_index, chunk_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS ordinal FROM r"""
 )
 def topic_ordinals(spark, d):
     return K.topic_ordinals(_chunks(spark, d))
 
 
 @query(
-    """SELECT COALESCE(chunk_id, '') AS chunk_id, COALESCE(topic_number, '') AS topic_number, COALESCE(CAST(chapter_number AS VARCHAR), '') AS chapter_number, COALESCE(has_table, FALSE) AS has_table, LEN(figure_dependent_spans)::INT AS spans FROM chunk"""
+    """SELECT COALESCE(chunk_id, '') AS chunk_id, COALESCE(class, '') AS class, COALESCE(subject, '') AS subject, COALESCE(source_file, '') AS source_file, COALESCE(chapter, '') AS chapter, COALESCE(CAST(chapter_number AS VARCHAR), '') AS chapter_number,
+COALESCE(topic, '') AS topic, COALESCE(topic_number, '') AS topic_number, COALESCE(CAST(chunk_index AS VARCHAR), '') AS chunk_index, COALESCE(has_table, FALSE) AS has_table,
+'[' || ARRAY_TO_STRING(LIST_TRANSFORM(figure_dependent_spans, lambda s: TO_JSON(s)::VARCHAR), ',') || ']' AS spans,
+'[' || ARRAY_TO_STRING(LIST_TRANSFORM(images, lambda i: '{"image_file":' || COALESCE(TO_JSON(i.image_file)::VARCHAR, 'null') || ',"caption":' || COALESCE(TO_JSON(i.caption)::VARCHAR, 'null') || '}'), ',') || ']' AS images FROM chunk"""
 )
 def flat_metadata(spark, d):
-    return K.flat_metadata(_chunks(spark, d)).select("chunk_id", "topic_number", "chapter_number", "has_table", "spans")
+    return K.flat_metadata(_chunks(spark, d))
 
 
 @query(

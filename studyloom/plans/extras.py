@@ -227,10 +227,20 @@ def scope_types(spark, d):
     )
 
 
-@query("SELECT attempt_id, CASE WHEN score_total > 0 THEN CAST(ROUND(100.0 * score_correct / score_total) AS INT) ELSE 0 END AS percent, LEAST(100, 10 * score_correct) AS bar FROM (SELECT DISTINCT * FROM quiz_attempts)")
+@query(
+    """WITH t AS (SELECT DISTINCT * FROM quiz_attempts), b AS (SELECT attempt_id, COUNT(DISTINCT question_id) AS questions, COUNT(DISTINCT question_id) FILTER (user_answer IS NOT NULL) AS answered, COUNT(DISTINCT topic) AS topics
+FROM (SELECT DISTINCT attempt_id, question_id, user_answer FROM attempt_answers) JOIN questions USING (question_id) GROUP BY 1)
+SELECT t.attempt_id, CASE WHEN score_total > 0 THEN CAST(ROUND(100.0 * score_correct / score_total) AS INT) ELSE 0 END AS percent, COALESCE(answered, 0) AS answered, COALESCE(topics, 0) AS topics,
+LEAST(100.0::DOUBLE, 10.0::DOUBLE * COUNT(*) OVER (PARTITION BY user_id ORDER BY created_at RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)) AS bar FROM t LEFT JOIN b USING (attempt_id)"""
+)
 def result_percent(spark, d):
+    """Of each attempt: the score in per cent, questions answered, distinct topics, and the share of ten attempts a day that were used by then."""
     a = table(spark, d, "quiz_attempts").dropDuplicates(["attempt_id"])
-    return a.select("attempt_id", F.when(F.col("score_total") > 0, F.round(F.lit(100.0) * F.col("score_correct") / F.col("score_total")).cast("int")).otherwise(0).alias("percent"), F.least(F.lit(100), 10 * F.col("score_correct")).alias("bar"))
+    answers = table(spark, d, "attempt_answers").join(_q(spark, d).select("question_id", "topic"), "question_id")
+    of = answers.groupBy("attempt_id").agg(F.countDistinct(F.when(F.col("user_answer").isNotNull(), F.col("question_id"))).alias("answered"), F.countDistinct("topic").alias("topics"))
+    used = P.rolling_use(table(spark, d, "quiz_attempts")).select("attempt_id", F.least(F.lit(100.0), 10.0 * F.col("used")).alias("bar"))
+    percent = F.when(F.col("score_total") > 0, F.round(F.lit(100.0) * F.col("score_correct") / F.col("score_total")).cast("int")).otherwise(0)
+    return a.select("attempt_id", percent.alias("percent")).join(of, "attempt_id", "left").join(used, "attempt_id").fillna(0, ["answered", "topics"])
 
 
 @query(
@@ -243,13 +253,6 @@ def matching_sizes(spark, d):
     return q.select("question_id", pairs.alias("pairs"), F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("title"))
 
 
-@query(
-    "SELECT n AS attempt, POW(2, n) AS wait FROM (SELECT UNNEST([0, 1, 2, 3]) AS n)"
-)
-def backoff_plan(spark, d):
-    return spark.range(4).select(F.col("id").cast("int").alias("attempt"), F.pow(F.lit(2.0), F.col("id")).alias("wait"))
-
-
 TOPIC = ["class", "subject", "source_file", "chapter", "topic_number", "topic"]
 
 
@@ -268,7 +271,7 @@ def topic_split_methods(spark, d):
     return first.groupBy(F.col("split_method").alias("method")).agg(F.count(F.lit(1)).alias("topics"))
 
 
-@query("SELECT chapter, CAST(COUNT(*) AS BIGINT) AS n, MIN(LENGTH(chapter))::INT AS size FROM chunk GROUP BY 1")
+@query()
 def clean_names(spark, d):
     c = table(spark, d, "chunk").select(N.clean_name(F.col("chapter")).alias("chapter"))
     return c.groupBy("chapter").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("chapter")).alias("size"))

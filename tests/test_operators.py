@@ -284,3 +284,52 @@ def test_topic_pieces(spark):
         got.setdefault(r.topic, []).append((r.chunk_index, r.split_method, r.text))
     assert {k: sorted(v) for k, v in got.items()} == {t: [(n, *p) for n, p in enumerate(want(number, text))] for t, number, text in rows}
     assert {m for v in got.values() for _, m, _ in v} == {"none", "marked-subheading", "sub-subheading", "paragraph-group"}
+
+
+def test_stored_hashes_of_pairs_and_chunk_ids_are_met(spark, sf):
+    """The tables' own values, made outside this library, are the check."""
+    big = sf.replace("sf0.001", "sf0.01")
+    q = spark.read.parquet(f"{big}/questions.parquet").where("lower(text_hash) LIKE 'matching-v2:%'")
+    rows = dedup.identity_hash(q).selectExpr("identity", "lower(text_hash) AS stored").collect()
+    assert len(rows) > 100 and all(r.identity == r.stored for r in rows)
+    chunks = dedup.chunk_ids(spark.read.parquet(f"{big}/chunk.parquet")).distinct().collect()
+    assert sum(r.made_id == r.chunk_id for r in chunks) > 0.85 * len(chunks)  # the rest belong to books with a lost topic number
+
+
+@pytest.mark.parametrize(
+    "key, given, right",
+    [("magnesium oxide", "MgO", True), ("MgO", "Magnesium Oxide", True), ("MgO", "mgo", True), ("CO", "Co", False), ("carbon monoxide", "co", False), ("cobalt", "Co", True),
+     ("CaO", "quicklime", True), ("large", " BIG ", True), ("deoxyribonucleic acid", "dna", True), ("big", "small", False), ("atom", "atoms", True), ("10", "11", False), ("1,000 kg", "1000", True),
+     ("H2O", "water", True), ("NaOH", "NaCl", False), ("Fe2O3", "fe2o3", False), ("straße", "STRASSE", True), ("x", "", False), ("x", None, False), (None, "x", False)],
+)
+def test_equivalent_answers(spark, key, given, right):
+    q = frame(spark, question("q", "fill_in_blank", payload=json.dumps({"answer": key, "accepted_answers": ["11", "small"]})))
+    a = spark.createDataFrame([("a", "q", None if given is None else json.dumps(given), None)], "attempt_id string, question_id string, user_answer string, is_correct boolean")
+    assert one(grading.graded(a, q, unicode=True), "verdict") == [right]
+
+
+def test_unknown_types_are_not_graded(spark):
+    q = frame(spark, question("q", "essay", payload=json.dumps({"answer": "x"})))
+    a = spark.createDataFrame([("a", "q", '"x"', None)], "attempt_id string, question_id string, user_answer string, is_correct boolean")
+    assert one(grading.graded(a, q), "verdict") == [None]
+
+
+def test_allocations_add_up_and_faults_are_told(spark):
+    kinds = "request_id string, scope_type string, question_count int, units array<string>, types array<string>"
+    units = [f"t{n}" for n in range(30)]
+    rows = [("all", "all_topics_in_chapter", 25, units, ["MCQ"]), ("few", "topics", 10, units[:3], ["MCQ", "matching", "fill_in_blank"]), ("known", "topics", 5, units[:4], ["MCQ"])]
+    rows += [("n", "topics", 7, ["a"], ["MCQ"]), ("u", "topics", 5, [], ["MCQ"]), ("t", "topics", 5, ["a"], []), ("c", "all_topics_in_chapter", 5, units[:5], ["MCQ"]), ("nul", "topics", None, None, None)]
+    df = spark.createDataFrame(rows, kinds)
+    history = spark.createDataFrame([("known", "t0", 10, 10), ("known", "t1", 10, 10), ("known", "t2", 10, 10), ("known", "t3", 0, 10)], "request_id string, unit string, correct int, total int")
+    assert {r.request_id: r.fault for r in allocate.request_faults(df).collect() if r.fault} == {"n": "question count", "u": "no units", "t": "no types", "c": "coverage", "nul": "question count"}
+    got = allocate.resolved(df, history).collect()
+    sums = {}
+    for r in got:
+        sums[r.request_id] = sums.get(r.request_id, 0) + r["count"]
+    assert sums == {"all": 25, "few": 10, "known": 5} and len([r for r in got if r.request_id == "all"]) == 25
+    few = {}
+    for r in got:
+        if r.request_id == "few":
+            few.setdefault(r.unit, {})[r.question_type] = r["count"]
+    assert sorted(sum(v.values()) for v in few.values()) == [3, 3, 4] and all(v["MCQ"] >= v["matching"] >= v["fill_in_blank"] for v in few.values())
+    assert {r.unit: r["count"] for r in got if r.request_id == "known"}["t3"] == 2  # the weak one gets the remainder
