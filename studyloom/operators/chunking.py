@@ -78,11 +78,11 @@ def topic_pieces(topics: DataFrame, key: list[str], number: str = "topic_number"
     return kept.unionByName(pieces.withColumn("text", F.regexp_replace("text", EDGES, "")))
 
 
-def figure_sentences(chunks: DataFrame) -> DataFrame:
-    """Sentences that need a figure to be understood."""
+def figure_sentences(chunks: DataFrame, *also: str) -> DataFrame:
+    """Sentences that need a figure to be understood; also: further patterns."""
     s = chunks.select("chunk_id", F.posexplode(sentences(F.regexp_replace("text", r"\s+", " "))).alias("pos", "sentence"))
     depends = F.lit(False)
-    for pattern in FIGURE:
+    for pattern in (*FIGURE, *also):
         depends = depends | F.col("sentence").rlike(f"(?i){pattern}")
     return s.where(depends)
 

@@ -193,3 +193,25 @@ def chapter_titles(candidates: DataFrame) -> DataFrame:
     """Of candidate titles with a tier, each document's best: lowest tier, then score, then the smaller text."""
     by = Window.partitionBy("doc").orderBy("tier", F.desc("score"), "title")
     return candidates.where(title_case(F.col("title"))).withColumn("r", F.row_number().over(by)).where("r = 1").drop("r")
+
+
+def leading_number(lines: DataFrame) -> DataFrame:
+    """doc, number, votes: the number that most lines of a document begin with; among equals the one seen first."""
+    n = F.regexp_extract("text", r"^\s*(\d{1,2})[. ]", 1)
+    votes = (
+        lines.withColumn("n", F.when(n != "", n.cast("int")))
+        .where("n IS NOT NULL")
+        .groupBy("doc", "n")
+        .agg(F.count(F.lit(1)).alias("votes"), F.min(F.struct("page", "line_no")).alias("seen"))
+    )
+    return votes.groupBy("doc").agg(F.min_by("n", F.struct((-F.col("votes")).alias("v"), "seen")).alias("number"), F.max("votes").alias("votes"))
+
+
+def block_sizes(lines: DataFrame) -> DataFrame:
+    """doc, page, block, smallest (size of a line), lines: blank lines don't count."""
+    return lines.where(F.trim("text") != "").groupBy("doc", "page", "block").agg(F.min("size").alias("smallest"), F.count(F.lit(1)).alias("lines"))
+
+
+def vertical_blocks(blocks: DataFrame, narrow: float = 20, tall: float = 50, times: float = 4) -> DataFrame:
+    """Blocks (width, height) of rotated text: narrower than `narrow`, higher than `tall` and than `times` their width."""
+    return blocks.where((F.col("width") < narrow) & (F.col("height") > tall) & (F.col("height") > times * F.col("width")))

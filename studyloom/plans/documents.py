@@ -39,18 +39,6 @@ def running_headers(spark, d):
     return L.repeated_lines(_lines(spark, d))
 
 
-@query()
-def heading_lines(spark, d):
-    return L.headings(_lines(spark, d)).select("chunk_id", "line_no", "number", "title")
-
-
-@query()
-def heading_sizes(spark, d):
-    """Lines and characters under each heading number of a book."""
-    filled = L.with_current_heading(_lines(spark, d), ORDER)
-    return filled.where("heading IS NOT NULL").groupBy("source_file", "heading").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
-
-
 @query(
     f"""WITH {LINES}, n AS (SELECT *, SUM(REGEXP_MATCHES(text, '^\\s*(?:Q\\s*)?\\d{{1,2}}[.)]\\s+\\S')::INT) OVER (PARTITION BY source_file ORDER BY chunk_index, chunk_id, line_no ROWS UNBOUNDED PRECEDING) AS item FROM l)
 SELECT source_file, CAST(item AS BIGINT) AS item, STRING_AGG(text, ' ' ORDER BY chunk_index, chunk_id, line_no) AS text, COUNT(*) AS lines FROM n WHERE item > 0 GROUP BY ALL"""
