@@ -50,33 +50,58 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-def nearest_earlier(df: DataFrame, block: list[str], id_col: str, order: list[str], vector: str, least: float, dim: int, rows: int = 2048) -> DataFrame:
-    """id, parent, similarity: for each row of a block its most similar earlier row, if at least `least`.
-
-    A block's vectors are compared in its task in pieces of `rows`, by matrix products; the block columns are what bounds a task."""
-    ordered = df.select(*block, *order, F.col(id_col).cast("string").alias("_id"), F.col(vector).alias("_v"))
+def nearest_earlier(
+    df: DataFrame, block: list[str], id_col: str, order: list[str], vector: str, least: float, dim: int, rows: int = 2048, slice_rows: int = 16384
+) -> DataFrame:
+    """id, parent, similarity: for each row of a block its most similar earlier row, if at least `least`; equal ones: the smaller id. A row with a
+    NULL among the block columns has none.
+
+    A block of more than `slice_rows` rows is cut into slices, and each slice is compared with each slice in a task of its own, by
+    matrix products in pieces of `rows`: a task holds two slices, however large the block. The number of pairs is what the definition asks for."""
+    good = F.col(vector).isNotNull() & (F.size(vector) == dim) & ~F.exists(F.col(vector), lambda v: v.isNull() | F.isnan(v))
+    ordered = df.where(good).select(*block, F.struct(*order, F.col(id_col).cast("string").alias("_id")).alias("_o"), F.col(vector).cast("array<float>").alias("_v"))
+    sizes = ordered.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
+    slices = F.ceil(F.col("_n") / slice_rows).cast("int")
+    placed = ordered.join(sizes, block).select(
+        *block, "_o", "_v", slices.alias("_k"), F.pmod(F.xxhash64("_o._id"), slices).cast("int").alias("_s")
+    )
+    later = placed.select(*block, F.col("_s").alias("_a"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_b"), "_o", "_v", F.lit(True).alias("_asks"))
+    held = placed.select(*block, F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_a"), F.col("_s").alias("_b"), "_o", "_v", F.lit(False).alias("_asks"))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([(c, "ascending") for c in [*dict.fromkeys(order), "_id"]])
-        ids, vectors = t.column("_id").to_pylist(), t.column("_v").to_pylist()
-        good = [n for n, v in enumerate(vectors) if v is not None and len(v) == dim and None not in v]
-        x = np.array([vectors[n] for n in good], np.float64).reshape(-1, dim)
+        keys = t.column("_o").combine_chunks()
+        names = [keys.type.field(n).name for n in range(keys.type.num_fields)]
+        t = pa.table([*(keys.field(n) for n in names), t.column("_v"), t.column("_asks")], [*names, "_v", "_asks"])
+        t = t.sort_by([(c, "ascending") for c in names])
+        ids, asks = t.column("_id").to_pylist(), t.column("_asks").to_numpy()
+        x = np.array(t.column("_v").to_pylist(), np.float64).reshape(-1, dim)
         norm = np.linalg.norm(x, axis=1)
         fine = np.isfinite(norm) & (norm > 0)
-        good, x = [n for n, f in zip(good, fine) if f], x[fine] / norm[fine][:, None]
+        # a row that both asks and is held stands twice, one after the other: it may not be its own parent
+        q, y = np.flatnonzero(asks & fine), np.flatnonzero(~asks & fine)
         out: tuple[list, ...] = ([], [], [])
-        for at in range(0, len(good), rows):
-            sims = np.round(x[at : at + rows] @ x[: at + rows].T, 9)
-            for k in range(len(sims)):
-                if n := at + k:
-                    best = float(sims[k, :n].max())
-                    if best >= least:
-                        same = np.flatnonzero(sims[k, :n] == best)
-                        for column, value in zip(out, (ids[good[n]], min(ids[good[m]] for m in same), best)):
-                            column.append(value)
+        unit = x / np.where(norm > 0, norm, 1)[:, None]
+        for at in range(0, len(q), rows):
+            part = q[at : at + rows]
+            before = np.searchsorted(y, part)  # rows held that stand before each
+            top = int(before.max(initial=0))
+            if not top:
+                continue
+            sims = np.round(unit[part] @ unit[y[:top]].T, 9)
+            sims[np.arange(top)[None, :] >= before[:, None]] = -2
+            for n in range(len(part)):
+                if before[n] and ids[y[before[n] - 1]] == ids[part[n]]:
+                    sims[n, before[n] - 1] = -2
+                best = float(sims[n].max())
+                if best >= least:
+                    same = np.flatnonzero(sims[n] == best)
+                    for column, value in zip(out, (ids[part[n]], min(ids[y[m]] for m in same), best)):
+                        column.append(value)
         return pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["id", "parent", "similarity"])
 
-    return ordered.groupBy(*block).applyInArrow(run, "id string, parent string, similarity double")
+    found = later.unionByName(held).groupBy(*block, "_a", "_b").applyInArrow(run, "id string, parent string, similarity double")
+    best = F.min_by(F.struct("parent", "similarity"), F.struct((-F.col("similarity")).alias("far"), "parent")).alias("b")
+    return found.groupBy("id").agg(best).select("id", "b.*")
 
 
 def forest_roots(parents: DataFrame, most: int = 40) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,22 +60,52 @@ def intake(questions: DataFrame, clustered: bool = False) -> DataFrame:
     return told.join(clusters(taken), "question_id", "left")
 
 
-def nearest(queries: DataFrame, rows: DataFrame, block: str, id_col: str, vector: str, k: int) -> DataFrame:
-    """The k most similar rows of each query within its block (a filter that must match), exact, inside the JVM."""
-    q = queries.select(block, F.col(id_col).alias("query_id"), F.col(vector).alias("qv"))
-    r = rows.select(block, F.col(id_col).alias("row_id"), F.col(vector).alias("rv"))
-    pairs = q.join(r, block).where("query_id <> row_id").withColumn("similarity", F.round(cosine(F.col("qv"), F.col("rv")), 6))
+def nearest(queries: DataFrame, rows: DataFrame, block: str, id_col: str, vector: str, k: int, parts: int = 8) -> DataFrame:
+    """The k most similar rows of each query within its block (a filter that must match), exact.
+
+    A block's rows are spread over `parts` parts, to each of which its queries go; there matrix products leave the k best of each query, which are
+    merged at the end. Rows without a whole vector take no part; a vector of length 0 is similar to none (0)."""
+    kind = dict(rows.dtypes)[id_col]
+    good = F.col(vector).isNotNull() & ~F.exists(F.col(vector), lambda v: v.isNull() | F.isnan(v))
+    part = F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
+    r = rows.where(good).select(F.col(block).alias("block"), part.alias("part"), F.col(id_col).alias("row_id"), F.col(vector).alias("v"))
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    q = queries.where(good).select(F.col(block).alias("block"), everywhere, F.col(id_col).alias("query_id"), F.col(vector).alias("v"))
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [])
+        if len(asked) and len(held):
+            ids, own = held.column("row_id").to_pylist(), asked.column("query_id").to_pylist()
+            y, x = (np.array(t.column("v").to_pylist(), np.float64) for t in (held, asked))
+            y, x = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (y, x))
+            order = sorted(range(len(ids)), key=lambda n: ids[n])
+            y, ids = y[order], [ids[n] for n in order]  # equals rank by the smaller id
+            for at in range(0, len(x), 512):
+                sims = np.round(x[at : at + 512] @ y.T, 6)
+                for n, line in enumerate(sims):
+                    first = np.argpartition(-line, min(k, len(line) - 1))[: k + 1]
+                    for j in np.flatnonzero(line >= line[first].min()):
+                        if ids[j] != own[at + n]:
+                            for column, value in zip(out, (own[at + n], ids[j], float(line[j]))):
+                                column.append(value)
+        names = ["query_id", "row_id", "similarity"]
+        kinds = [asked.schema.field("query_id").type, held.schema.field("row_id").type, pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], names)
+
+    found = q.groupBy("block", "part").cogroup(r.groupBy("block", "part")).applyInArrow(best, f"query_id {kind}, row_id {kind}, similarity double")
     by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")
-    return pairs.select("query_id", "row_id", "similarity").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
 def greedy_lines(candidates: DataFrame, most: int = 25) -> DataFrame:
     """Picks for the lines of a request in their order: each line takes its first `count` clusters that no earlier line took.
 
     candidates: request_id, line_no, count, question_id, cluster, place. A request has at most `most` items, so each line only needs
-    its first count + most candidates: the walk's input is bounded for any bank."""
+    its first count + most clusters, each by its first question: the walk's input is bounded for any bank."""
+    first = F.min_by(F.struct("question_id", "count"), "place").alias("f")
+    one = candidates.groupBy("request_id", "line_no", "cluster").agg(first, F.min("place").alias("place")).select("request_id", "line_no", "cluster", "place", "f.*")
     by = Window.partitionBy("request_id", "line_no").orderBy("place")
-    near = candidates.withColumn("n", F.row_number().over(by)).where(F.col("n") <= F.col("count") + most)
+    near = one.withColumn("n", F.row_number().over(by)).where(F.col("n") <= F.col("count") + most)
 
     def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         used: set = set()

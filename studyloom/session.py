@@ -27,12 +27,17 @@ def local_session(cores: int = 8, name: str = "studyloom") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; one of this machine only where that is unset and Spark runs on this machine (tests)."""
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="studyloom-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+        folder = tempfile.mkdtemp(prefix="studyloom-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

@@ -1,7 +1,7 @@
 """Reading and writing tables: explicit schemas, several formats, upserts and whole publications.
 
 Plain files have no transactions over several tables, so a publication writes everything under a new version first and then
-names it in a manifest; readers follow the manifest and never see half of it."""
+adds a manifest that names it; readers follow the newest manifest, so they never see half of a publication, nor none."""
 
 from __future__ import annotations
 
@@ -75,24 +75,31 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
-    """Writes all tables under a new version and then moves the manifest that names it; returns the version."""
-    version = f"{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+    """Writes all tables under a new version and then adds the manifest that names it, in one rename; returns the version. Older
+    manifests stay, for readers that hold them."""
+    version = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    fs, new = _filesystem(spark, f"{root}/manifest.{version}")
+    fs, new = _filesystem(spark, f"{root}/_{version}.tmp")
     out = fs.create(new, True)
     out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}), "utf-8"))
     out.close()
-    fs, current = _filesystem(spark, f"{root}/manifest")
-    if fs.exists(current):
-        fs.delete(current, False)
-    fs.rename(new, current)
+    if not fs.rename(new, _filesystem(spark, f"{root}/{version}.manifest")[1]):
+        raise OSError(f"the manifest of {version} can't be named")
     return version
 
 
+def newest(spark: SparkSession, root: str) -> str:
+    """The version of the newest manifest."""
+    fs, pattern = _filesystem(spark, f"{root}/*.manifest")
+    names = [f.getPath().getName() for f in fs.globStatus(pattern)]
+    if not names:
+        raise FileNotFoundError(f"nothing is published under {root}")
+    return max(names).removesuffix(".manifest")
+
+
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    manifest = json.loads("".join(r.value for r in spark.read.text(f"{root}/manifest").collect()))
-    return spark.read.parquet(f"{root}/{manifest['version']}/{name}")
+    return spark.read.parquet(f"{root}/{newest(spark, root)}/{name}")
 
 
 def isolated(df: DataFrame, fn, schema: str, key: str) -> DataFrame:

@@ -66,3 +66,47 @@ def test_late_rows_leave_windows(spark, tmp_path):
     q = w.writeStream.format("memory").queryName("win").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("win").count() >= 3 and counters.sessions(spark.read.parquet(f"{tmp_path}/in"), "at", "90 minutes", "1 hour").count() == 1
+
+
+def test_sliced_blocks_find_the_same_parents(spark):
+    import numpy as np
+
+    from studyloom.operators import dedup
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(20, 8))
+    rows = [(f"q{n:03}", "b" if n % 3 else "c", n // 5, [float(v) for v in base[n % 20] + 0.1 * rng.normal(size=8)]) for n in range(200)]
+    rows += [("bad", "b", 1, [1.0]), ("none", "b", 1, None), ("nul", None, 1, rows[0][3]), ("zero", "b", 99, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id string, block string, at int, v array<double>")
+    one, cut = ({tuple(r) for r in dedup.nearest_earlier(df, ["block"], "id", ["at"], "v", 0.9, 8, slice_rows=n).collect()} for n in (10_000, 30))
+    assert one == cut and len(one) > 100
+    good = {r[0]: (r[1], r[2], np.array(r[3]) / np.linalg.norm(r[3])) for r in rows[:200]}
+    for i, parent, s in one:
+        earlier = {j: round(float(good[i][2] @ v), 9) for j, (b, at, v) in good.items() if b == good[i][0] and (at, j) < (good[i][1], i)}
+        assert abs(max(earlier.values()) - s) < 1e-6 and earlier[parent] >= s - 1e-6
+
+
+def test_nearest_is_the_same_in_any_number_of_parts(spark):
+    rows = [(n, n % 2, [float(n % 7), float(n % 5), 1.0]) for n in range(60)] + [(99, 0, None), (98, 0, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, block int, v array<double>")
+    one, many = ({tuple(r) for r in retrieval.nearest(df, df, "block", "id", "v", 3, parts=p).collect()} for p in (1, 7))
+    assert one == many and len(one) == 61 * 3
+
+
+def test_cross_lines_are_filled_beyond_a_large_cluster(spark):
+    rows = [("r", 1, 2, f"a{n:03}", "big", f"{n:03}") for n in range(100)] + [("r", 1, 2, "z", "small", "999"), ("r", 2, 1, "y", "big", "0")]
+    df = spark.createDataFrame(rows, "request_id string, line_no int, count int, question_id string, cluster string, place string")
+    got = {(r.line_no, r.question_id) for r in retrieval.greedy_lines(df, 3).collect()}
+    assert got == {(1, "a000"), (1, "z")}
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from studyloom.session import ensure_checkpoint_dir
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(_jsc=jsc, master="spark://host:7077"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(spark)
