@@ -70,3 +70,19 @@ def two_sided(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
         .where("a IS NULL OR b IS NULL")
         .select(*keys, F.when(F.col("b").isNull(), "missing").otherwise("extra").alias("side"))
     )
+
+
+def scope_reasons(attempts: DataFrame, questions: DataFrame) -> DataFrame:
+    """attempt_id, unit, reason: why a named unit is none of its class and subject, or ''; units of a topic scope are topics, others chapters."""
+    keys = ["class", "subject"]
+    have = questions.select(*keys).distinct().withColumn("any", F.lit(True))
+    part = lambda c, name: questions.select(*keys, F.col(c).alias("unit")).distinct().withColumn(name, F.lit(True))
+    asked = requested_units(attempts).distinct()
+    j = asked.join(have, keys, "left").join(part("chapter", "is_chapter"), [*keys, "unit"], "left").join(part("topic", "is_topic"), [*keys, "unit"], "left")
+    reason = (
+        F.when(F.col("any").isNull(), "no chapters")
+        .when((F.col("scope_type") != "topic") & F.col("is_chapter").isNull(), "unknown chapter")
+        .when((F.col("scope_type") == "topic") & F.col("is_topic").isNull(), "unknown topic")
+        .otherwise("")
+    )
+    return j.select("attempt_id", "unit", reason.alias("reason"))

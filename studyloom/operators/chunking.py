@@ -122,15 +122,17 @@ def real_tables(tables: DataFrame, most_area: float = 0.15, most_chars: int = 15
     return tables.where((F.col("area") <= most_area) & (F.size(cells) > 0) & F.forall(cells, lambda c: F.length(F.coalesce(c, F.lit(""))) <= most_chars))
 
 
-def repaired(chunks: DataFrame, repairs: DataFrame) -> DataFrame:
+def repaired(chunks: DataFrame, repairs: DataFrame, equations: bool = False) -> DataFrame:
     """Literal repairs of a chunk's text, in order of their ids; only chunks that have any are rewritten.
+    equations: each repair with an equation number (1.2) also without its numbers.
 
     The repairs of one chunk come together as one array before the join, so each chunk meets its own repairs and no others."""
-    listed = (
-        repairs.where("chunk_id IS NOT NULL AND before <> ''")
-        .groupBy("chunk_id")
-        .agg(F.array_sort(F.collect_set(F.struct("repair_id", "before", F.coalesce("after", F.lit("")).alias("after")))).alias("r"))
-    )
+    own = repairs.where("chunk_id IS NOT NULL AND before <> ''").select("chunk_id", "repair_id", F.lit(0).alias("variant"), "before", F.coalesce("after", F.lit("")).alias("after"))
+    if equations:
+        number = r"\(\d+\.\d+\)"
+        bare = [F.regexp_replace(c, number, "").alias(c) for c in ("before", "after")]
+        own = own.union(own.where(F.col("before").rlike(number)).select("chunk_id", "repair_id", F.lit(1), *bare).where("before <> ''"))
+    listed = own.groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.struct("repair_id", "variant", "before", "after"))).alias("r"))
     fixed = F.aggregate("r", F.col("text"), lambda t, p: F.replace(t, p["before"], p["after"]))
     rows = chunks.select("chunk_id", "text").distinct().join(listed, "chunk_id")
     return rows.select("chunk_id", fixed.alias("text"), (fixed != F.col("text")).alias("changed"))
@@ -167,3 +169,32 @@ def topic_ordinals(chunks: DataFrame) -> DataFrame:
     number = natural_key(F.coalesce(F.col("topic_number"), F.lit("")))
     by = Window.partitionBy("source_file").orderBy(number, "topic", "chunk_index", "chunk_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.select("source_file", "chunk_id", (F.sum((F.col("chunk_index") == 0).cast("int")).over(by) - 1).alias("ordinal"))
+
+
+def images_by_number(chunks: DataFrame) -> DataFrame:
+    """chunk_id, has_table, images: the files of all chunks of the book with the same printed topic number and chunk number."""
+    key = ["source_file", "topic_number", "chunk_index"]
+    r = chunks.dropDuplicates(["chunk_id"])
+    files = r.where("topic_number <> ''").select(*key, F.explode("images.image_file").alias("file")).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("file")), ",").alias("images"))
+    return r.drop("images").join(files, key, "left").select("chunk_id", F.coalesce("has_table", F.lit(False)).alias("has_table"), F.coalesce("images", F.lit("")).alias("images"))
+
+
+def table_chunks(chunks: DataFrame) -> DataFrame:
+    """table_id, chunk_id: for the tables printed in a chunk the chunk of the same topic that holds the first of their cells (by row, then column) found
+    in any, else the topic's first chunk. A topic's cells meet its own chunks only."""
+    topic = ["source_file", "topic"]
+    r = chunks.where("topic IS NOT NULL").dropDuplicates(["chunk_id"]).select(*topic, "chunk_id", "chunk_index", "text")
+    rows = tables_in_chunks(chunks).select(F.col("chunk_id").alias("table_id"), "line_no", "cells")
+    held = rows.join(r.select(*topic, F.col("chunk_id").alias("table_id")), "table_id")
+    cells = held.select(*topic, "table_id", "line_no", F.posexplode(F.split("cells", ";")).alias("pos", "cell")).where("cell <> ''")
+    place = F.struct("line_no", "pos", "chunk_index", "chunk_id")
+    hits = cells.join(r, topic).where(F.contains("text", "cell")).groupBy("table_id").agg(F.min_by("chunk_id", place).alias("hit"))
+    first = r.groupBy(*topic).agg(F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("first"))
+    return held.select(*topic, "table_id").distinct().join(first, topic).join(hits, "table_id", "left").select("table_id", F.coalesce("hit", "first").alias("chunk_id"))
+
+
+def patch_counts(chunks: DataFrame, titles: DataFrame) -> DataFrame:
+    """class, subject, source_file, rows, differing, rewritten: what setting the titles (source_file, title) would change."""
+    j = chunks.select("chunk_id", "class", "subject", "source_file", "chapter").distinct().join(titles, "source_file")
+    n = j.groupBy("class", "subject", "source_file").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("chapter").eqNullSafe(F.col("title"))).alias("differing"))
+    return n.withColumn("rewritten", F.when(F.col("differing") > 0, F.col("rows")).otherwise(0))

@@ -172,3 +172,9 @@ def sweep(pairs: DataFrame, near: Column, column: str = "similarity") -> DataFra
     missed = F.coalesce(F.sum("near").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     merged = F.sum("other").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     return by_value.select("t", missed.alias("missed"), merged.alias("merged")).orderBy(F.col("missed") + F.col("merged"), "t").limit(1)
+
+
+def at_thresholds(pairs: DataFrame, near: Column, thresholds: tuple[float, ...], column: str = "similarity") -> DataFrame:
+    """t, caught, merged: near pairs and distinct ones at or above each fixed threshold, in one aggregation."""
+    sums = [F.struct(F.lit(t).alias("t"), F.sum((near & (F.col(column) >= t)).cast("int")).alias("caught"), F.sum((~near & (F.col(column) >= t)).cast("int")).alias("merged")) for t in thresholds]
+    return pairs.agg(F.array(*sums).alias("a")).select(F.explode("a").alias("a")).select("a.*")

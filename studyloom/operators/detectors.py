@@ -145,3 +145,14 @@ def banner(spans: DataFrame) -> DataFrame:
     runs = spans.where("page = 0 AND size > 13").join(body, "doc").where("color <> body").where(title_case(F.col("text")) & ~F.col("text").rlike(r"(?i)^unit\b"))
     by = Window.partitionBy("doc").orderBy(F.desc("size"), F.desc(F.length("text")), "text")
     return runs.withColumn("r", F.row_number().over(by)).where("r = 1").select("doc", F.col("text").alias("title"))
+
+
+def merged_headers(lines: DataFrame, least: int = 2, letters: int = 6) -> DataFrame:
+    """doc, key, pages: lines that at least `least` pages print, by their letters; one that is the beginning of others counts with the longest of them, on
+    the union of their pages. Keys of one document meet by their first letters, and only repeated ones do."""
+    key = F.regexp_replace(F.upper("text"), r"[^\p{L}]", "")
+    on = lines.select("doc", "page", key.alias("key")).where(F.length("key") >= letters).groupBy("doc", "key").agg(F.collect_set("page").alias("on")).where(F.size("on") >= least)
+    on = on.withColumn("head", F.substring("key", 1, letters))
+    full = on.alias("a").join(on.alias("b"), F.expr("a.doc = b.doc AND a.head = b.head AND startswith(b.key, a.key)"))
+    best = full.groupBy("a.doc", "a.key").agg(F.max_by("b.key", F.struct(F.length("b.key"), "b.key")).alias("full_key"))
+    return on.join(best, ["doc", "key"]).select("doc", F.col("full_key").alias("key"), F.explode("on").alias("page")).groupBy("doc", "key").agg(F.countDistinct("page").alias("pages"))

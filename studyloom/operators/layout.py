@@ -38,8 +38,8 @@ def glyph_lines(glyphs: DataFrame, gap: float = 3.0, twice: float = 2.0, small:
         for row in rows:
             kept: list = []
             for c in sorted(row, key=lambda c: c.x0):
-                near = [k for k in kept if k.c == c.c and abs(k.x0 - c.x0) < twice and abs(k.y0 - c.y0) < twice]
-                if not near:
+                last = kept[-1] if kept else None
+                if not (last and last.c == c.c and abs(last.x0 - c.x0) < twice and abs(last.y0 - c.y0) < twice):
                     kept.append(c)
             lines.append(kept)
         merged: list[list] = []
@@ -215,3 +215,13 @@ def block_sizes(lines: DataFrame) -> DataFrame:
 def vertical_blocks(blocks: DataFrame, narrow: float = 20, tall: float = 50, times: float = 4) -> DataFrame:
     """Blocks (width, height) of rotated text: narrower than `narrow`, higher than `tall` and than `times` their width."""
     return blocks.where((F.col("width") < narrow) & (F.col("height") > tall) & (F.col("height") > times * F.col("width")))
+
+
+def captions(lines: DataFrame) -> DataFrame:
+    """doc, page, block, k, number, caption: lines that begin with a figure's number, each with the lines after it in its block up to the next."""
+    starts = F.col("text").rlike(r"^\s*Fig(?:ure|\.)\s*\d+\.\d+")
+    by = Window.partitionBy("doc", "page", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = lines.withColumn("k", F.sum(starts.cast("int")).over(by)).where((F.col("k") > 0) & (F.trim("text") != ""))
+    number = F.regexp_extract(F.min(F.when(starts, F.col("text"))), r"(\d+\.\d+)", 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: F.trim(x["text"])), " ")
+    return n.groupBy("doc", "page", "block", "k").agg(number.alias("number"), text.alias("caption"))

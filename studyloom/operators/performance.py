@@ -123,3 +123,17 @@ def rolling_use(attempts: DataFrame) -> DataFrame:
         "count(1) OVER (PARTITION BY user_id ORDER BY created_at RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)"
     )
     return attempts.dropDuplicates(["attempt_id"]).select("attempt_id", "user_id", "created_at", used.alias("used"))
+
+
+def progress_card(attempts: DataFrame) -> DataFrame:
+    """user_id, overall, hard, week: per cent right of all answers, of hard quizzes, and of the user's last week with any; halves go up, 0 for none."""
+    a = attempts.dropDuplicates(["attempt_id"]).withColumn("w", F.date_trunc("week", "created_at"))
+    last = a.groupBy("user_id").agg(F.max("w").alias("last"))
+
+    def percent(cond: Column) -> Column:
+        right, all_ = (F.sum(F.when(cond, F.col(c))) for c in ("score_correct", "score_total"))
+        return F.coalesce(F.floor(F.lit(100.0) * right / F.nullif(all_, F.lit(0)) + 0.5), F.lit(0)).cast("int")
+
+    return a.join(last, "user_id").groupBy("user_id").agg(
+        percent(F.lit(True)).alias("overall"), percent(F.col("difficulty") == "hard").alias("hard"), percent(F.col("w") == F.col("last")).alias("week")
+    )

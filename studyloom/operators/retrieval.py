@@ -218,3 +218,20 @@ def submitted(answers: DataFrame, questions: DataFrame) -> DataFrame:
         F.count_if(F.col("known").isNull()).alias("unknown"),
         F.count_if(F.col("known") & F.col("is_correct")).alias("correct"),
     )
+
+
+def gate_counts(rules: tuple[tuple[str, DataFrame, bool], ...]) -> DataFrame:
+    """rule, found, none_wanted: how many rows each rule finds, and whether it should find none."""
+    counted = [df.agg(F.count(F.lit(1)).alias("found")).select(F.lit(name).alias("rule"), "found", F.lit(none).alias("none_wanted")) for name, df, none in rules]
+    out = counted[0]
+    for one in counted[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def explained(questions: DataFrame, made: DataFrame) -> DataFrame:
+    """question_id, explanation, updated: the stored explanation, else the made one (question_id, made), else ''."""
+    stored = F.when(F.coalesce(F.trim("explanation"), F.lit("")) != "", F.col("explanation"))
+    return questions.select("question_id", stored.alias("stored")).join(made, "question_id", "left").select(
+        "question_id", F.coalesce("stored", "made", F.lit("")).alias("explanation"), (F.col("stored").isNull() & F.col("made").isNotNull()).alias("updated")
+    )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.functions.text import strip_fence
+from studyloom.functions.text import single_spaced, strip_fence
+from studyloom.operators.answers import accepted, substance
 from studyloom.operators.bank import distinct_items
 from studyloom.schemas import PAYLOAD
 
@@ -45,3 +46,18 @@ def enumerations(questions: DataFrame) -> DataFrame:
         ~F.coalesce(F.col("difficulty").isin("easy", "medium", "hard"), F.lit(False))
         | ~F.coalesce(F.col("type").isin("MCQ", "fill_in_blank", "matching"), F.lit(False))
     )
+
+
+def alias_rules(questions: DataFrame, symbols: str) -> DataFrame:
+    """question_id, reason, reviewed: the first rule that a question's own aliases break, or '', and the reviewed ones that stand for them.
+
+    At most eight, each of 1 to 80 characters, a term of at most four words without a mark or symbol unless it names a substance."""
+    p = F.from_json("payload", PAYLOAD)
+    given = F.coalesce(p["accepted_answers"], F.array().cast("array<string>"))
+    plain = lambda v: substance(v).isNull()
+    none = F.lit(False)
+    size = F.exists(given, lambda v: (F.coalesce(F.trim(v), F.lit("")) == "") | (F.length(v) > 80))
+    long_ = F.exists(given, lambda v: F.coalesce(plain(v) & ((F.size(F.split(F.trim(v), r"\s+")) > 4) | v.rlike("[.!?;]")), none))
+    marked = F.exists(given, lambda v: F.coalesce(plain(v) & v.rlike(symbols), none))
+    reason = F.when(F.size(given) > 8, "too many aliases").when(size, "alias length").when(long_, "alias not a term").when(marked, "alias a formula").otherwise("")
+    return questions.select("question_id", reason.alias("reason"), F.coalesce(F.array_join(accepted(single_spaced(p["answer"])), "|"), F.lit("")).alias("reviewed"))
