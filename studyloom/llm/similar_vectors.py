@@ -2,7 +2,7 @@
 
 Method: a hierarchical k-means tree, fitted on a bounded sample, holds every row in one leaf; each
 row visits leaves best bin first through a priority queue, and the visits are widened until the true
-neighbours of sampled queries (found by brute force over all rows) are met with the wanted recall.
+neighbours of sampled queries (found by brute force over all rows) are met with the wanted recall, all of them where the sample is the whole table.
 With a floor (`least`) a row is found in every leaf it visits, not only in its home: two rows meet if they visit
 any leaf in common, which takes far fewer visits, and fewer copies of vectors, than searching homes.
 
@@ -80,17 +80,19 @@ def fit(
     tree = Tree(unit(x), leaves, branching=32)
     if tree.leaves == 1:
         return tree, 1, -1.0, 1.0, total
+    whole = total <= probes  # every row is asked, so every true pair is known: none of them need be missed
     if least is None:
         queries = collect_matrix(sampled(df, id_col, vector, probes, total, 2), vector, dim)
         if not len(queries):
             queries = x[:probes]
-        pairs = nearest_rows(df, vector, queries[np.random.default_rng(5).permutation(len(queries))[: max(1, probes // 4)]], k, dim)
+        some = np.random.default_rng(5).permutation(len(queries))[: len(queries) if whole else max(1, probes // 4)]
+        pairs = nearest_rows(df, vector, queries[some], k, dim)
     else:
         pairs = probed(df, id_col, vector, probes, most_probes, total, 2, k, least, dim)
     if pairs is None or not len(pairs[0]):
         # too few to calibrate on: every row is searched for in all leaves, which misses none
         return tree, tree.leaves, -1.0, 1.0, total
-    return tree, *calibrated(tree, pairs, recall, both), total
+    return tree, *calibrated(tree, pairs, 1.0 if whole else recall, both), total
 
 
 def _route(shared, most: int, gap: float, dim: int, keep_ids: int, blocks: list[int]):

@@ -16,7 +16,8 @@ WHERE LEN(embedding) = 384 AND LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR
 
 NEAR = f"""{USABLE},
 s AS (SELECT a.question_id AS id, b.question_id AS neighbour, ROUND(ARRAY_COSINE_SIMILARITY(a.v, b.v), 9) AS similarity FROM u a JOIN u b ON a.question_id <> b.question_id),
-n AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS INT) AS rank FROM s WHERE similarity >= 0.8 QUALIFY rank <= 10)"""
+t AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS INT) AS rank FROM s QUALIFY rank <= 10),
+n AS (SELECT * FROM t WHERE similarity >= 0.8)"""
 
 WORDS = r"""s AS (SELECT question_id, text AS x FROM questions
 UNION ALL SELECT question_id, e.value->>'$' FROM questions, JSON_TREE(payload) e WHERE e.type = 'VARCHAR'
@@ -34,7 +35,7 @@ r AS (SELECT question_id, MIN(question_id) OVER (PARTITION BY key) AS kept_id FR
 
 SQL = {
     "p1_found": f"WITH {NEAR} SELECT DISTINCT LEAST(id, neighbour) AS question_id_a, GREATEST(id, neighbour) AS question_id_b FROM n",
-    "p1_similar": f"WITH {NEAR} SELECT * FROM n",
+    "p1_similar": f"WITH {NEAR} SELECT * FROM t",
     "p2_found": f"WITH {WORDS} SELECT i AS question_id_a, j AS question_id_b FROM b JOIN c x ON x.question_id = i JOIN c y ON y.question_id = j WHERE shared / (x.n + y.n - shared) >= 0.6",
     "p3_found": "SELECT DISTINCT chunk_id FROM chunk WHERE LENGTH(text) > 3000",
     "p5_found": f"""WITH {USABLE}, h AS (SELECT LOWER(text_hash) AS h, MIN(batch_no) AS met FROM questions GROUP BY 1)
