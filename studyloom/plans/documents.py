@@ -59,7 +59,12 @@ def chunk_paragraphs(spark, d):
     return p.groupBy("chunk_id", "piece").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT chunk_id, REGEXP_REPLACE(text, '\\s+', ' ', 'g') AS text FROM (SELECT DISTINCT ON (chunk_id) chunk_id, text FROM chunk)),
+x AS (SELECT chunk_id, STRING_SPLIT(REGEXP_REPLACE(REPLACE(text, 'Fig.', 'Fig' || chr(2)), '([.!?])\\s+', '\\1' || chr(3), 'g'), chr(3)) AS parts FROM s),
+y AS (SELECT chunk_id, GENERATE_SUBSCRIPTS(parts, 1)::INT - 1 AS pos, REPLACE(UNNEST(parts), chr(2), '.') AS sentence FROM x)
+SELECT chunk_id, pos, sentence FROM y WHERE REGEXP_MATCHES(LOWER(sentence), 'as shown (in|below|above)|shown in (the )?figure|in the figure (below|above)|the diagram illustrates|figure\\s+\\d+\\.\\d+\\s+shows|in the (above|below) (figure|diagram)|the (figure|diagram) (below|above) shows')"""
+)
 def figure_sentences(spark, d):
     return K.figure_sentences(_chunks(spark, d).dropDuplicates(["chunk_id"]))
 

@@ -75,7 +75,19 @@ def knn_topk_filtered(spark, d):
     return R.nearest(e.where("vec_id % 50 = 0"), e, "label", "vec_id", "embedding", 5)
 
 
-@query()
+def _line(n: int, kind: str) -> str:
+    taken = " ".join(f"AND cluster NOT IN (SELECT cluster FROM l{k} WHERE l{k}.request_id = q.request_id)" for k in range(1, n))
+    return f"""l{n} AS (SELECT request_id, {n} AS line_no, question_id, cluster FROM (SELECT * FROM q WHERE type = '{kind}' QUALIFY ROW_NUMBER() OVER (PARTITION BY request_id, cluster ORDER BY place) = 1) q
+WHERE TRUE {taken} QUALIFY ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY place) <= 5)"""
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT class, subject, difficulty FROM quiz_attempts),
+q AS (SELECT class || '/' || subject || '/' || difficulty AS request_id, type, question_id, COALESCE(concept_cluster_id, question_id) AS cluster, SHA256('5|' || question_id) AS place FROM questions JOIN r USING (class, subject, difficulty)),
+"""
+    + ",\n".join(_line(n, kind) for n, kind in enumerate(("MCQ", "fill_in_blank", "matching"), 1))
+    + " SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3"
+)
 def bank_cross_line(spark, d):
     """For each scope of an attempt a request with a line per type; no concept is taken twice."""
     ship(spark)
@@ -265,7 +277,11 @@ def topic_pieces(spark, d):
     return C.topic_pieces(t, TOPIC)
 
 
-@query()
+@query(
+    """WITH r AS (SELECT DISTINCT ON (chunk_id) * FROM chunk), t AS (SELECT class, subject, source_file, chapter, topic_number, topic, STRING_AGG(text, chr(10) ORDER BY chunk_index, chunk_id, text) AS text FROM r GROUP BY ALL),
+m AS (SELECT CASE WHEN LENGTH(COALESCE(text, '')) <= 3000 OR COALESCE(topic_number, '') = '' THEN 'none' WHEN LEN(LIST_FILTER(STRING_SPLIT(text, chr(10)), lambda x: REGEXP_FULL_MATCH(x, '\\d+\\.\\d+\\.\\d+\\s+.{2,100}'))) > 0 THEN 'sub-subheading' ELSE 'paragraph-group' END AS method FROM t)
+SELECT method, COUNT(*) AS topics FROM m GROUP BY 1"""
+)
 def topic_split_methods(spark, d):
     first = topic_pieces(spark, d).where("chunk_index = 0")
     return first.groupBy(F.col("split_method").alias("method")).agg(F.count(F.lit(1)).alias("topics"))
