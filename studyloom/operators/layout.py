@@ -225,3 +225,22 @@ def captions(lines: DataFrame) -> DataFrame:
     number = F.regexp_extract(F.min(F.when(starts, F.col("text"))), r"(\d+\.\d+)", 1)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: F.trim(x["text"])), " ")
     return n.groupBy("doc", "page", "block", "k").agg(number.alias("number"), text.alias("caption"))
+
+
+def styled(spans: DataFrame) -> DataFrame:
+    """spans (flags, font) with `bold`: bit 4 of the flags, or a font named so."""
+    return spans.withColumn("bold", F.coalesce(F.col("flags").bitwiseAND(16) != 0, F.lit(False)) | F.coalesce(F.contains(F.lower("font"), F.lit("bold")), F.lit(False)))
+
+
+def with_drop_caps(lines: DataFrame, longest: int = 20, larger: float = 1.15, gap: float = 8.0) -> DataFrame:
+    """Lines in which a row of raised initials is set before the row it belongs to: at most `longest` characters (but for a number), no small letter, some letter,
+    `larger` than the next row of its block, which begins 0 to `gap` points below. The merged line stands in the next row's place."""
+    by = Window.partitionBy("doc", "page", "block").orderBy("line_no")
+    core = F.trim(F.regexp_replace("text", r"^\d+\.\s*\d+\.?\s*", ""))
+    shaped = (F.length(core) > 0) & (F.length(core) <= longest) & ~core.rlike(r"\p{Ll}") & core.rlike(r"\p{L}")
+    below = F.lead("y0").over(by) - F.col("y0")
+    initials = F.coalesce(shaped & (F.col("size") > larger * F.lead("size").over(by)) & below.between(0, gap), F.lit(False))
+    marked = lines.withColumn("_initials", initials)
+    before = F.lag("_initials").over(by)
+    joined = F.when(before, F.concat(F.lag("text").over(by), F.col("text"))).otherwise(F.col("text"))
+    return marked.withColumn("_joined", joined).where(~F.col("_initials")).drop("text", "_initials").withColumnRenamed("_joined", "text").select(*lines.columns)

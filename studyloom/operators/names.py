@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.functions.text import MINOR
+
 #: fixed values: symbols of the elements in the order of their numbers
 ELEMENTS = (
     "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
@@ -13,6 +15,7 @@ ELEMENTS = (
 ).split()
 
 
+# fixed format: element symbols and groups in brackets, each with a number or none
 def is_formula(c: Column) -> Column:
     """Element symbols and groups in brackets with numbers, every symbol an element."""
     symbols = F.regexp_extract_all(c, F.lit(r"([A-Z][a-z]?)"), F.lit(1))
@@ -57,3 +60,36 @@ def continues_title(c: Column) -> Column:
     big = F.filter(long_, lambda w: w.rlike(r"^\p{Lu}"))
     prose = t.rlike(r"(?i)^(the|this|these|it|in this|we|you|if|when|as|for example)\b.*\b(is|are|was|were|has|have|can)\b")
     return ~prose & ~t.rlike(r"[.!?]$") & ((F.upper(t) == t) | (F.size(big) * 2 >= F.size(long_)))
+
+
+#: fixed values: abbreviations that stay in capitals
+ACRONYMS = (
+    "ac dc dna rna mrna trna rrna atp adp amp nad nadh nadp nadph fad fadh gdp gtp emf lcr mtp sti stis std stds hiv aids iucd iupac vsepr ph uv ir nmr "
+    "co2 h2o who rch bod ddt pcr elisa"
+).split()
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
+def glued(c: Column) -> Column:
+    """Three or more single letters between spaces as one word; where words end inside such a run isn't known."""
+    return F.regexp_replace(c, r"(?<=(?:^| )\p{L}) (?=\p{L} \p{L}(?: |$))|(?<=(?:^| )\p{L} \p{L}) (?=\p{L}(?: |$))", "")
+
+
+def display_name(c: Column) -> Column:
+    """A name as it is shown: single spaces, letter-spaced runs glued, capitals as headline case with small minor words and known abbreviations, no space before
+    a mark. A name that isn't all capitals keeps its case."""
+    bare = glued(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    words = F.split(bare, " ")
+    has = lambda w: w.rlike("[A-Za-z]")
+    first = F.array_position(F.transform(words, has), F.lit(True)) - 1
+    runs = lambda w: F.regexp_extract_all(w, F.lit(f"[{LETTERS}]+|[^{LETTERS}]+"), F.lit(0))
+
+    def cased(run: Column, n: Column) -> Column:
+        low = F.lower(run)
+        capital = F.concat(F.upper(F.substr(low, F.lit(1), F.lit(1))), F.substr(low, F.lit(2)))
+        return F.when(low.isin(*ACRONYMS), F.upper(run)).when(low.isin(*MINOR) & (n != first), low).otherwise(capital)
+
+    shown = F.transform(words, lambda w, n: F.when(has(w), F.array_join(F.transform(runs(w), lambda r: cased(r, n)), "")).otherwise(w))
+    headline_ = F.regexp_replace(F.array_join(shown, " "), r"(?<=[’'])S\b", "s")
+    capitals = (F.upper(bare) == bare) & has(bare)
+    return F.regexp_replace(F.when(capitals, headline_).otherwise(bare), r"\s+([?:;,.])", "$1")

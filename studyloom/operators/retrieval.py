@@ -235,3 +235,22 @@ def explained(questions: DataFrame, made: DataFrame) -> DataFrame:
     return questions.select("question_id", stored.alias("stored")).join(made, "question_id", "left").select(
         "question_id", F.coalesce("stored", "made", F.lit("")).alias("explanation"), (F.col("stored").isNull() & F.col("made").isNotNull()).alias("updated")
     )
+
+
+def validated(calls, valid, attempts: int = 3):
+    """The first of at most `attempts` results that is valid, else None; an error of the call itself goes through."""
+    for _ in range(attempts):
+        found = calls()
+        if valid(found):
+            return found
+    return None
+
+
+def topped_up(make, wanted: int, rounds: int = 3) -> list:
+    """Items from make(number still wanted) until there are `wanted`, in at most `rounds` rounds."""
+    out: list = []
+    for _ in range(rounds):
+        if len(out) >= wanted:
+            break
+        out.extend(x for x in make(wanted - len(out)) if x is not None)
+    return out[:wanted]
