@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.llm.vectors import (
+    SAMPLE,
     SLACK,
     Tree,
     calibrated,
@@ -74,7 +75,7 @@ def fit(
     None for a table without a usable vector."""
     total = df.count()
     leaves = int(min(max_leaves, max(least_leaves, total // leaf_rows)))
-    x = collect_matrix(sampled(df, id_col, vector, max(sample_rows, 16 * leaves), total, 1), vector, dim)
+    x = collect_matrix(sampled(df, id_col, vector, min(SAMPLE, max(sample_rows, 16 * leaves)), total, 1), vector, dim)
     if not len(x):
         return None, 1, -1.0, 1.0, total
     tree = Tree(unit(x), leaves, branching=32)

@@ -59,8 +59,22 @@ def digest(x: np.ndarray) -> list[bytes]:
 
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, float32, by way of double precision."""
-    d = x.astype(np.float64)
-    return (d / np.linalg.norm(d, axis=1, keepdims=True)).astype(np.float32)
+    out = np.empty(x.shape, np.float32)
+    for at in range(0, len(x), 8192):
+        d = x[at : at + 8192].astype(np.float64)
+        out[at : at + 8192] = d / np.linalg.norm(d, axis=1, keepdims=True)
+    return out
+
+
+def few(columns: int, cells: int = 1 << 22) -> int:
+    """Rows of a matrix of so many columns that stay within `cells` numbers (16 MB)."""
+    return max(1, cells // max(1, columns))
+
+
+def closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The most similar centre of each row, in pieces of bounded size."""
+    step = few(len(centres))
+    return np.concatenate([(x[at : at + step] @ centres.T).argmax(1) for at in range(0, len(x), step)]) if len(x) else np.empty(0, np.int64)
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,7 +119,7 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        to = (x @ centres.T).argmax(1)
+        to = closest(x, centres)
         order = np.argsort(to, kind="stable")
         starts = np.searchsorted(to[order], np.arange(k))
         counts = np.bincount(to, minlength=k)
@@ -139,7 +153,7 @@ class Tree:
                 below = []
             else:
                 centres = kmeans(x, want, seed + len(rows))
-                to = (x @ centres.T).argmax(1)
+                to = closest(x, centres)
                 below = [(centres[k], x[to == k]) for k in range(want) if (to == k).any()]
             if len(below) < 2:
                 if node >= 0:
@@ -160,6 +174,8 @@ class Tree:
 
         grow(-1, sample, 0)
         self.centres = np.array(rows, np.float32).reshape(-1, self.dim)
+        # children of a node stand together, so that opening it is one small product
+        self.spans = {n: (c[0], c[-1] + 1) for n, c in self.children.items()}
 
     @property
     def leaves(self) -> int:
@@ -167,14 +183,16 @@ class Tree:
 
     def visits(self, x: np.ndarray, most: int, gap: float = -1.0) -> tuple[list[list[int]], list[list[float]]]:
         """(leaves, their distances in the queue) of each unit row, best bin first: the `most` first ones, the first of which is its home,
-        and one more if it is at most `gap` less similar than the last of them."""
+        and one more if it is at most `gap` less similar than the last of them. Only opened nodes are compared, so a row's work
+        grows with its visits and the tree's depth, not with its leaves."""
         if not self.children:
             return [[0]] * len(x), [[0.0]] * len(x)
-        out, keys, leaf, children = [], [], self.leaf, self.children
+        out, keys, leaf, spans, centres = [], [], self.leaf, self.spans, self.centres
         lift = np.array(self.lift, np.float32)
+        first, end = spans[-1]
         for at in range(0, len(x), 4096):
-            for sims in (-(x[at : at + 4096] @ self.centres.T + lift)).tolist():
-                queue = [(sims[c], c) for c in children[-1]]
+            for row, sims in zip(x[at : at + 4096], (-(x[at : at + 4096] @ centres[first:end].T + lift[first:end])).tolist()):
+                queue = list(zip(sims, range(first, end)))
                 heapq.heapify(queue)
                 seen: list[int] = []
                 far: list[float] = []
@@ -186,8 +204,9 @@ class Tree:
                         seen.append(leaf[node])
                         far.append(max(key, far[-1]) if far else key)
                     else:
-                        for c in children[node]:
-                            heapq.heappush(queue, (sims[c], c))
+                        a, b = spans[node]
+                        for item in zip((-(centres[a:b] @ row + lift[a:b])).tolist(), range(a, b)):
+                            heapq.heappush(queue, item)
                 out.append(seen)
                 keys.append(far)
         return out, keys
@@ -235,6 +254,7 @@ def _met(a: list[int], b: list[int]) -> bool:
 
 
 WIDTHS = (*(n / 400 for n in range(25)), 0.07, 0.08, 0.1, 0.15, 0.2, 0.4, 2.0)  # 0, 0.0025, ... 0.06, then wider
+SAMPLE = 131_072  # rows that a tree or pivots are fitted on at most: 100 MB on the driver as they are sent
 PAIRS = 2000  # true pairs that a calibration needs: at a target of 0.999, two missed ones
 
 
