@@ -198,3 +198,9 @@ def patch_counts(chunks: DataFrame, titles: DataFrame) -> DataFrame:
     j = chunks.select("chunk_id", "class", "subject", "source_file", "chapter").distinct().join(titles, "source_file")
     n = j.groupBy("class", "subject", "source_file").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("chapter").eqNullSafe(F.col("title"))).alias("differing"))
     return n.withColumn("rewritten", F.when(F.col("differing") > 0, F.col("rows")).otherwise(0))
+
+
+def with_repairs(texts: DataFrame, repairs: DataFrame) -> DataFrame:
+    """texts (chunk_id, text) with their literal repairs, in order; a chunk without any, or without a text, as it is."""
+    fixed = repaired(texts.where("text IS NOT NULL"), repairs).select("chunk_id", F.col("text").alias("fixed"))
+    return texts.join(fixed, "chunk_id", "left").select("chunk_id", F.coalesce("fixed", "text").alias("text"))

@@ -156,3 +156,12 @@ def merged_headers(lines: DataFrame, least: int = 2, letters: int = 6) -> DataFr
     full = on.alias("a").join(on.alias("b"), F.expr("a.doc = b.doc AND a.head = b.head AND startswith(b.key, a.key)"))
     best = full.groupBy("a.doc", "a.key").agg(F.max_by("b.key", F.struct(F.length("b.key"), "b.key")).alias("full_key"))
     return on.join(best, ["doc", "key"]).select("doc", F.col("full_key").alias("key"), F.explode("on").alias("page")).groupBy("doc", "key").agg(F.countDistinct("page").alias("pages"))
+
+
+def compared(lines: DataFrame) -> DataFrame:
+    """doc, number, side: heading numbers that any line is shaped like, against those `numbered` takes: found, small (none of its lines has heading size), or missing."""
+    shaped = lines.withColumn("number", _number(1)).where("number <> ''").groupBy("doc", "number").agg(F.max("size").alias("size"))
+    taken = numbered(lines).select("doc", "number", F.lit(True).alias("taken"))
+    j = shaped.join(taken, ["doc", "number"], "full").join(calibration(lines).select("doc", "heading_size"), "doc", "left")
+    side = F.when(F.col("taken"), "found").when(F.col("size") < F.col("heading_size") - 0.5, "small").otherwise("missing")
+    return j.select("doc", "number", side.alias("side"))

@@ -93,3 +93,11 @@ def display_name(c: Column) -> Column:
     headline_ = F.regexp_replace(F.array_join(shown, " "), r"(?<=[’'])S\b", "s")
     capitals = (F.upper(bare) == bare) & has(bare)
     return F.regexp_replace(F.when(capitals, headline_).otherwise(bare), r"\s+([?:;,.])", "$1")
+
+
+def garbled_lines(lines: DataFrame, vocabulary: DataFrame, least: float = 0.35, words: int = 4) -> DataFrame:
+    """Lines (chunk_id, line) of at least `words` words of which fewer than `least` are in the vocabulary (word), a frame of any size; with both counts."""
+    found = lines.select("chunk_id", "line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit("([a-z]{2,})"), F.lit(1))).alias("word"))
+    known = vocabulary.select("word").distinct().withColumn("k", F.lit(1))
+    n = found.join(known, "word", "left").groupBy("chunk_id", "line").agg(F.count(F.lit(1)).alias("words"), F.count("k").alias("known"))
+    return n.where((F.col("words") >= words) & (F.col("known") < least * F.col("words")))

@@ -15,8 +15,11 @@ from studyloom.operators import layout as L
 from studyloom.operators import performance as P
 from studyloom.operators import retrieval as R
 from studyloom.operators import validate as V
-from studyloom.plans.bank import FORMULA, KNOWN, NEAR, PAIRS, sql_substance
-from studyloom.plans.layout import PAGES, pages
+from studyloom.plans import bank as _bank  # noqa: F401 - its SQL is used below
+from studyloom.plans import extras as _extras  # noqa: F401
+from studyloom.plans import registry
+from studyloom.plans.bank import FORMULA, GRADES, KNOWN, NEAR, PAIRS, sql_substance
+from studyloom.plans.layout import NUMBERED, PAGES, pages
 from studyloom.plans.registry import query
 from studyloom.session import ship, table
 from studyloom.sources import tables as S
@@ -296,3 +299,121 @@ def lines_of_glyphs(spark, d):
         "doc", "page", "block", "pos", "c", (F.col("x") + F.col("shift")).alias("x0"), (F.col("x") + F.col("shift") + 5).alias("x1"), "y0", (F.col("y0") + 10).alias("y1"), F.lit(10.0).alias("size")
     )
     return L.glyph_lines(glyphs).groupBy("doc", "page", "block", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT NULLIF(source_chunk_id, '') AS chunk_id FROM questions), b AS (SELECT a.chunk_id, text FROM a LEFT JOIN (SELECT chunk_id, ARG_MIN(text, ROW(chunk_index, text)) AS text FROM chunk GROUP BY 1) t USING (chunk_id)),
+r0 AS (SELECT DISTINCT chunk_id, repair_id, before, COALESCE(after, '') AS after FROM source_repairs WHERE chunk_id IS NOT NULL AND before <> ''),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chunk_id ORDER BY repair_id, before, after) AS k FROM r0), m AS (SELECT chunk_id, MAX(k) AS m FROM r GROUP BY 1),
+s AS (WITH RECURSIVE s AS (SELECT chunk_id, text, 0::BIGINT AS k FROM b WHERE chunk_id IN (SELECT chunk_id FROM r) AND text IS NOT NULL UNION ALL SELECT s.chunk_id, REPLACE(s.text, r.before, r.after), r.k FROM s JOIN r ON r.chunk_id = s.chunk_id AND r.k = s.k + 1) SELECT * FROM s)
+SELECT b.chunk_id, COALESCE(s.text, b.text) AS text FROM b LEFT JOIN m USING (chunk_id) LEFT JOIN s ON s.chunk_id = b.chunk_id AND s.k = m.m"""
+)
+def chunk_text_repaired(spark, d):
+    """The text of each asked chunk as it reads with its repairs."""
+    asked = _q(spark, d).select(F.nullif(F.col("source_chunk_id"), F.lit("")).alias("chunk_id"))
+    return K.with_repairs(R.chunk_text(asked, table(spark, d, "chunk")), table(spark, d, "source_repairs"))
+
+
+@query(
+    """WITH o AS (SELECT chunk_id, text FROM chunk WHERE chunk_id IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY chunk_id ORDER BY LENGTH(text) DESC, text) = 1),
+n AS (SELECT DISTINCT chunk_id, 'new ' || chunk_id AS text FROM chunk WHERE chunk_index = 0 UNION ALL SELECT DISTINCT 'x' || chunk_id, 'added' FROM chunk WHERE chunk_index = 1)
+SELECT * FROM n WHERE chunk_id IS NOT NULL UNION ALL SELECT * FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM n WHERE chunk_id IS NOT NULL)"""
+)
+def chunk_upsert(spark, d):
+    """Chunks with new texts for first chunks and some that are added: new rows win."""
+    c = table(spark, d, "chunk").where("chunk_id IS NOT NULL")
+    old = D.latest(c, ["chunk_id"], F.desc(F.length("text")), F.col("text")).select("chunk_id", "text")
+    first = c.where("chunk_index = 0").select("chunk_id", F.concat(F.lit("new "), "chunk_id").alias("text")).distinct()
+    added = c.where("chunk_index = 1").select(F.concat(F.lit("x"), "chunk_id").alias("chunk_id"), F.lit("added").alias("text")).distinct()
+    return S.upserted(old, first.union(added), ["chunk_id"])
+
+
+@query("SELECT user_id, ARG_MAX(event_type, ROW(ts, event_id)) AS default_class, MIN(ts) AS created_at, MAX(ts) AS updated_at FROM events GROUP BY 1")
+def profile_merge(spark, d):
+    """Stored profiles (events of even number) with updates (odd ones): the last value, the first time and the last time stay."""
+    e = table(spark, d, "events")
+    key = F.struct("ts", "event_id")
+    stored, new = (
+        e.where(f"event_id % 2 = {n}").groupBy("user_id").agg(F.max_by("event_type", key).alias("default_class"), F.max(key).alias("last"), F.min("ts").alias("created_at")) for n in (0, 1)
+    )
+    both = stored.unionByName(new).groupBy("user_id")
+    return both.agg(F.max_by("default_class", "last").alias("default_class"), F.min("created_at").alias("created_at"), F.max("last.ts").alias("updated_at"))
+
+
+@query(
+    f"""WITH gate AS ({registry._SQL["draft_gate"]}), rules AS ({registry._SQL["payload_rules"]})
+SELECT question_id, CASE WHEN batch_no <> 0 THEN 'not approved' WHEN gate.reason <> '' THEN gate.reason ELSE rules.reason END AS reason FROM questions JOIN gate USING (question_id) JOIN rules USING (question_id)"""
+)
+def draft_rules(spark, d):
+    """Drafts by all rules: approved (here: of the first batch), in scope and unchanged, payload in order."""
+    q = _q(spark, d)
+    gate = R.gate(q, table(spark, d, "chunk")).withColumnRenamed("reason", "gate")
+    rules = V.payload_rules(q).select("question_id", F.col("reason").alias("rule"))
+    told = F.when(F.col("batch_no") != 0, "not approved").when(F.col("gate") != "", F.col("gate")).otherwise(F.col("rule"))
+    return q.select("question_id", "batch_no").join(gate, "question_id").join(rules, "question_id").select("question_id", told.alias("reason"))
+
+
+@query(
+    f"""WITH {PAGES}, {NUMBERED}, loose AS (SELECT doc, number, MAX(size) AS size FROM n0 GROUP BY ALL), found AS (SELECT doc, number FROM fold WHERE kept)
+SELECT COALESCE(l.doc, f.doc) AS doc, COALESCE(l.number, f.number) AS number, CASE WHEN f.number IS NOT NULL THEN 'found' WHEN size < heading_size - 0.5 THEN 'small' ELSE 'missing' END AS side
+FROM loose l FULL JOIN found f ON f.doc = l.doc AND f.number = l.number LEFT JOIN (SELECT DISTINCT doc, heading_size FROM cal) c ON c.doc = COALESCE(l.doc, f.doc)"""
+)
+def layout_compare(spark, d):
+    """Lines shaped like headings against those the detector takes: found, left out for their small size, or missing."""
+    ship(spark)
+    return H.compared(pages(spark, d))
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT TRIM(payload->>'$.answer') AS term FROM questions WHERE type = 'fill_in_blank' UNION SELECT DISTINCT UNNEST(STRING_SPLIT(REGEXP_REPLACE(text, '[^A-Za-z0-9()]+', ' ', 'g'), ' ')) FROM chunk)
+SELECT term FROM t WHERE {FORMULA.format(c='term')}"""
+)
+def formula_terms(spark, d):
+    """Answers and words of the chunks that have the shape of a formula."""
+    from studyloom.operators.names import is_formula
+
+    words = table(spark, d, "chunk").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z0-9()]+", " "), " ")).alias("term"))
+    answers = _q(spark, d).where("type = 'fill_in_blank'").select(F.trim(F.get_json_object("payload", "$.answer")).alias("term"))
+    return words.union(answers).distinct().where(is_formula(F.col("term")))
+
+
+@query(
+    f"""WITH v AS ({GRADES}), s AS (SELECT attempt_id, COUNT(*) FILTER (verdict) AS correct, COUNT(*) AS total FROM v GROUP BY 1), t AS (SELECT DISTINCT attempt_id, score_correct FROM quiz_attempts)
+SELECT attempt_id, correct, total, score_correct AS stored, correct = score_correct AS same FROM s JOIN t USING (attempt_id)"""
+)
+def submission_grades(spark, d):
+    """Attempts graded anew, against their stored scores."""
+    from studyloom.operators import grading as G
+
+    v = G.graded(table(spark, d, "attempt_answers"), _q(spark, d)).groupBy("attempt_id").agg(F.count_if("verdict").alias("correct"), F.count(F.lit(1)).alias("total"))
+    stored = table(spark, d, "quiz_attempts").select("attempt_id", F.col("score_correct").alias("stored")).distinct()
+    return v.join(stored, "attempt_id").withColumn("same", F.col("correct") == F.col("stored"))
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT chunk_id, UNNEST(STRING_SPLIT(text, chr(10))) AS line FROM chunk), w AS (SELECT chunk_id, line, UNNEST(REGEXP_EXTRACT_ALL(LOWER(line), '[a-z]{2,}')) AS word FROM l),
+k AS (SELECT word FROM w GROUP BY 1 HAVING COUNT(DISTINCT chunk_id) >= 3)
+SELECT chunk_id, line, COUNT(*) AS words, COUNT(k.word) AS known FROM w LEFT JOIN k USING (word) GROUP BY ALL HAVING COUNT(*) >= 4 AND COUNT(k.word) < 0.35 * COUNT(*)"""
+)
+def garbled_lines(spark, d):
+    """Lines of four words or more of which fewer than 35 % stand in three chunks or more."""
+    from studyloom.operators.names import garbled_lines as found
+
+    lines = table(spark, d, "chunk").select("chunk_id", F.explode(F.split("text", "\n")).alias("line")).distinct()
+    words = lines.select("chunk_id", F.explode(F.regexp_extract_all(F.lower("line"), F.lit("([a-z]{2,})"), F.lit(1))).alias("word"))
+    known = words.groupBy("word").agg(F.countDistinct("chunk_id").alias("n")).where("n >= 3").select("word")
+    return found(lines, known)
+
+
+@query(
+    """WITH l0 AS (SELECT DISTINCT source_file, chunk_id, chunk_index, text FROM chunk), l AS (SELECT chunk_id, GENERATE_SUBSCRIPTS(STRING_SPLIT(text, chr(10)), 1)::INT - 1 AS line_no, UNNEST(STRING_SPLIT(text, chr(10))) AS text FROM l0),
+t AS (SELECT DISTINCT chunk_id, line_no, LIST_TRANSFORM(STRING_SPLIT(REGEXP_REPLACE(TRIM(text), '^\\||\\|$', '', 'g'), '|'), lambda x: TRIM(x)) AS cells FROM l WHERE REGEXP_MATCHES(text, '^\\s*\\|.*\\|\\s*$') AND NOT REGEXP_MATCHES(text, '^[\\s|:-]+$')),
+r AS (SELECT chunk_id, line_no, '| ' || ARRAY_TO_STRING(cells, ' | ') || ' |' AS line, cells FROM t), g AS (SELECT chunk_id, LIST(line ORDER BY line_no) AS ls, FIRST(LEN(cells) ORDER BY line_no) AS width, MAX(LIST_MAX(LIST_TRANSFORM(cells, lambda c: LENGTH(c)))) AS longest FROM r GROUP BY 1)
+SELECT chunk_id, ls[1] || chr(10) || '|' || REPEAT(' --- |', width) || CASE WHEN LEN(ls) > 1 THEN chr(10) || ARRAY_TO_STRING(ls[2:], chr(10)) ELSE '' END AS markdown FROM g WHERE longest <= 20"""
+)
+def table_markdown(spark, d):
+    """The tables of the chunks, those without a long cell, as Markdown."""
+    rows = K.tables_in_chunks(table(spark, d, "chunk")).distinct()
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "cells"))), lambda r: F.split(r["cells"], ";", -1))
+    tables = rows.groupBy("chunk_id").agg(listed.alias("rows")).withColumn("area", F.lit(0.1))
+    return K.markdown(K.real_tables(tables, most_chars=20)).select("chunk_id", "markdown")
