@@ -37,6 +37,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -328,9 +329,9 @@ def _same(a: str, b: str, least: float = 0.86) -> bool:
     return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
 
 
-def furniture(lines: list[str], titles: list[str], subject: str, recurring: frozenset[str] = frozenset()) -> dict[int, set[str]]:
-    """Line number -> {header, page_number} of the lines that are a page's furniture. titles: squeezed titles of the book; recurring: squeezed
-    lines that the book prints again and again where its pages end."""
+def furniture(lines: list[str], titles: list[str], subject: str, recurring: frozenset[int] = frozenset()) -> dict[int, set[str]]:
+    """Line number -> {header, page_number} of the lines that are a page's furniture. titles: squeezed titles of the book; recurring: keys of
+    the squeezed lines that the book prints again and again where its pages end."""
     out: dict[int, set[str]] = {}
     intro = next((n for n, x in enumerate(lines[:4]) if x.strip().lower() == "introduction"), None)
     filler = {squeezed(subject or ""), "chapter", "unit", ""}
@@ -370,7 +371,7 @@ def furniture(lines: list[str], titles: list[str], subject: str, recurring: froz
                     break
         if n in out:
             continue
-        if letters in recurring and (intro is None or n > intro) and not UNPROSE.search(bare):
+        if recurring and (intro is None or n > intro) and len(letters) > 5 and line_key(letters) in recurring and not UNPROSE.search(bare):
             out[n] = {"header", "page_number"} if re.search(r"^\W*\d{1,4}\s+\D|[\s|–—\-\[(]\d{1,4}\W*$", bare) else {"header"}
         elif bare[-1] not in ".!?" and PAGE_LINE.fullmatch(bare) and _stands_alone(lines, n, out):
             out[n] = {"page_number"}
@@ -439,14 +440,14 @@ def _stands_alone(lines: list[str], n: int, out: dict[int, set[str]]) -> bool:
 
 
 def noise(
-    text: str, editor: Editor, titles: list[str], subject: str, recurring: frozenset[str] = frozenset()
+    text: str, editor: Editor, titles: list[str], subject: str, recurring: frozenset[int] = frozenset()
 ) -> tuple[set[str], str]:
     """(kinds of noise, repaired continuous paragraphs)."""
     kinds, body, heads = parted(text, titles, subject, recurring)
     return edited(kinds, body, heads, editor)
 
 
-def parted(text: str, titles: list[str], subject: str, recurring: frozenset[str]) -> tuple[set[str], str, str]:
+def parted(text: str, titles: list[str], subject: str, recurring: frozenset[int]) -> tuple[set[str], str, str]:
     """(kinds of furniture, the text without it, its header lines)."""
     lines = text.split("\n")
     found = furniture(lines, titles, subject, recurring)
@@ -655,25 +656,27 @@ def _squeezed_all(titles: tuple[str, ...]) -> list[str]:
 
 
 def _lines(batches):
-    """Lines that may be a running header, by book: letters, how often they stand between the halves of a torn sentence."""
+    """Lines that may be a running header, by book and chunk: a hash of their letters, and whether they stand between the halves of a torn sentence."""
     for batch in batches:
-        seen: dict[tuple[str, str], list[int]] = {}
-        for text, book in zip(*(c.to_pylist() for c in batch.columns)):
+        seen: dict[tuple[str, int, int], bool] = {}
+        for text, book, chunk in zip(*(c.to_pylist() for c in batch.columns)):
             lines = (text or "").split("\n")
-            own: dict[str, bool] = {}
             for n, line in enumerate(lines):
-                if line.strip() and not UNPROSE.search(line.strip()) and len(letters := squeezed(line)) > 5:
-                    own[letters] = own.get(letters, False) or torn_around(lines, n)
-            for letters, torn in own.items():
-                row = seen.setdefault((book, letters), [0, 0])
-                row[0] += 1
-                row[1] += torn
+                bare = line.strip()
+                if bare and not UNPROSE.search(bare) and len(letters := squeezed(bare)) > 5:
+                    key = book, line_key(letters), chunk
+                    seen[key] = seen.get(key, False) or torn_around(lines, n)
+        columns = list(zip(*seen)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _ in seen], pa.string()), pa.array([k for _, k in seen], pa.string()), *(pa.array([v[c] for v in seen.values()], pa.int64()) for c in (0, 1))],
-            ["book", "letters", "n", "torn"],
+            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(list(map(int, seen.values())), pa.int32())],
+            ["book", "letters", "chunk", "torn"],
         )
 
 
+def line_key(letters: str) -> int:
+    return xxhash.xxh3_64_intdigest(letters) - (1 << 63)
+
+
 def _parted(batches):
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [])
@@ -724,9 +727,7 @@ def _used(batches):
 
 def bodies(chunks: DataFrame) -> DataFrame:
     """chunk_id, kinds (of furniture), body, heads: each distinct chunk row without its page furniture."""
-    rows = chunks.select(
-        *(F.col(c).cast("string").alias(c) for c in ("chunk_id", "text", "chapter", "subject", "source_file"))
-    ).dropDuplicates(["chunk_id", "text"])
+    rows = chunks.select(*(F.col(c).cast("string").alias(c) for c in ("chunk_id", "text", "chapter", "subject", "source_file")))
     # all chapters of a book, the most frequent first: what its running headers may say where a chunk's own is unknown
     books = (
         rows.where("chapter IS NOT NULL AND lower(trim(chapter)) NOT IN ('unknown', '')")
@@ -736,10 +737,15 @@ def bodies(chunks: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "chapter"))).alias("t"))
         .select(F.col("source_file").alias("_book"), F.expr("transform(t, x -> x.chapter)").alias("titles"))
     )
-    lines = spread(rows.where("source_file IS NOT NULL").select("text", "source_file")).mapInArrow(_lines, "book string, letters string, n long, torn long")
+    # repeated rows of a chunk count once
+    own = rows.where("source_file IS NOT NULL").select("text", "source_file", F.xxhash64("chunk_id").alias("chunk"))
     heads = (
-        lines.groupBy("book", "letters")
-        .agg(F.sum("n").alias("n"), F.sum("torn").alias("torn"))
+        spread(own)
+        .mapInArrow(_lines, "book string, letters long, chunk long, torn int")
+        .groupBy("book", "letters", "chunk")
+        .agg(F.max("torn").alias("torn"))
+        .groupBy("book", "letters")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("torn").alias("torn"))
         .where("n >= 3 AND torn * 2 > n")
         .groupBy("book")
         .agg(F.array_sort(F.collect_list("letters")).alias("recurring"))
@@ -752,6 +758,7 @@ def bodies(chunks: DataFrame) -> DataFrame:
     return (
         rows.withColumn("salt", F.pmod(F.xxhash64("chunk_id", "text"), F.lit(SALTS)).cast("int"))
         .repartition(n, "source_file", "salt")
+        .dropDuplicates(["source_file", "salt", "chunk_id", "text"])  # where they are: no further shuffle
         .join(known, ["source_file", "salt"], "left")
         .select("chunk_id", "text", "chapter", "subject", "titles", "recurring")
         .mapInArrow(_parted, "chunk_id string, kinds array<string>, body string, heads string")

@@ -21,7 +21,7 @@ def test_time(name):
     cut_texts.ending(text)
     spans = text_pieces.pieces(text)
     assert "".join(text[new:end] for _, new, end in spans) == text
-    scan_repair.noise(text, EDITOR, ["sometitleofabook"], "Biology", frozenset(["xyz"]))
+    scan_repair.noise(text, EDITOR, ["sometitleofabook"], "Biology", frozenset([5]))
     scan_repair.forms(text)
     pair_defects.defect("What is it about the word and more?", text, "x", frozenset())
     canonical.record("MCQ", text, text)
