@@ -165,3 +165,62 @@ def compared(lines: DataFrame) -> DataFrame:
     j = shaped.join(taken, ["doc", "number"], "full").join(calibration(lines).select("doc", "heading_size"), "doc", "left")
     side = F.when(F.col("taken"), "found").when(F.col("size") < F.col("heading_size") - 0.5, "small").otherwise("missing")
     return j.select("doc", "number", side.alias("side"))
+
+
+def _two_part(lines: DataFrame) -> DataFrame:
+    """Lines N.M Name, also of deeper numbers, with major and minor."""
+    found = lines.withColumn("number", _number(1)).withColumn("name", F.trim(_number(2))).where((F.col("number") != "") & F.col("name").rlike(r"^\p{L}"))
+    parts = F.split("number", r"\.")
+    return found.withColumn("major", parts[0].cast("int")).withColumn("minor", parts[1].cast("int"))
+
+
+def _once(found: DataFrame) -> DataFrame:
+    """Of one number of a document the first line."""
+    by = Window.partitionBy("doc", "number").orderBy(*ORDER)
+    return found.withColumn("r", F.row_number().over(by)).where("r = 1").drop("r")
+
+
+def capitals_numbered(lines: DataFrame) -> DataFrame:
+    """Headings N.M of the number that most headings in capitals have: those in capitals, others in headline case only if their number goes on rising."""
+    from studyloom.operators.layout import headline_fragment
+
+    found = _two_part(lines).withColumn("sure", F.upper("name") == F.col("name"))
+    votes = found.where("sure").groupBy("doc", "major").agg(F.count(F.lit(1)).alias("votes"), F.min(F.struct(*ORDER)).alias("seen"))
+    top = votes.groupBy("doc").agg(F.min_by("major", F.struct((-F.col("votes")).alias("v"), "seen")).alias("major"))
+    own = _once(found.join(top, ["doc", "major"]).where(F.col("sure") | headline_fragment(F.col("name"))))
+    kept = rising(own.select("doc", *ORDER, "minor", "sure"))
+    return own.join(kept, ["doc", *ORDER]).select("doc", *ORDER, "number", "name")
+
+
+def highest_major(lines: DataFrame) -> DataFrame:
+    """doc, major: the highest chapter number of a document's heading lines."""
+    return _two_part(lines).groupBy("doc").agg(F.max("major").alias("major"))
+
+
+def chapter_numbered(lines: DataFrame, chapters: DataFrame, garbled: Column) -> DataFrame:
+    """Headings of a known chapter number (chapters: doc, major) that aren't garbled, while their numbers rise."""
+    own = _once(_two_part(lines).join(chapters, ["doc", "major"]).where(~garbled)).withColumn("sure", F.lit(False))
+    kept = rising(own.select("doc", *ORDER, "minor", "sure"))
+    return own.join(kept, ["doc", *ORDER]).select("doc", *ORDER, "number", "name")
+
+
+def revised(lines: DataFrame, topic: tuple[float, float], sub: tuple[float, float], box: str, recap: str = END, exercise: str = r"(?i)^\s*exercises?\b") -> DataFrame:
+    """doc, kind, ordinal, name, text of books laid out by sizes: boxes that begin like `box` are dropped; lines of the topic's size begin a topic, those of the
+    sub-topic's and items such as a) a sub-topic; from the first line like `recap` on there are no topics; what follows the first line like
+    `exercise` is one exercise for each line. Lines of the first page before its first heading belong to nothing."""
+    left = without_boxes(lines, box).where(F.trim("text") != "")
+    doc = Window.partitionBy("doc")
+    at = F.struct(*ORDER)
+    left = left.withColumn("_end", F.min(F.when(F.col("text").rlike(recap), at)).over(doc)).withColumn("_task", F.min(F.when(F.col("text").rlike(exercise), at)).over(doc))
+    item = F.col("text").rlike(r"^\s*[a-z]\)\s")
+    tier = F.when(item, 2).when(F.col("size").between(*topic), 1).when(F.col("size").between(*sub), 2)
+    by = doc.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tasks = left.where("_task IS NOT NULL AND struct(page, line_no) > _task")
+    told = tasks.select("doc", F.lit("exercise").alias("kind"), F.row_number().over(doc.orderBy(*ORDER)).cast("long").alias("ordinal"), F.lit(None).cast("string").alias("name"), F.trim("text").alias("text"))
+    body = left.where("(_end IS NULL OR struct(page, line_no) < _end) AND (_task IS NULL OR struct(page, line_no) < _task)").withColumn("tier", tier)
+    body = body.withColumn("ordinal", F.sum(F.col("tier").isNotNull().cast("int")).over(by)).where("ordinal > 0")
+    parts = F.array_sort(F.collect_list(F.when(F.col("tier").isNull(), F.struct(*ORDER, "text"))))
+    text = F.array_join(F.transform(parts, lambda x: x["text"]), "\n")
+    topics = body.groupBy("doc", "ordinal").agg(F.max("tier").alias("t"), F.max(F.when(F.col("tier").isNotNull(), F.trim("text"))).alias("name"), text.alias("text"))
+    kind = F.when(F.col("t") == 1, "topic").otherwise("sub-topic")
+    return topics.select("doc", kind.alias("kind"), "ordinal", "name", "text").unionByName(told)

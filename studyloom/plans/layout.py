@@ -310,3 +310,70 @@ def named_substances(spark, d):
     words = table(spark, d, "chunk").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z0-9]+", " "), " ")).alias("term"))
     answers = table(spark, d, "questions").where("type = 'fill_in_blank'").select(F.get_json_object("payload", "$.answer").alias("term"))
     return N.identities(words.union(answers).distinct(), spark.createDataFrame(ALIAS_ROWS, "identity string, alias string")).where("identity IS NOT NULL")
+
+
+PARTS = f"""w0 AS (SELECT *, REGEXP_EXTRACT(text, {HEAD}, 1) AS number, TRIM(REGEXP_EXTRACT(text, {HEAD}, 2)) AS name FROM p WHERE REGEXP_MATCHES(text, {HEAD})),
+w1 AS (SELECT *, SPLIT_PART(number, '.', 1)::INT AS major, SPLIT_PART(number, '.', 2)::INT AS minor, UPPER(name) = name AS sure FROM w0 WHERE REGEXP_MATCHES(name, '^\\p{{L}}'))
+"""
+
+
+def _rising(source: str) -> str:
+    return f"""seq AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc ORDER BY page, line_no) AS k FROM (SELECT * FROM {source} QUALIFY ROW_NUMBER() OVER (PARTITION BY doc, number ORDER BY page, line_no) = 1)),
+fold AS (WITH RECURSIVE f AS (SELECT doc, k, page, line_no, number, minor, name, sure OR minor > -1 AS kept, minor AS last FROM seq WHERE k = 1
+UNION ALL SELECT s.doc, s.k, s.page, s.line_no, s.number, s.minor, s.name, s.sure OR s.minor > f.last, CASE WHEN s.sure OR s.minor > f.last THEN GREATEST(f.last, s.minor) ELSE f.last END FROM f JOIN seq s ON s.doc = f.doc AND s.k = f.k + 1) SELECT * FROM f)
+"""
+
+
+@query(
+    f"""WITH {PAGES.replace("FROM lines)", "FROM (SELECT doc, page, line_no, CASE WHEN line_no % 3 = 0 THEN UPPER(text) ELSE text END AS text FROM lines))")}, {PARTS},
+v AS (SELECT doc, major, COUNT(*) AS n, MIN(ROW(page, line_no)) AS seen FROM w1 WHERE sure GROUP BY ALL), top AS (SELECT doc, ARG_MIN(major, ROW(-n, seen)) AS major FROM v GROUP BY 1),
+own AS (SELECT w1.* FROM w1 JOIN top USING (doc, major) WHERE sure OR {fragment('name')}), {_rising("own")} SELECT doc, page, line_no, number, name FROM fold WHERE kept"""
+)
+def layout_capitals_numbered(spark, d):
+    """Every third line of a page is put in capitals."""
+    ship(spark)
+    return D.capitals_numbered(pages(spark, d).withColumn("text", F.when(F.col("line_no") % 3 == 0, F.upper("text")).otherwise(F.col("text"))))
+
+
+@query(
+    f"""WITH {PAGES}, {PARTS}, c AS (SELECT doc, MAX(major) AS major FROM w1 GROUP BY 1), own AS (SELECT w1.* EXCLUDE (sure), FALSE AS sure FROM w1 JOIN c USING (doc, major) WHERE LENGTH(name) <= 60),
+{_rising("own")} SELECT doc, page, line_no, number, name FROM fold WHERE kept"""
+)
+def layout_chapter_numbered(spark, d):
+    """Headings of the highest chapter number that a book's lines have; names over 60 characters stand for garbled ones."""
+    ship(spark)
+    lines = pages(spark, d)
+    return D.chapter_numbered(lines, D.highest_major(lines), F.length("name") > 60)
+
+
+@query(
+    f"""WITH {PAGES}, b AS (SELECT *, REGEXP_MATCHES(text, '^Activity ') AS starts FROM p),
+s AS (SELECT *, SUM(starts::INT) OVER w AS box, LAST_VALUE(CASE WHEN starts THEN size END IGNORE NULLS) OVER w AS box_size FROM b WINDOW w AS (PARTITION BY doc, page ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, MAX(CASE WHEN NOT starts AND ABS(size - box_size) > 1.5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page, box ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS gone FROM s),
+l AS (SELECT doc, page, line_no, text, size FROM g WHERE (box = 0 OR gone = 1) AND TRIM(text) <> ''),
+e AS (SELECT doc, MIN(CASE WHEN REGEXP_MATCHES(text, '(?i)^\\s*(chapter|readings)\\b') AND page > 3 THEN ROW(page, line_no) END) AS stop, MIN(CASE WHEN REGEXP_MATCHES(text, '(?i)^\\s*readings\\b') AND page > 3 THEN ROW(page, line_no) END) AS task FROM l GROUP BY 1),
+t AS (SELECT l.*, CASE WHEN REGEXP_MATCHES(text, '^\\s*[a-z]\\)\\s') THEN 2 WHEN size BETWEEN 15.5 AND 16.5 THEN 1 WHEN size BETWEEN 13.5 AND 14.5 THEN 2 END AS tier FROM l JOIN e USING (doc) WHERE (stop IS NULL OR ROW(page, line_no) < stop) AND (task IS NULL OR ROW(page, line_no) < task)),
+o AS (SELECT *, SUM((tier IS NOT NULL)::INT) OVER (PARTITION BY doc ORDER BY page, line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS ordinal FROM t)
+SELECT doc, CASE WHEN MAX(tier) = 1 THEN 'topic' ELSE 'sub-topic' END AS kind, ordinal, MAX(CASE WHEN tier IS NOT NULL THEN TRIM(text) END) AS name, COALESCE(STRING_AGG(CASE WHEN tier IS NULL THEN text END, chr(10) ORDER BY page, line_no), '') AS text FROM o WHERE ordinal > 0 GROUP BY doc, ordinal
+UNION ALL SELECT doc, 'exercise', ROW_NUMBER() OVER (PARTITION BY doc ORDER BY page, line_no), NULL, TRIM(text) FROM l JOIN e USING (doc) WHERE task IS NOT NULL AND ROW(page, line_no) > task"""
+)
+def layout_revised(spark, d):
+    """Books by sizes; readings after the fourth page stand for exercises."""
+    lines = pages(spark, d).withColumn("text", F.when((F.col("page") <= 3) & F.col("text").rlike(r"(?i)^\s*(chapter|readings)\b"), F.concat(F.lit("\u200b"), "text")).otherwise(F.col("text")))
+    told = D.revised(lines, (15.5, 16.5), (13.5, 14.5), "^Activity ", r"(?i)^\s*(chapter|readings)\b", r"(?i)^\s*readings\b")
+    return told.select("doc", "kind", "ordinal", *(F.replace(c, F.lit("\u200b"), F.lit("")).alias(c) for c in ("name", "text")))
+
+
+@query(
+    f"""WITH {PAGES}, {NUMBERED}, {RUNNING}, {CAPS}, c3 AS (SELECT doc, page, line_no, {HEADLINE} AS name FROM c2), caps AS (SELECT doc, page, line_no, NULL::VARCHAR AS number, name FROM c3 QUALIFY ROW_NUMBER() OVER (PARTITION BY doc, name ORDER BY page, line_no) = 1),
+r AS (SELECT DISTINCT doc, CASE WHEN doc LIKE 'phys%' THEN 'all_caps' WHEN doc LIKE 'math%' THEN 'sizes' ELSE 'numbered' END AS detector FROM p), num AS (SELECT doc, page, line_no, number, name FROM fold WHERE kept)
+SELECT num.* FROM num JOIN r USING (doc) WHERE detector = 'numbered' UNION ALL SELECT caps.* FROM caps JOIN r USING (doc) WHERE detector = 'all_caps' OR (detector = 'numbered' AND doc NOT IN (SELECT doc FROM num))
+UNION ALL SELECT p.doc, page, line_no, NULLIF(REGEXP_EXTRACT(text, {OWN}, 1), ''), TRIM(REGEXP_REPLACE(text, '^\\s*\\d+(?:\\.\\d+)*[.)]?\\s+', '')) FROM p JOIN r USING (doc) WHERE detector = 'sizes' AND (size BETWEEN 15.5 AND 16.5 OR size BETWEEN 13.5 AND 14.5) AND LENGTH(TRIM(text)) > 2"""
+)
+def layout_routed(spark, d):
+    """Each book by the detector of its rule: capitals for physics, sizes for mathematics, numbers for the rest, capitals where there are none."""
+    ship(spark)
+    lines = pages(spark, d)
+    kind = F.when(F.col("doc").startswith("phys"), "all_caps").when(F.col("doc").startswith("math"), "sizes")
+    rules = lines.select("doc", kind.alias("detector")).distinct().where("detector IS NOT NULL")
+    return D.routed(lines, rules, topic=(15.5, 16.5), sub=(13.5, 14.5))
