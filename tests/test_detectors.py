@@ -50,3 +50,31 @@ def test_banner(spark):
     rows = [("d", 0, "Power and Work", "red", 20.0), ("d", 0, "Unit III", "red", 24.0), ("d", 0, "body text " * 30, "black", 10.0), ("d", 1, "Later Title", "red", 30.0)]
     s = spark.createDataFrame(rows, "doc string, page int, text string, color string, size double")
     assert [r.title for r in D.banner(s).collect()] == ["Power and Work"]
+
+
+def test_books_by_sizes_have_topics_and_exercises(spark):
+    rows = [
+        (0, 0, "Colour plate", 10.0), (0, 1, "Rain and Rivers", 17.0), (0, 2, "Rain falls.", 10.0), (0, 3, "Fact box", 8.0), (0, 4, "How it falls", 15.0), (0, 5, "Slowly.", 10.0),
+        (1, 0, "Activity 1 Look", 12.0), (1, 1, "inside the box", 12.0), (1, 2, "after the box", 9.0), (1, 3, "a) a case", 17.0), (1, 4, "Of it.", 10.0),
+        (2, 0, "Let us recall", 17.0), (2, 1, "Late Heading", 17.0), (2, 2, "Exercises", 17.0), (2, 3, "1. Why?", 10.0), (2, 4, "", 10.0), (2, 5, "2. How?", 10.0),
+    ]
+    lines = spark.createDataFrame([("d", p, n, 0, t, s) for p, n, t, s in rows], KINDS)
+    got = {(r.kind, r.ordinal): (r.name, r.text) for r in D.revised(lines, (16.5, 17.5), (14.5, 15.5), "^Activity").collect()}
+    assert got == {
+        ("topic", 1): ("Rain and Rivers", "Rain falls.\nFact box"),
+        ("sub-topic", 2): ("How it falls", "Slowly.\nafter the box"),
+        ("sub-topic", 3): ("a) a case", "Of it."),
+        ("exercise", 1): (None, "1. Why?"),
+        ("exercise", 2): (None, "2. How?"),
+    }
+
+
+def test_capitals_decide_the_chapter_and_others_must_rise(spark):
+    texts = ["3.1 FIRST LAW", "2.1 Other Book", "3.3 THIRD LAW", "3.2 Second Law", "3.4 Fourth Law", "3.4 FOURTH LAW", "3.5 what is said here in small letters only"]
+    lines = spark.createDataFrame([("d", 0, n, 0, t, 10.0) for n, t in enumerate(texts)], KINDS)
+    assert [r.number for r in D.capitals_numbered(lines).orderBy("line_no").collect()] == ["3.1", "3.3", "3.4"]
+    chapters = spark.createDataFrame([("d", 3)], "doc string, major int")
+    from pyspark.sql import functions as F
+
+    got = D.chapter_numbered(lines, chapters, F.col("name").contains("small")).orderBy("line_no").collect()
+    assert [r.number for r in got] == ["3.1", "3.3", "3.4"]
