@@ -166,6 +166,8 @@ def test_batches_one_by_one_equal_all_at_once(spark, tmp_path):
         assert table.stored("vectors").count() > size
         size = table.stored("vectors").count()
     assert got == away([r for r in rows if r[0]], 0.9, 16)
+    late = df.where("batch_no > 0")
+    assert {r.question_id for r in table.check(late, hot_rows=2).collect()} == got == {r.question_id for r in table.check(late, prune=False).collect()}
     one = df.where("question_id = 'q0101'")
     narrow = pivot_history.PivotTable(spark, table.path, ranges, 0.0, 0.9, 16, buckets=4)
     narrow.name = table.name
