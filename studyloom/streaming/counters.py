@@ -43,12 +43,16 @@ def sessions(rows: DataFrame, time: str, gap: str, delay: str, *keys: str) -> Da
     )
 
 
-def admitted(requests: DataFrame, limit: int = 10, width_s: int = 86_400) -> DataFrame:
+def admitted(requests: DataFrame, limit: int = 10, width_s: int = 86_400, delay: str | None = None) -> DataFrame:
     """user_id, at, ok for each request (user_id, at): refused where the user was admitted `limit` times within the width before it.
 
-    Refused requests don't count, so it is a fold over each user's own times; the state is at most `limit` times for each user."""
+    Refused requests don't count, so it is a fold over each user's own times; the state is at most `limit` times for each user. With a `delay` it
+    leaves when the watermark (so far behind the latest request) has passed them all by the width, and later rows are dropped; without one it stays."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         for frame in frames:
             ok = []
@@ -59,11 +63,18 @@ def admitted(requests: DataFrame, limit: int = 10, width_s: int = 86_400) -> Dat
                 if ok[-1]:
                     kept.append(int(t))
             yield pd.DataFrame({"user_id": key[0], "at_s": times, "ok": ok})
+        over = (max(kept, default=0) + width_s) * 1000
+        if delay and over <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            return
         state.update((kept,))
+        if delay:
+            state.setTimeoutTimestamp(over)
 
-    return requests.groupBy("user_id").applyInPandasWithState(
-        step, "user_id string, at_s long, ok boolean", "kept array<long>", "append", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
+    rows = requests.withWatermark("at", delay) if delay else requests
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id string, at_s long, ok boolean", "kept array<long>", "append", timeout)
 
 
 def admitted_batch(requests: DataFrame, limit: int = 10, width_s: int = 86_400) -> DataFrame:

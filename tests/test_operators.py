@@ -245,6 +245,18 @@ def test_admission_by_rolling_quota(spark, tmp_path):
     assert {(r.user_id, r.at_s): r.ok for r in spark.table("adm").collect()} == {(r.user_id, r.at_s): r.ok for r in got.collect()}
 
 
+def test_admission_forgets_users_whose_times_are_over(spark, tmp_path):
+    kinds = "user_id string, at_s long"
+    day = 86_400
+    for n, rows in enumerate(([("u", 1), ("u", 2)], [("v", 10 * day)], [("w", 11 * day)], [("u", 12 * day), ("u", 12 * day + 1), ("u", 12 * day + 2)])):
+        spark.createDataFrame(rows, kinds).withColumn("at", F.timestamp_seconds("at_s")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(f"{kinds}, at timestamp").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = streaming.admitted(stream.select("user_id", "at"), limit=2, delay="1 hour").writeStream.format("memory").queryName("adm2").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.user_id, r.at_s): r.ok for r in spark.table("adm2").collect()} == {("u", 1): True, ("u", 2): True, ("v", 10 * day): True, ("w", 11 * day): True, ("u", 12 * day): True, ("u", 12 * day + 1): True, ("u", 12 * day + 2): False}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 4  # u's first times have left
+
+
 def test_topic_pieces(spark):
     import re
 
