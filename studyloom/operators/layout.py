@@ -1,9 +1,11 @@
 """From glyphs to lines, and what lines are: headings, running headers, questions and answers, page ranges.
 
-Line order (page, line_no) is part of the data. Grouped Python runs per block of a page or per document, never over a corpus."""
+Line order (page, line_no) is part of the data. Grouped Python runs per page or per document, never over a corpus."""
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,52 +28,50 @@ def glyph_lines(glyphs: DataFrame, gap: float = 3.0, twice: float = 2.0, small:
     a character within `twice` points of the last accepted equal one is a repeat. A row of digits, all smaller than `small` of the row
     above's size, is set into it where it touches (subscripts) unless it floats above it."""
 
-    def run(t: pa.Table) -> pa.Table:
-        g = t.to_pandas().sort_values(["y0", "x0", "pos"], kind="stable")
-        rows: list[list] = []
-        for c in g.itertuples():
-            if rows and abs(c.y0 - rows[-1][-1].y0) <= gap:
+    BLOCK, Y0, X0, POS, CHAR, X1, Y1, SIZE = range(8)
+    named = ("block", "y0", "x0", "pos", "c", "x1", "y1", "size")
+
+    def touches(c: tuple, others: list[tuple]) -> bool:
+        return any((b[CHAR].isalnum() or b[CHAR] == ")") and -0.6 <= c[X0] - b[X1] <= 0.4 * b[SIZE] and b[Y0] <= (c[Y0] + c[Y1]) / 2 for b in others)
+
+    def block_lines(chars: list[tuple]) -> list[list[tuple]]:
+        rows: list[list[tuple]] = []
+        for c in chars:
+            if rows and abs(c[Y0] - rows[-1][-1][Y0]) <= gap:
                 rows[-1].append(c)
             else:
                 rows.append([c])
-        lines = []
+        merged: list[list[tuple]] = []
         for row in rows:
-            kept: list = []
-            for c in sorted(row, key=lambda c: c.x0):
+            kept: list[tuple] = []
+            for c in sorted(row, key=lambda c: c[X0]):
                 last = kept[-1] if kept else None
-                if not (last and last.c == c.c and abs(last.x0 - c.x0) < twice and abs(last.y0 - c.y0) < twice):
+                if not (last and last[CHAR] == c[CHAR] and abs(last[X0] - c[X0]) < twice and abs(last[Y0] - c[Y0]) < twice):
                     kept.append(c)
-            lines.append(kept)
-        merged: list[list] = []
-        for row in lines:
-            digits = all(c.c.isdigit() for c in row)
-            size = max((c.size for c in merged[-1]), default=0) if merged else 0
-            fits = merged and digits and all(c.size < small * size for c in row)
-            if fits:
+            if merged and all(c[CHAR].isdigit() for c in kept):
                 base = merged[-1]
-                touching = all(
-                    any(
-                        (b.c.isalnum() or b.c == ")") and -0.6 <= c.x0 - b.x1 <= 0.4 * b.size and b.y0 <= (c.y0 + c.y1) / 2
-                        for b in [*base, *row[:k]]
-                    )
-                    for k, c in enumerate(row)
-                )
-                if touching:
-                    merged[-1] = sorted([*base, *row], key=lambda c: c.x0)
+                size = max(c[SIZE] for c in base)
+                if all(c[SIZE] < small * size for c in kept) and all(touches(c, [*base, *kept[:k]]) for k, c in enumerate(kept)):
+                    merged[-1] = sorted([*base, *kept], key=lambda c: c[X0])
                     continue
-            merged.append(row)
-        key = [t.column(c)[0].as_py() for c in ("doc", "page", "block")]
-        out = [
-            (*key, n, "".join(c.c for c in r), max(c.size for c in r), min(c.x0 for c in r), min(c.y0 for c in r), max(c.x1 for c in r), max(c.y1 for c in r))
-            for n, r in enumerate(merged)
-        ]
+            merged.append(kept)
+        return merged
+
+    def run(t: pa.Table) -> pa.Table:
+        """The lines of one page, block by block."""
+        chars = sorted(zip(*(t.column(c).to_pylist() for c in named)), key=lambda c: c[: POS + 1])
+        doc, page = (t.column(c)[0].as_py() for c in ("doc", "page"))
+        out = []
+        for block, own in itertools.groupby(chars, key=lambda c: c[BLOCK]):
+            for n, r in enumerate(block_lines(list(own))):
+                out.append((doc, page, block, n, "".join(c[CHAR] for c in r), max(c[SIZE] for c in r), min(c[X0] for c in r), min(c[Y0] for c in r), max(c[X1] for c in r), max(c[Y1] for c in r)))
         names = ["doc", "page", "block", "line_no", "text", "size", "x0", "y0", "x1", "y1"]
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5]
         return pa.table([pa.array([o[k] for o in out], kinds[k]) for k in range(len(names))], names)
 
     return (
         glyphs.where("NOT (x1 - x0 < 0)")
-        .groupBy("doc", "page", "block")
+        .groupBy("doc", "page")
         .applyInArrow(
             run, "doc string, page int, block int, line_no int, text string, size double, x0 double, y0 double, x1 double, y1 double"
         )
