@@ -49,12 +49,12 @@ CLOSED_LINES = re.compile(
 
 
 OPTIONS = re.compile(r"\d+\) [^.!?]")
-NEXT_OPTION = re.compile(r"[^.!?]\s+\d+\) [^.!?]")
+NEXT_OPTION = re.compile(r"\s\d+\) [^.!?]")
 
 
 def closed_line(line: str) -> bool:
     """Whether a last line is whole without a closing mark; options in a line are looked at in linear time."""
-    return bool(CLOSED_LINES.match(line)) or bool(OPTIONS.match(line) and not re.search("[.!?]", line) and NEXT_OPTION.search(line, 3))
+    return bool(CLOSED_LINES.match(line)) or bool(OPTIONS.match(line) and not re.search("[.!?]", line) and NEXT_OPTION.search(line, 4))
 
 
 def ending(text: str) -> tuple[int, str]:

@@ -9,7 +9,7 @@ from studyloom.llm import canonical, cut_texts, near_copies, pair_defects, scan_
 N = 300_000
 TEXTS = {
     "letters": "x" * N, "spaces": " " * N + "x", "lines": "\n" * N + "x", "dots": "." * N + "x", "quotes": '"' * N + "x", "brackets": "(" * N, "capitals": "AB CD " * (N // 6),
-    "math": "𝑥" * N, "hyphens": "-\n" * (N // 2), "torn": "abc-\n" * (N // 5), "words": "word and 12) more " * (N // 18), "emoji": "👍" * N, "mixed": "a​*_" * (N // 4), "marks": "a" + "́" * N, "stars": "x" + "*" * N, "tags": "<b" * (N // 2), "options": "1) " + "a " * (N // 2),
+    "math": "𝑥" * N, "hyphens": "-\n" * (N // 2), "torn": "abc-\n" * (N // 5), "words": "word and 12) more " * (N // 18), "emoji": "👍" * N, "mixed": "a​*_" * (N // 4), "marks": "a" + "́" * N, "stars": "x" + "*" * N, "tags": "<b" * (N // 2), "options": "1) " + "a " * (N // 2), "gap": "1) a" + " " * N + "b", "many options": "1) a " * (N // 5) + "b. c", "label": "Word: " + "1 " * (N // 2) + "x y", "list": "Word: " + "ab, " * (N // 4) + "c d", "closers": "It." + ")" * N + "x",
 }
 EDITOR = scan_repair.Editor({"w0rd": "word"})
 
