@@ -224,3 +224,36 @@ def revised(lines: DataFrame, topic: tuple[float, float], sub: tuple[float, floa
     topics = body.groupBy("doc", "ordinal").agg(F.max("tier").alias("t"), F.max(F.when(F.col("tier").isNotNull(), F.trim("text"))).alias("name"), text.alias("text"))
     kind = F.when(F.col("t") == 1, "topic").otherwise("sub-topic")
     return topics.select("doc", kind.alias("kind"), "ordinal", "name", "text").unionByName(told)
+
+
+def banner_runs(spans: DataFrame, least: float = 13) -> DataFrame:
+    """doc, color, run, text, size: on each first page the spans of a colour other than the body's, larger than `least` points, put together: those of one row that
+    follow each other within a letter's width, and rows of nearly one size under each other. A single capital set right before a row of its colour (a
+    drop cap) is the row's first letter."""
+    from studyloom.operators.layout import dominant_color
+
+    body = dominant_color(spans).withColumnRenamed("color", "body")
+    own = spans.where(F.col("page") == 0).where(F.col("size") > least).join(body, "doc").where(F.col("color") != F.col("body"))
+    by = Window.partitionBy("doc", "color").orderBy("y0", "x0", "line_no")
+    before = {c: F.lag(c).over(by) for c in ("y0", "x1", "size", "text")}
+    row = (F.abs(F.col("y0") - before["y0"]) <= 0.3 * F.col("size")) & (F.col("x0") - before["x1"] <= F.col("size"))
+    below = (F.col("y0") - before["y0"]).between(0, 1.6 * F.greatest(F.col("size"), before["size"])) & (F.abs(F.col("size") - before["size"]) <= 0.15 * before["size"])
+    cap = row & (F.col("x0") - before["x1"] < 0.15 * F.col("size")) & F.trim(before["text"]).rlike(r"^\p{Lu}$")
+    marked = own.withColumn("_new", (~F.coalesce(row | below, F.lit(False))).cast("int")).withColumn("_cap", F.coalesce(cap, F.lit(False)))
+    marked = marked.withColumn("run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    piece = F.struct("y0", "x0", "line_no", F.when(F.col("_cap"), F.trim("text")).otherwise(F.concat(F.lit(" "), F.trim("text"))).alias("t"))
+    joined = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), ""))
+    return marked.groupBy("doc", "color", "run").agg(joined.alias("text"), F.max("size").alias("size"))
+
+
+def banner_title(runs: DataFrame) -> DataFrame:
+    """doc, title: of runs shaped like a title and not named a unit, of colours that have one run, or two of which one is larger, the largest, then longest, then
+    first by text."""
+    from studyloom.operators.layout import title_case
+
+    shaped = runs.where(title_case(F.col("text")) & ~F.col("text").rlike(r"(?i)^unit\b"))
+    color = Window.partitionBy("doc", "color")
+    n = shaped.withColumn("n", F.count(F.lit(1)).over(color)).withColumn("big", F.max("size").over(color)).withColumn("small", F.min("size").over(color))
+    fit = n.where("n = 1 OR (n = 2 AND big > small AND size = big)")
+    best = F.min_by("text", F.struct((-F.col("size")).alias("s"), (-F.length("text")).alias("l"), "text"))
+    return fit.groupBy("doc").agg(best.alias("title"))

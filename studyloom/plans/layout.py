@@ -377,3 +377,28 @@ def layout_routed(spark, d):
     kind = F.when(F.col("doc").startswith("phys"), "all_caps").when(F.col("doc").startswith("math"), "sizes")
     rules = lines.select("doc", kind.alias("detector")).distinct().where("detector IS NOT NULL")
     return D.routed(lines, rules, topic=(15.5, 16.5), sub=(13.5, 14.5))
+
+
+RUNS = f"""{COLORS}, s0 AS (SELECT doc, line_no, text, size, color, x0, x1, 14.0::DOUBLE * line_no AS y0 FROM p JOIN body USING (doc) WHERE page = 0 AND size > 13 AND color <> body),
+s1 AS (SELECT *, LAG(y0) OVER w AS py, LAG(x1) OVER w AS px, LAG(size) OVER w AS ps, LAG(text) OVER w AS pt FROM s0 WINDOW w AS (PARTITION BY doc, color ORDER BY y0, x0, line_no)),
+s2 AS (SELECT *, COALESCE(ABS(y0 - py) <= 0.3 * size AND x0 - px <= size, FALSE) AS same_row, COALESCE(y0 - py BETWEEN 0 AND 1.6 * GREATEST(size, ps) AND ABS(size - ps) <= 0.15 * ps, FALSE) AS below FROM s1),
+s3 AS (SELECT *, SUM((NOT (same_row OR below))::INT) OVER (PARTITION BY doc, color ORDER BY y0, x0, line_no ROWS UNBOUNDED PRECEDING) AS run, same_row AND x0 - px < 0.15 * size AND REGEXP_MATCHES(TRIM(pt), '^\\p{{Lu}}$') AS cap FROM s2),
+runs AS (SELECT doc, color, run::BIGINT AS run, TRIM(STRING_AGG(CASE WHEN cap THEN TRIM(text) ELSE ' ' || TRIM(text) END, '' ORDER BY y0, x0, line_no)) AS text, MAX(size) AS size FROM s3 GROUP BY ALL)
+"""
+
+
+def _spans(spark, d):
+    return pages(spark, d).withColumn("y0", 14.0 * F.col("line_no"))
+
+
+@query(f"WITH {PAGES}, {RUNS} SELECT * FROM runs")
+def layout_banner_runs(spark, d):
+    return D.banner_runs(_spans(spark, d))
+
+
+@query(
+    f"""WITH {PAGES}, {RUNS}, t AS (SELECT *, COUNT(*) OVER w AS n, MAX(size) OVER w AS big, MIN(size) OVER w AS small FROM runs WHERE {titled('text')} AND NOT REGEXP_MATCHES(text, '(?i)^unit\\b') WINDOW w AS (PARTITION BY doc, color))
+SELECT doc, ARG_MIN(text, ROW(-size, -LENGTH(text), text)) AS title FROM t WHERE n = 1 OR (n = 2 AND big > small AND size = big) GROUP BY 1"""
+)
+def layout_banner_titles(spark, d):
+    return D.banner_title(D.banner_runs(_spans(spark, d)))

@@ -78,3 +78,12 @@ def test_capitals_decide_the_chapter_and_others_must_rise(spark):
 
     got = D.chapter_numbered(lines, chapters, F.col("name").contains("small")).orderBy("line_no").collect()
     assert [r.number for r in got] == ["3.1", "3.3", "3.4"]
+
+
+def test_banners_are_put_together_and_chosen(spark):
+    kinds = "doc string, page int, line_no int, text string, size double, color int, x0 double, x1 double, y0 double"
+    rows = [("d", 0, 0, "body text of the page, which is most of what there is to read on it", 10.0, 0, 0.0, 200.0, 300.0), ("d", 0, 1, "T", 40.0, 1, 0.0, 20.0, 50.0), ("d", 0, 2, "he Living", 24.0, 1, 21.0, 120.0, 52.0)]
+    rows += [("d", 0, 3, "World", 24.0, 1, 0.0, 60.0, 80.0), ("d", 0, 4, "Unit Two", 50.0, 2, 0.0, 60.0, 10.0), ("d", 0, 5, "Far Away", 24.0, 1, 0.0, 60.0, 250.0), ("d", 1, 0, "Next Page", 60.0, 1, 0.0, 9.0, 0.0), ("d", 0, 6, "small", 12.0, 1, 0.0, 9.0, 99.0)]
+    runs = D.banner_runs(spark.createDataFrame(rows, kinds))
+    assert {(r.color, r.text, r.size) for r in runs.collect()} == {(1, "The Living World", 40.0), (2, "Unit Two", 50.0), (1, "Far Away", 24.0)}
+    assert [r.title for r in D.banner_title(runs).collect()] == ["The Living World"]
