@@ -253,7 +253,6 @@ def _met(a: list[int], b: list[int]) -> bool:
     return not set(a).isdisjoint(b)
 
 
-WIDTHS = (*(n / 400 for n in range(25)), 0.07, 0.08, 0.1, 0.15, 0.2, 0.4, 2.0)  # 0, 0.0025, ... 0.06, then wider
 SAMPLE = 131_072  # rows that a tree or pivots are fitted on at most: 100 MB on the driver as they are sent
 PAIRS = 2000  # true pairs that a calibration needs: at a target of 0.999, two missed ones
 

@@ -193,3 +193,48 @@ def test_too_few_pairs_leave_the_exact_bound(spark):
     assert {r.question_id for r in pivot_history.turned_away(df, dim=16, **how).collect()} == away(rows, 0.9, 16)
     pairs = {tuple(r) for r in similar_vectors.similar_pairs(df, least=0.9, dim=16, leaf_rows=60, probes=5, most_probes=60).collect()}
     assert pairs == {(min(i, n), max(i, n)) for i, near in brute(rows, 10, 0.9, 16).items() for _, n in near}
+
+
+def wide(x, cosine, rng):
+    """A row at this cosine of each row of x."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.normal(size=x.shape)
+    other -= np.einsum("ij,ij->i", other, u)[:, None] * u
+    return (cosine * u + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_rare_pairs_unlike_the_others_are_found(spark):
+    """Thousands of tight pairs in one range and a few wide ones across ranges: no threshold fitted on most of the pairs may lose the rest."""
+    rng = np.random.default_rng(13)
+    centres, rare = rng.normal(size=(500, 16)), rng.normal(size=(20, 16)).astype(np.float32)
+    tight = (centres[np.arange(6000) % 500] + 0.002 * rng.normal(size=(6000, 16))).astype(np.float32)
+    x = np.concatenate([tight, rare, wide(rare, 0.903, rng)])
+    rows = [(f"q{i:04}", [float(v) for v in x[i]], None, int(i >= 6020 or i % 2), None, None) for i in range(len(x))]
+    df = spark.createDataFrame(rows, KINDS).repartition(5)
+    assert {r.question_id for r in pivot_history.turned_away(df, dim=16, rows_per_pivot=30).collect()} == away(rows, 0.9, 16)
+
+
+def test_sketches_bound_the_cosine():
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(300, 160)).astype(np.float32)
+    x[:5], x[0, 1:] = np.eye(160, dtype=np.float32)[:5], 0
+    a, b = unit(x), unit(wide(x, 0.9, rng))
+    s, t = pivot_history.sketched(a), pivot_history.sketched(b)
+    assert s.shape == (300, pivot_history.SKETCH + 1)
+    for one, two, p, q in ((a, b, s, t), (a, a, s, s)):
+        assert (p @ q.T >= one.astype(np.float64) @ two.T.astype(np.float64) - 1e-5).all()
+
+
+def test_rounds_equal_brute_force(spark, tmp_path):
+    """Several rounds, sketches, families larger than a sketch sorts out, pairs on both sides of the threshold."""
+    rng = np.random.default_rng(19)
+    rows, x = made(400, dim=160, copies=40, seed=19)
+    far = np.concatenate([wide(x[100:150], 0.9001, rng), wide(x[150:200], 0.8999, rng), wide(np.repeat(x[200:201], 80, 0), 0.96, rng)])
+    rows = [(i, v, None, *r) for i, v, _, *r in rows if i] + [(f"w{n:03}", [float(v) for v in far[n]], None, 3, None, None) for n in range(len(far))]
+    df = spark.createDataFrame(rows, KINDS).repartition(3)
+    ranges = pivot_history.Ranges(unit(x[:10]), unit(x), 4000, 60)
+    table = pivot_history.PivotTable(spark, str(tmp_path / "t"), ranges, 9.0, 0.9, 160, buckets=2)
+    table.append(df)
+    got = [r.question_id for r in table.check(df.where("batch_no > 0"), prune=False, round_rows=100).collect()]
+    table.drop()
+    assert sorted(got) == sorted(away(rows, 0.9, 160))
